@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, table
 from .binary_records import token_records
+from .embedding_dedup import cosine_classes
+from .nearest import nearest
 from .ngram_join import jaccard_classes
 from .packing import pack_documents
 from .token_counts import token_counts
@@ -22,6 +24,10 @@ def op2_best_fit_packing(spark, sf_dir):
     return pack_documents(Workspace(spark), table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), size=1024)
 
 
+def op3_embedding_near_dedup(spark, sf_dir):
+    return cosine_classes(Workspace(spark), table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op4_ngram_jaccard_join(spark, sf_dir):
     return jaccard_classes(Workspace(spark), table(spark, sf_dir, "documents"), n_words=5, num=80, den=100)
 
@@ -34,6 +40,10 @@ def op7_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op10_approximate_nearest(spark, sf_dir):
+    return nearest(Workspace(spark), table(spark, sf_dir, "embeddings"), queries="vec_id % 100 = 0", k=10)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

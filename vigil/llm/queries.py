@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from .common import Workspace, table
 from .binary_records import token_records
 from .embedding_dedup import cosine_classes
+from .mixing import mix
 from .nearest import nearest
 from .ngram_join import jaccard_classes
 from .packing import pack_documents
+from .secrets import scan_secrets
 from .token_counts import token_counts
 
 
@@ -36,10 +38,18 @@ def op5_token_binary_records(spark, sf_dir):
     return token_records(Workspace(spark), table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_source_mix(spark, sf_dir):
+    return mix(Workspace(spark), table(spark, sf_dir, "documents"), share=1.5, most=2.0)
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op8_secret_scan(spark, sf_dir):
+    return scan_secrets(Workspace(spark), table(spark, sf_dir, "documents")).drop("all_spans")
+
+
 def op10_approximate_nearest(spark, sf_dir):
     return nearest(Workspace(spark), table(spark, sf_dir, "embeddings"), queries="vec_id % 100 = 0", k=10)
 

@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,6 +135,55 @@ def forest(linked: np.ndarray) -> np.ndarray:
     return root
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+class IdFilter:
+    """A bitmap of hashed ids of fixed size (2 MB): tells which rows may have one of some ids, so that only those are shuffled to a
+    join. It never misses an id; beyond some ten million ids it spares less, and the join decides in any case."""
+
+    BITS = 1 << 24
+
+    def __init__(self, broadcast):
+        self.broadcast = broadcast
+
+    @staticmethod
+    def places(ids: np.ndarray) -> np.ndarray:
+        return (mix64(ids.astype(np.uint64)) & np.uint64(IdFilter.BITS - 1)).astype(np.int64)
+
+    @classmethod
+    def of(cls, ids: DataFrame) -> IdFilter:
+        """From a DataFrame of doc_id; at most BITS / 64 words reach the driver, however many ids there are."""
+
+        def run(batches):
+            bits = np.zeros(cls.BITS, bool)
+            for batch in batches:
+                bits[cls.places(batch.column(0).to_numpy())] = True
+            words = np.packbits(bits, bitorder="little").view(np.int64)
+            at = np.flatnonzero(words)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
+
+        found = ids.select("doc_id").coalesce(16).mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+        words = np.zeros(cls.BITS // 64, np.int64)
+        words[found["at"].to_numpy()] = found["word"].to_numpy()
+        return cls(ids.sparkSession.sparkContext.broadcast(words.view(np.uint8)))
+
+    def hits(self, ids: pa.Array) -> np.ndarray:
+        at = self.places(ids.fill_null(-1).to_numpy(zero_copy_only=False))
+        return (self.broadcast.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+    def column(self, doc_id):
+        """The same as a column over a bigint column: only ids go to Python."""
+        @F.pandas_udf("boolean")
+        def hit(ids: pd.Series) -> pd.Series:
+            return pd.Series(self.hits(pa.array(ids.fillna(-1).astype("int64"))))
+
+        return hit(doc_id)
+
+
 def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, component) for every id that an edge joins to
     another, component being the smallest id reachable, itself included.

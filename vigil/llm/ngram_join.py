@@ -18,23 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, forest, groups, partitions, strings
+from .common import IdFilter, Workspace, components, forest, groups, mix64, partitions, strings
 
 #: Sets below this size emit single elements as signatures.
 SMALL = 64
 #: Documents in a block of a large cluster.
 BLOCK = 256
-#: Bits of the filter that spares most texts the second reading. Of fixed size: 2 MB.
-FILTER_BITS = 1 << 24
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's word n-grams; of its whole sequence if it has fewer words; empty without words."""
     import xxhash
@@ -46,7 +38,7 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     k = min(n, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
     return np.unique(out)
 
 
@@ -72,22 +64,18 @@ def signatures(s: np.ndarray, num: int = 80, den: int = 100) -> np.ndarray:
 
 def _at_level(s: np.ndarray, parts: int, differ: int) -> np.ndarray:
     if not parts:
-        return _mix(s[: differ + 1])
+        return mix64(s[: differ + 1])
     # elements are sorted, and the leading bits choose the part: each part is a run
     part = (s >> np.uint64(64 - int(math.log2(parts)))).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     size = np.diff(np.concatenate([first, [len(s)]]))
-    value = _mix(np.add.reduceat(_mix(s), first) + np.uint64(parts))
+    value = mix64(np.add.reduceat(mix64(s), first) + np.uint64(parts))
     if len(first) > differ + 1:  # fullest first, ties by value: the same order in every set that has the part
         first = np.lexsort((value, -size))[: differ + 1]
         value = value[first]
     return value
 
 
-def _bit(doc_id: np.ndarray) -> np.ndarray:
-    return (_mix(doc_id.astype(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
 def links(sets: list[np.ndarray], num: int = 80, den: int = 100) -> np.ndarray:
     """Which of some sets link: a symmetric boolean matrix. Overlaps add up over chunks of the incidence's columns."""
     k = len(sets)
@@ -129,7 +117,7 @@ def _describe(n_words: int, num: int, den: int):
             cols: tuple[list, ...] = ([], [], [], [])
             for text in strings(batch.column(1)):
                 s = shingle_set(text, n_words)
-                key = np.array([_mix(np.add.reduce(_mix(s), keepdims=True))[0], np.bitwise_xor.reduce(_mix(s + np.uint64(1)))], np.uint64) if len(s) else np.zeros(2, np.uint64)
+                key = np.array([mix64(np.add.reduce(mix64(s), keepdims=True))[0], np.bitwise_xor.reduce(mix64(s + np.uint64(1)))], np.uint64) if len(s) else np.zeros(2, np.uint64)
                 new = len(s) and (b := key.tobytes()) not in seen
                 if new:
                     seen.add(b)
@@ -141,24 +129,6 @@ def _describe(n_words: int, num: int, den: int):
     return run
 
 
-def _filter_words(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids, of fixed size, gathered as at most FILTER_BITS / 64 words."""
-
-    def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[_bit(batch.column(0).to_numpy())] = True
-        words = np.packbits(bits, bitorder="little").view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
-
-    found = ids.select("doc_id").coalesce(16).mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    table = found.toArrow()
-    out[table["at"].to_numpy()] = table["word"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
 def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: class of documents that links of Jaccard >= num/den join.
 
@@ -194,13 +164,11 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
     clusters = work.put(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
 
     # 3. sets of clustered documents meet in blocks of compatible sizes
-    near = spark.sparkContext.broadcast(_filter_words(clusters))
+    near = IdFilter.of(clusters)  # spares most texts the second reading
 
     def sets(batches):
         for batch in batches:
-            ids = batch.column(0)
-            hit = near.value[_bit(ids.fill_null(-1).to_numpy())]
-            batch = batch.filter(pa.array(hit))
+            batch = batch.filter(pa.array(near.hits(batch.column(0))))
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, n_words).tobytes() for t in strings(batch.column(1))], pa.binary())], names=["doc_id", "elements"])
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from .common import Workspace, table
 from .binary_records import token_records
 from .embedding_dedup import cosine_classes
+from .html_text import extract_text
 from .mixing import mix
 from .nearest import nearest
 from .ngram_join import jaccard_classes
 from .packing import pack_documents
+from .quality import fit, score_quality
 from .secrets import scan_secrets
 from .token_counts import token_counts
 
@@ -22,6 +22,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return pack_documents(Workspace(spark), table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), size=1024)
 
@@ -50,6 +54,11 @@ def op8_secret_scan(spark, sf_dir):
     return scan_secrets(Workspace(spark), table(spark, sf_dir, "documents")).drop("all_spans")
 
 
+def op9_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit(docs, table(spark, sf_dir, "labels")), good=0.7)
+
+
 def op10_approximate_nearest(spark, sf_dir):
     return nearest(Workspace(spark), table(spark, sf_dir, "embeddings"), queries="vec_id % 100 = 0", k=10)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.withColumn("_more", apart)
 
 
+def has_candidate(text: Column) -> Column:
+    """Whether a text holds a match of any pattern, long enough or not."""
+    return functools.reduce(Column.__or__, (F.regexp_like(text, F.lit(p)) for _, p, *_ in (*BASE, OPAQUE)))
+
+
 def scan_secrets(work: Workspace, docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), keep_text: bool = False) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied, all_spans): the secrets of every row.
 

@@ -23,7 +23,7 @@ from .common import IdFilter, Workspace, components, forest, groups, mix64, part
 #: Sets below this size emit single elements as signatures.
 SMALL = 64
 #: Documents in a block of a large cluster.
-BLOCK = 256
+BLOCK = 512
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -160,7 +160,10 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
     rows = full.select(F.explode("sig").alias("sig"), "doc_id").repartition(n_parts, "sig").sortWithinPartitions("sig", "doc_id")
-    clusters = components(work, rows.mapInArrow(stars, "a long, b long"), "candidate")
+    pairs = rows.mapInArrow(stars, "a long, b long").distinct()
+    for c in ("a", "b"):  # equal sets go on as their first document
+        pairs = pairs.join(equal.select(F.col("a").alias("_copy"), F.col("b").alias("_first")), F.col(c) == F.col("_copy"), "left").withColumn(c, F.coalesce("_first", c)).drop("_copy", "_first")
+    clusters = components(work, pairs, "candidate")
     clusters = work.put(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
 
     # 3. sets of clustered documents meet in blocks of compatible sizes

@@ -124,32 +124,46 @@ def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 def _in_one(new: list[str], apart: list[bool], together, alone) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and ids of stretches in order: most from one call on their joined text, the odd ones each by itself."""
-    if not any(apart):
-        return together(new)
-    odd = [i for i, x in enumerate(apart) if x]
     lengths, flat = together([s for s, x in zip(new, apart) if not x])
-    ids: list = np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else []
-    for i, x in zip(odd, alone([new[i] for i in odd])):
-        ids.insert(i, x)
-    return _flat(ids)
+    if not any(apart):
+        return lengths, flat
+    odd_lengths, odd = _flat(alone([s for s, x in zip(new, apart) if x]))
+    is_odd = np.array(apart)
+    out = np.empty(len(new), np.int64)
+    out[is_odd], out[~is_odd] = odd_lengths, lengths
+    ids = np.empty(len(flat) + len(odd), np.int32)
+    from_odd = np.repeat(is_odd, out)
+    ids[from_odd], ids[~from_odd] = odd, flat
+    return out, ids
 
 
 def _json_encoder(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    special = next((a.content, i) for i, a in t.get_added_tokens_decoder().items() if a.special and not (a.lstrip or a.rstrip or a.single_word))
+    if type(t.pre_tokenizer).__name__ != "ByteLevel" or t.normalizer is not None:
+        raise ValueError(f"{path}: only a byte-level tokenizer without normalizer may be cut at spaces")
+    added = t.get_added_tokens_decoder()
+    special = [a.content for a in added.values()]
+    n_bytes = np.zeros(t.get_vocab_size(), np.int64)
+    for token, i in t.get_vocab().items():  # a sign of the byte-level alphabet stands for one byte
+        n_bytes[i] = len(token.encode() if i in added else token)
+
+    def alone(new: list[str]) -> list[list[int]]:
+        return [x.ids for x in t.encode_batch_fast([s[1:] if s[:1] == FIRST else " " + s for s in new], add_special_tokens=False)]
 
     def together(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A special token between stretches keeps them apart and marks where each ends."""
+        """One call on the joined text; the ids' bytes tell where each stretch ends."""
         if not new:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        ids = np.array(t.encode(special[0].join([s[1:] if s[:1] == FIRST else " " + s for s in new]), add_special_tokens=False).ids, np.int32)
-        ends = np.flatnonzero(ids == special[1])
-        return np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1, ids[ids != special[1]]
-
-    alone = lambda new: [x.ids for x in t.encode_batch([s[1:] if s[:1] == FIRST else " " + s for s in new], add_special_tokens=False)]
-    return lambda new: _in_one(new, [special[0] in s for s in new], together, alone)
+        ids = np.array(t.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, np.int32)
+        ends, done = np.cumsum([len(s.encode()) + 1 for s in new]), np.cumsum(n_bytes[ids])
+        last = np.searchsorted(done, ends)
+        if not (done[last] == ends).all():
+            raise ValueError(f"{path}: an id crosses a boundary of stretches")
+        return np.diff(np.concatenate([[-1], last])), ids
+
+    return lambda new: _in_one(new, [s[:1] == FIRST or any(x in s for x in special) for s in new], together, alone)
 
 
 def _piece_encoder(path: str):

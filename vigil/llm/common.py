@@ -189,19 +189,21 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     another, component being the smallest id reachable, itself included.
 
     Alternating large-star and small-star steps: every step is an aggregate and a join over the edges, which never
-    grow in number, and the number of rounds is logarithmic. Each round is written to the shared folder."""
+    grow in number, and the number of rounds is logarithmic. Each round is written to the shared folder, and so are the
+    smallest neighbours before the first join, which leaves both its sides plain shuffles: adaptive execution can split a hub's."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = work.put(e, f"{name}-0")
     before = None
     for turn in range(1, 64):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = work.put(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-low-{turn}")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
         e = work.put(small.select("x.a", "x.b").where("a <> b").distinct(), f"{name}-{turn}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         work.drop(f"{name}-{turn - 1}")
+        work.drop(f"{name}-low-{turn}")
         if now == before:
             break
         before = now

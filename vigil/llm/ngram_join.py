@@ -4,10 +4,11 @@
    threshold share at least one: the hash space is dealt into K parts; sets of n and m elements that link differ in at most
    D = (1-t)/(1+t) * (n+m) elements, so at most D parts differ, and of any D+1 parts at least one agrees. A set emits its D+1
    fullest parts, each as one hash. Small sets emit their D+1 smallest elements instead.
-2. Documents that share a signature fall into one cluster (connected components over a star for each signature).
+2. Documents that share a signature fall into one cluster (connected components over a star for each signature). Stars form in
+   each batch before the shuffle, so that a signature of very many documents sends a row for each batch at most.
 3. Inside a cluster, blocks of documents of compatible sizes meet once; the product of their incidence gives the overlaps, pairs
    below the bound go, and a spanning forest of the links that remain is kept, never all pairs.
-4. Components of those links and of equal sets give the classes."""
+4. Components of those links give the classes of sets; documents find theirs by the hash of their set. Equal sets never become edges."""
 
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,15 +142,33 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
     # 1. sizes and signatures
     described = work.put(texts.mapInArrow(_describe(n_words, num, den), "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>"), "described")
     full = described.where("n_shingles > 0 and doc_id is not null")
-    same = full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("b"))
-    equal = full.select("doc_id", "n_shingles", "h1", "h2").join(same, ["n_shingles", "h1", "h2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    equal = work.put(equal, "equal")
+    same = work.put(full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("b")), "same")
+    # of equal sets, only those with signatures (one for each task at most) can come up in pairs
+    equal = full.where(F.size("sig") > 0).select("doc_id", "n_shingles", "h1", "h2").join(same, ["n_shingles", "h1", "h2"])
+    equal = work.put(equal.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b"), "equal")
 
     # 2. a star for each signature, then clusters
+    def near_stars(batches):
+        """Stars inside a batch: rows (signature, first document, null), and (any number, document, first document) for each pair."""
+        for batch in batches:
+            lists = batch.column(1)
+            sig, doc = lists.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            order = np.lexsort((doc, sig))
+            sig, doc = sig[order], doc[order]
+            new = np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)]
+            first = doc[new][np.cumsum(new) - 1]
+            pair = np.unique(np.stack([doc, first], 1)[doc != first], axis=0)
+            for key, d, f in ((sig[new], doc[new], pa.nulls(int(new.sum()), pa.int64())), (pair[:, 0], pair[:, 0], pa.array(pair[:, 1]))):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(d), f], names=["sig", "doc_id", "first"])
+
     def stars(batches):
-        """From rows sorted by signature and id: each further document of a signature with its first."""
+        """From rows sorted by signature and id: each further document of a signature with its first, and the pairs as they are."""
         last = None
         for batch in batches:
+            known = batch.column(2).is_valid()
+            near = batch.filter(known)
+            yield pa.RecordBatch.from_arrays([near.column(1), near.column(2)], names=["a", "b"])
+            batch = batch.filter(pc.invert(known))
             sig, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(sig):
                 continue
@@ -159,7 +179,8 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
             pair = np.unique(np.stack([doc, first], 1)[doc != first], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    rows = full.select(F.explode("sig").alias("sig"), "doc_id").repartition(n_parts, "sig").sortWithinPartitions("sig", "doc_id")
+    rows = full.where(F.size("sig") > 0).select("doc_id", "sig").mapInArrow(near_stars, "sig long, doc_id long, first long")
+    rows = rows.repartition(n_parts, "sig").sortWithinPartitions("sig", "doc_id")
     pairs = rows.mapInArrow(stars, "a long, b long").distinct()
     for c in ("a", "b"):  # equal sets go on as their first document
         pairs = pairs.join(equal.select(F.col("a").alias("_copy"), F.col("b").alias("_first")), F.col(c) == F.col("_copy"), "left").withColumn(c, F.coalesce("_first", c)).drop("_copy", "_first")
@@ -182,8 +203,9 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
     tally = tally.join(whole, "cluster").select("cluster", F.when(F.col("total") <= 2 * BLOCK, 0).otherwise(F.col("class")).alias("class"), "n", "total")
     blocks = tally.groupBy("cluster", "class").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.max("total").alias("total"))
     blocks = blocks.select("cluster", "class", F.when(F.col("total") <= 2 * BLOCK, 1).otherwise(F.col("blocks")).alias("blocks"), (F.col("total") <= 2 * BLOCK).alias("single"))
-    beside = blocks.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("beside"))  # a few dozen size classes at most
-    placed = sized.join(blocks.groupBy("cluster").agg(F.first("single").alias("single")), "cluster").withColumn("class", F.when(F.col("single"), 0).otherwise(F.col("class"))).join(beside, "cluster")
+    # a few dozen size classes at most; written, so that the join below can split a cluster of very many documents
+    layout = work.put(blocks.groupBy("cluster").agg(F.first("single").alias("single"), F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("beside")), "layout")
+    placed = sized.join(layout, "cluster").withColumn("class", F.when(F.col("single"), 0).otherwise(F.col("class")))
     mine = F.pmod(F.xxhash64("doc_id"), F.element_at("beside", F.col("class")))
     placed = placed.select("doc_id", "cluster", "class", mine.cast("int").alias("block"), *(F.coalesce(F.try_element_at("beside", F.col("class") + d), F.lit(0)).cast("int").alias(name) for d, name in ((-1, "below"), (0, "own"), (1, "above"))))
     # unit (class, block, other class, other block), the lesser first; a document joins every unit that its block is in
@@ -207,6 +229,10 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
     spread = found.repartition(n_parts, *keys).sortWithinPartitions(*keys, "doc_id")
     verified = spread.mapInArrow(meet, "a long, b long")
 
-    # 4. classes
-    classes = components(work, verified.unionByName(equal), "class")
-    return described.select("doc_id", "n_shingles").join(classes.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # 4. classes: of sets, then of their documents. The table of sets is written, so that the join can split a set of very many copies
+    classes = components(work, verified, "class")
+    sets_of = same.join(classes, F.col("b") == F.col("id"), "left").select("n_shingles", "h1", "h2", F.coalesce("component", "b").alias("component_id"))
+    sets_of = work.put(sets_of, "sets")
+    out = described.select("doc_id", "n_shingles", "h1", "h2").join(sets_of, ["n_shingles", "h1", "h2"], "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"))

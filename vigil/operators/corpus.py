@@ -63,3 +63,13 @@ def transitions(events: DataFrame, key: str, order: list[str], state: str) -> Da
 def claims(requests: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(key, winner, attempts): the first request of each idempotency key wins, the others replay it."""
     return requests.groupBy(key).agg(F.min(F.struct(*order)).alias("_w"), F.count("*").alias("attempts")).select(key, F.col(f"_w.{order[-1]}").alias("winner"), "attempts")
+
+
+def fold_states(events: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
+    """(key, events, state, applied): an incident's state after its events in order; illegal steps change nothing. One incident's events, which are few, are folded together."""
+    pairs = F.array(*(F.lit(f"{a}>{b}") for a, to in TRANSITIONS.items() for b in to))
+    steps = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(state).alias("_s")))), lambda x: x["_s"])
+    start = F.struct(F.lit("OPEN").alias("s"), F.lit(0).alias("n"))
+    move = lambda acc, x: F.when(F.array_contains(pairs, F.concat_ws(">", acc["s"], x)), F.struct(x.alias("s"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+    g = events.groupBy(key).agg(steps.alias("_t")).select(key, F.size("_t").cast("long").alias("events"), F.aggregate("_t", start, move).alias("_f"))
+    return g.select(key, "events", F.col("_f.s").alias("state"), F.col("_f.n").cast("long").alias("applied"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .common import Workspace, table
 from .binary_records import token_records
 from .embedding_dedup import cosine_classes
@@ -68,4 +69,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_embedding_near_dedup": oracles.NEAR_VECTORS, "op4_ngram_jaccard_join": oracles.NGRAM_JOIN}

@@ -69,4 +69,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": oracles.NEAR_VECTORS, "op4_ngram_jaccard_join": oracles.NGRAM_JOIN}
+    return {"op3_embedding_near_dedup": oracles.NEAR_VECTORS, "op4_ngram_jaccard_join": oracles.NGRAM_JOIN, "op8_secret_scan": oracles.SECRETS}

@@ -75,6 +75,7 @@ def scan_secrets(work: Workspace, docs: DataFrame, owner: str = "source", reposi
     each = rows.where(F.size("_base") + F.size("_more") > 0).select("_row", "_owner", "_repository", F.explode(F.concat("_base", "_more")).alias("x"))
     each = each.select("_row", "_owner", "_repository", F.sha2(F.col("x.value"), 256).alias("hash"), F.regexp_like("x.value", F.lit(PLACEHOLDER)).alias("shown"), "x")
     use = each.groupBy("hash").agg(F.count_distinct("_owner").alias("owners"), F.count_distinct("_repository").alias("repositories"))
+    use = work.put(use, "use")  # written, so that both sides of the join are plain shuffles and a value copied everywhere can be split
     live = (F.col("owners") <= MOST_OWNERS) & (F.col("repositories") <= MOST_REPOSITORIES) & ~F.col("shown")
     judged = each.join(use, "hash").select("_row", "x", live.alias("live"))
     marks = judged.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("x.start", "x.rank", "x.end", "x.kind", "live"))).alias("_marks"))  # of one document

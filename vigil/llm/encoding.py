@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Distinct stretches that a worker remembers (about 200 bytes each); beyond, it keeps the older half, in which the frequent ones are.
-MEMO = 800_000
+MEMO = 400_000
 #: Marks a text's first stretch, which no space precedes. A lone surrogate can't occur in a text.
 FIRST = "\ud800"
 #: Characters of a stretch beyond which the memory is rather emptied than halved.

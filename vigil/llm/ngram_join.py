@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Workspace, components, forest, groups, mix64, partitions, strings
+from .common import IdFilter, Workspace, components, forest, groups, lean, mix64, partitions, strings
 
 #: Sets below this size emit single elements as signatures.
 SMALL = 64
@@ -140,7 +140,7 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
     n_parts = partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # 1. sizes and signatures
-    described = work.put(texts.mapInArrow(_describe(n_words, num, den), "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>"), "described")
+    described = work.put(texts.mapInArrow(lean(_describe(n_words, num, den)), "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>"), "described")
     full = described.where("n_shingles > 0 and doc_id is not null")
     same = work.put(full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("b")), "same")
     # of equal sets, only those with signatures (one for each task at most) can come up in pairs
@@ -179,9 +179,9 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
             pair = np.unique(np.stack([doc, first], 1)[doc != first], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    rows = full.where(F.size("sig") > 0).select("doc_id", "sig").mapInArrow(near_stars, "sig long, doc_id long, first long")
+    rows = full.where(F.size("sig") > 0).select("doc_id", "sig").mapInArrow(lean(near_stars), "sig long, doc_id long, first long")
     rows = rows.repartition(n_parts, "sig").sortWithinPartitions("sig", "doc_id")
-    pairs = rows.mapInArrow(stars, "a long, b long").distinct()
+    pairs = rows.mapInArrow(lean(stars), "a long, b long").distinct()
     for c in ("a", "b"):  # equal sets go on as their first document
         pairs = pairs.join(equal.select(F.col("a").alias("_copy"), F.col("b").alias("_first")), F.col(c) == F.col("_copy"), "left").withColumn(c, F.coalesce("_first", c)).drop("_copy", "_first")
     clusters = components(work, pairs, "candidate")
@@ -215,7 +215,7 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
     none = F.expr("cast(array() as array<struct<c1: int, b1: int, c2: int, b2: int>>)")
     units = F.concat(F.when(F.col("below") > 0, below).otherwise(none), own, F.when(F.col("above") > 0, above).otherwise(none))
     placed = placed.select("doc_id", "cluster", F.explode(units).alias("u")).select("doc_id", "cluster", "u.*")
-    found = texts.mapInArrow(sets, "doc_id long, elements binary").join(placed, "doc_id")
+    found = texts.mapInArrow(lean(sets), "doc_id long, elements binary").join(placed, "doc_id")
 
     keys = ["cluster", "c1", "b1", "c2", "b2"]
 
@@ -227,7 +227,7 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
                 yield pa.RecordBatch.from_arrays([pa.array(ids[ids != root]), pa.array(root[ids != root])], names=["a", "b"])
 
     spread = found.repartition(n_parts, *keys).sortWithinPartitions(*keys, "doc_id")
-    verified = spread.mapInArrow(meet, "a long, b long")
+    verified = spread.mapInArrow(lean(meet), "a long, b long")
 
     # 4. classes: of sets, then of their documents. The table of sets is written, so that the join can split a set of very many copies
     classes = components(work, verified, "class")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, by_bytes, byte_lengths, groups, partitions, strings
+from .common import Workspace, by_bytes, byte_lengths, groups, lean, partitions, strings
 from .encoding import encoder
 from .token_counts import BATCH_BYTES
 
@@ -62,7 +62,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 2) ->
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(work: Workspace, docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -82,6 +82,6 @@ def pack_documents(work: Workspace, docs: DataFrame, tokenizer: str, size: int =
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "shard"]
-    packed = short.select(columns).repartition(max(1, min(shards, 4 * partitions(spark))), "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece").mapInArrow(run, kinds)
+    packed = short.select(columns).repartition(max(1, min(shards, 4 * partitions(spark))), "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece").mapInArrow(lean(run), kinds)
     whole = pieces.where(F.col("length") == size).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(whole)

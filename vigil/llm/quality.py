@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, byte_lengths, ship_code
+from .common import by_bytes, byte_lengths, lean, ship_code
 
 #: Bytes of a chunk and of the stretch that neighbours share; bytes under a filter, step of filters, size of a byte's vector, filters.
 CHUNK, OVERLAP, WIDTH, STEP, BYTE_DIM, FILTERS = 512, 64, 8, 4, 8, 32
@@ -150,7 +150,7 @@ def score_quality(docs: DataFrame, net: Network, good: float = 0.7) -> DataFrame
             s = _scores(net, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= good).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text").mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, net: Network, good: float = 0.7) -> DataFrame:
@@ -163,4 +163,4 @@ def keep_good(docs: DataFrame, net: Network, good: float = 0.7) -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(_scores(net, batch.column(at)) >= good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -110,3 +110,11 @@ def holdout(rows: DataFrame, group: str, key: str, fresh: str, seed: str, k: int
     r = rows.withColumn("_later", ~F.col(fresh) & (n >= k))
     place = F.row_number().over(Window.partitionBy(group).orderBy("_later", F.sha2(F.concat_ws(":", F.lit(seed), F.col(group), F.col(key).cast("string")), 256)))
     return r.withColumn("place", place).withColumn("split", F.when(F.col("place") <= k, "test").otherwise("development")).drop("_later")
+
+
+def split_cover(splits: DataFrame, rows: DataFrame, key: str, split: str) -> DataFrame:
+    """One row: ids in several splits, ids of `rows` in none, ids of splits that `rows` lacks, and whether the cover is exact. Null ids don't count."""
+    u = splits.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(split).alias("_splits"))
+    known = rows.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_known", F.lit(True))
+    c = known.join(u, key, "full").agg(F.count_if(F.col("_splits") > 1).alias("shared"), F.count_if(F.col("_splits").isNull()).alias("uncovered"), F.count_if(F.col("_known").isNull()).alias("unknown"))
+    return c.withColumn("exact", (F.col("shared") == 0) & (F.col("uncovered") == 0) & (F.col("unknown") == 0))

@@ -154,3 +154,41 @@ def mllib_logreg(spark, d):
 def mllib_forest(spark, d):
     """Rows only: MLlib's trees."""
     return models.classify(_lines(spark, d), ["l_orderkey", "l_linenumber"], LINE, "label", "forest")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_shipdate, total FROM (SELECT *, count(*) OVER () AS total FROM lineitem WHERE l_returnflag = 'R') ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 50 OFFSET 100""")
+def timeline_page(spark, d):
+    """The third page of 50 events, oldest first, with the number of all."""
+    t = table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    rows = corpus.page(t, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 2, 50)
+    return rows.join(t.agg(F.count("*").alias("total"))).select("l_orderkey", "l_linenumber", "l_shipdate", "total")  # one row beside a page
+
+
+@query("""SELECT source, lang, quality, count(*) AS cases, count(*) FILTER (doc_id % 5 = 0) AS final, count(*) FILTER (doc_id % 5 = 0) > 0 AND count(*) FILTER (doc_id % 5 <> 0) > 0 AS balanced
+FROM documents JOIN labels USING (doc_id) GROUP BY source, lang, quality""")
+def benchmark_balance(spark, d):
+    """Cases by family, style and class, those of the final split, and whether both splits have some."""
+    t = table(spark, d, "documents").select("doc_id", "source", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    final = F.count_if(F.col("doc_id") % 5 == 0)
+    return t.groupBy("source", "lang", "quality").agg(F.count("*").alias("cases"), final.alias("final"), ((final > 0) & (final < F.count("*"))).alias("balanced"))
+
+
+@query("""WITH b AS (SELECT item_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS q FROM benchmark), e AS (SELECT item_id, q FROM b WHERE item_id % 2 = 0)
+SELECT b.item_id, count(e.item_id) > 0 AS reused FROM b LEFT JOIN e ON e.q = b.q AND e.item_id < b.item_id GROUP BY b.item_id""")
+def query_reuse(spark, d):
+    """Whether an earlier benchmark, here the items of even number, has a text already, case and white space aside."""
+    q = F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n\r]+", " "))
+    b = table(spark, d, "benchmark").select("item_id", q.alias("q"))
+    first = b.where(F.col("item_id") % 2 == 0).groupBy("q").agg(F.min("item_id").alias("first"))
+    return b.join(first, "q", "left").select("item_id", F.coalesce(F.col("first") < F.col("item_id"), F.lit(False)).alias("reused"))
+
+
+@query("""WITH s AS (SELECT doc_id, 'train' AS split FROM labels WHERE doc_id % 10 < 6 UNION ALL SELECT doc_id, 'validation' FROM labels WHERE doc_id % 10 BETWEEN 6 AND 7 UNION ALL SELECT doc_id, 'test' FROM labels WHERE doc_id % 10 >= 7),
+u AS (SELECT doc_id, count(DISTINCT split) AS splits FROM s GROUP BY doc_id) SELECT count(*) FILTER (splits > 1) AS shared, count(*) FILTER (known AND splits IS NULL) AS uncovered, count(*) FILTER (known IS NULL) AS unknown, count(*) FILTER (splits > 1) = 0 AND count(*) FILTER (splits IS NULL OR known IS NULL) = 0 AS exact
+FROM (SELECT DISTINCT doc_id, true AS known FROM labels WHERE doc_id IS NOT NULL) k FULL JOIN u ON u.doc_id = k.doc_id""")
+def split_cover(spark, d):
+    """Whether splits are disjoint and cover every id; here two share the ids that end in 7."""
+    m = F.col("doc_id") % 10
+    names = F.array_compact(F.array(F.when(m < 6, "train"), F.when(m.between(6, 7), "validation"), F.when(m >= 7, "test")))
+    labels = table(spark, d, "labels").select("doc_id")
+    return anomaly.split_cover(labels.select("doc_id", F.explode(names).alias("split")), labels, "doc_id", "split")

@@ -23,39 +23,52 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return keep_good(docs, net)
 
 
+def numbered(work: Workspace, docs: DataFrame) -> DataFrame:
+    """The documents with a written number for each row, `_row`: ids may be null or repeat with different texts."""
+    return work.put(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays. Only documents that a fixed-size filter of
-    the leaving ids hits are shuffled; the rest pass as they are read."""
-    work = Workspace(spark)
-    classes = jaccard_classes(work, docs)
-    leaving = work.put(classes.where("doc_id <> component_id").select("doc_id"), "leaving")
-    hit = IdFilter.of(leaving).column(F.col("doc_id"))
-    return docs.where(~hit).unionByName(docs.where(hit).join(leaving, "doc_id", "left_anti").select(docs.columns))
+    """Of each class of near duplicates one row of the smallest id stays, a null id counting as the largest; of equal rows without words
+    one. Only rows that a fixed-size filter of the leaving ones hits are shuffled; the rest pass as they are read."""
+    work, columns = Workspace(spark), docs.columns
+    docs = numbered(work, docs)
+    classes = jaccard_classes(work, docs.select(F.col("_row").alias("doc_id"), "text")).where("n_shingles > 0")
+    classes = classes.select(F.col("doc_id").alias("_row"), F.col("component_id").cast("string").alias("class")).join(docs.select("_row", "doc_id"), "_row")
+    # texts without words link with nothing, so their repeated rows are found by the whole row
+    bare = docs.where(~F.regexp_like(F.coalesce("text", F.lit("")), F.lit(WORD)))
+    bare = bare.select("_row", F.sha2(F.to_json(F.struct(*columns)), 256).alias("class"), "doc_id")
+    members = work.put(classes.unionByName(bare), "members")
+    first = members.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    first = work.put(first.where("n > 1").select("class", F.col("first._row").alias("stays")), "first")  # written, so that the join can split a hot class
+    leaving = work.put(members.join(first, "class").where("_row <> stays").select("_row"), "leaving")
+    hit = IdFilter.of(leaving.select(F.col("_row").alias("doc_id"))).column(F.col("_row"))
+    return docs.where(~hit).unionByName(docs.where(hit).join(leaving, "_row", "left_anti").select(docs.columns)).select(columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of secrets become [SECRET]. Documents without a candidate pass as they are read."""
-    work = Workspace(spark)
-    spans = scan_secrets(work, docs).where("spans <> ''").select(F.col("doc_id").alias("_id"), "all_spans", "spans").dropDuplicates(["_id", "spans"])
+    """Spans of secrets become [SECRET]. Documents without a candidate pass as they are read; the others carry their text through the scan."""
     suspect = has_candidate(F.coalesce("text", F.lit("")))
     clean = docs.where(~suspect)
-    found = docs.where(suspect).join(spans, F.col("doc_id") == F.col("_id"), "left")
-    text = F.when(F.col("all_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("all_spans")))
+    found = scan_secrets(Workspace(spark), docs.where(suspect), keep_text=True)
+    text = F.when(F.size("all_spans") > 0, redact(F.col("text"), F.col("all_spans"))).otherwise(F.col("text"))
     found = found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
     return clean.unionByName(found)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document once for each whole taking, and once more for the words of a partial one. Documents not taken go."""
-    taken = mix(Workspace(spark), docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "epochs", "cut_from", "cut_to", "cut_again", "size")
+    work, columns = Workspace(spark), docs.columns
+    docs = numbered(work, docs)
+    taken = mix(work, docs, keep=("_row",)).where("taken > 0").select("_row", "epochs", "cut_from", "cut_to", "cut_again", "size")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cut = lambda a, b: F.when(F.col("cut_to") - F.col("cut_from") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, a.cast("int") + 1, (b - a).cast("int")), " "))
     none = F.expr("cast(array() as array<string>)")
     run = F.when(F.col("cut_to") > F.col("cut_from"), F.array(cut(F.col("cut_from"), F.col("cut_to")))).otherwise(none)
     again = F.when(F.col("cut_again") > 0, F.array(F.array_join(F.slice(words, 1, F.col("cut_again").cast("int")), " "))).otherwise(none)
     texts = F.concat(F.array_repeat("text", F.col("epochs").cast("int")), run, again)
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("text", F.explode(texts))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    rows = docs.join(taken, "_row").withColumn("text", F.explode(texts))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

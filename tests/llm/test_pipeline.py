@@ -4,7 +4,7 @@ import corpus_pipeline as P
 from vigil.llm.common import Workspace
 from vigil.llm.mixing import mix
 
-from .helpers import WORDS, least_reachable, odd_documents, shingles
+from .helpers import BASE, WORDS, least_reachable, odd_documents, shingles
 from .test_ngram_join import brute
 from .test_secrets import brute as brute_spans
 
@@ -52,3 +52,34 @@ def test_whole_run(spark):
     assert sum(used.values()) >= 0.9 * 1024 * (len(used) - 1)
     assert [n for n, _ in P.STAGES] == ["quality_classifier", "near_duplicates", "secret_scan", "source_mix", "best_fit_packing"]
     assert least_reachable([1], []) == {1: 1} and not shingles(None)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    base, tail, other = " ".join(BASE), " ".join([*BASE, "tail"]), "quite another text of some words " * 3
+    texts = [(None, base), (None, base), (3, base), (2, tail), (2, tail), (2, other), (None, other + "x"), (7, None), (7, None), (8, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in P.near_duplicates(spark, docs, DIR).collect())
+    assert got == Counter([(2, tail), (2, other), (7, None), (8, None), (None, "")])
+
+
+def test_secrets_of_repeated_and_null_ids(spark):
+    a, b, c = "first password: hunter2hunter2 end", "a longer beginning, then password: swordfish99 end", "token= Zebra77zebra77 tail"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in [(None, a), (5, b), (5, c), (5, "nothing"), (None, None)]], DOCS)
+    got = Counter((r.doc_id, r.text) for r in P.secret_scan(spark, docs, DIR).collect())
+    assert got == Counter([(None, "first [SECRET] end"), (5, "a longer beginning, then [SECRET] end"), (5, "[SECRET] tail"), (5, "nothing"), (None, None)])
+
+
+def test_mix_of_repeated_and_null_ids(spark):
+    rows = [(i, " ".join(f"w{n}x{j}" for j in range(50 + n)), "en", "ab"[n % 2], 0) for n, i in enumerate([None] * 40 + [1] * 40 + list(range(100, 140)))]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = sum(r.taken for r in mix(Workspace(spark), docs).collect())
+    got = Counter()
+    for r in P.source_mix(spark, docs, DIR).collect():
+        words = WORDS.findall(r.text)
+        assert len({w.split("x")[0] for w in words}) == 1
+        got[r.doc_id, words[0].split("x")[0]] += len(words)
+    size = {(i, f"w{n}"): 50 + n for n, (i, *_) in enumerate(rows)}
+    assert sum(got.values()) == want and all(n <= 2 * size[k] for k, n in got.items())

@@ -55,8 +55,8 @@ def apportion(votes: DataFrame, within: list[str], party: list[str], seats: Colu
     return joined.drop("seats", "all_votes", "parties", "mark", "about", "sure", "rest")
 
 
-def mix(work: Workspace, docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 11, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, epochs, cut_from, cut_to, cut_again): for every row the words that the mix takes.
+def mix(work: Workspace, docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 11, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, doc_id, size, source_size, target, taken, epochs, cut_from, cut_to, cut_again): for every row the words that the mix takes.
 
     A source's documents are dealt into shards of about `shard_words` by a seeded hash, so that a hot source has many.
     In a shard they stand in seeded order, cut into equal blocks. The blocks that make up all targets are apportioned to sources,
@@ -64,7 +64,7 @@ def mix(work: Workspace, docs: DataFrame, share: float = 1.5, most: float = 2.0,
     of blocks from a seeded one on, so few documents are cut: `epochs` copies of a document are whole, then words cut_from to cut_to
     (exclusive), and from 0 to cut_again where the run comes round. No document is taken above `most` = 2 times. Null and empty texts
     have size 0 and are never taken; rows that are equal in id and text are dealt alike; an empty table gives an empty result."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("lot"))
+    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("lot"))
     rows = work.put(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = work.put(targets(sizes, share, most, weights).withColumn("shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_words))), "targets")
@@ -90,4 +90,4 @@ def mix(work: Workspace, docs: DataFrame, share: float = 1.5, most: float = 2.0,
     within = lambda x: F.least(F.greatest(F.col(x) - F.col("at"), F.lit(0).cast("long")), F.col("size"))
     out = out.withColumn("cut_from", within("a")).withColumn("cut_to", within("b")).withColumn("cut_again", F.least(within("c"), F.col("cut_from")))
     taken = F.col("epochs") * F.col("size") + F.col("cut_to") - F.col("cut_from") + F.col("cut_again")
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "epochs", "cut_from", "cut_to", "cut_again")
+    return out.select(*keep, "doc_id", "size", "source_size", "target", taken.alias("taken"), "epochs", "cut_from", "cut_to", "cut_again")

@@ -66,3 +66,10 @@ def test_components(spark):
     got = {r.id: r.component for r in components(Workspace(spark), spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     want = {i: c for i, c in least_reachable({x for e in edges for x in e}, edges).items() if i != 300}
     assert got == want
+
+
+def test_a_copy_with_a_null_id_comes_first(spark):
+    docs = [(None, " ".join(BASE)), (1, " ".join(BASE)), (2, " ".join([*BASE, "tail"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard_classes(Workspace(spark), df).collect()}
+    assert got == {None: None, 1: 1, 2: 1}

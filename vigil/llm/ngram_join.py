@@ -111,16 +111,16 @@ def links(sets: list[np.ndarray], num: int = 80, den: int = 100) -> np.ndarray:
 
 def _describe(n_words: int, num: int, den: int):
     """For each document: set size, a 128-bit hash of the set, and signatures. Equal sets of one task emit them once, so that
-    a group of copies, however large, sends no more than a copy for each task."""
+    a group of copies, however large, sends no more than a copy for each task; a row with a null id, which links with nothing, emits none."""
 
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [])
-            for text in strings(batch.column(1)):
+            for known, text in zip(batch.column(0).is_valid().to_pylist(), strings(batch.column(1))):
                 s = shingle_set(text, n_words)
                 key = np.array([mix64(np.add.reduce(mix64(s), keepdims=True))[0], np.bitwise_xor.reduce(mix64(s + np.uint64(1)))], np.uint64) if len(s) else np.zeros(2, np.uint64)
-                new = len(s) and (b := key.tobytes()) not in seen
+                new = known and len(s) and (b := key.tobytes()) not in seen
                 if new:
                     seen.add(b)
                 for c, v in zip(cols, (len(s), *key.astype(np.int64).tolist(), signatures(s, num, den).astype(np.int64) if new else np.zeros(0, np.int64))):

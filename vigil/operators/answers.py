@@ -29,7 +29,7 @@ def micro_macro(rows: DataFrame, by: str, hits: str, total: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("cases"), F.round(F.try_divide(F.sum(hits), F.sum(total)), 6).alias("micro"), F.round(F.avg(F.try_divide(F.col(hits), F.col(total))), 6).alias("macro"))
 
 
-def bootstrap(rows: DataFrame, value: str, resamples: int = 1000, seed: int = 17, level: float = 0.95) -> DataFrame:
+def bootstrap(rows: DataFrame, value: str, resamples: int = 10_000, seed: int = 17, level: float = 0.95) -> DataFrame:
     """One row (estimate, lower, upper) of a mean: Poisson bootstrap. Each row counts in each resample by a weight drawn from its own content and
     the seed, so resamples need one pass and partial sums, however many rows there are."""
 

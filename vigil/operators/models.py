@@ -22,9 +22,9 @@ def medians(rows: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
-def impute(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing values become the column's median."""
-    m = medians(rows, columns).select(*(F.col(c).alias(f"_{c}") for c in columns))
+def impute(rows: DataFrame, columns: list[str], known: DataFrame | None = None) -> DataFrame:
+    """Missing values become the column's median, over the rows of `known` where given."""
+    m = medians(rows if known is None else known, columns).select(*(F.col(c).alias(f"_{c}") for c in columns))
     return rows.join(F.broadcast(m)).select(*(F.coalesce(c, f"_{c}").alias(c) if c in columns else c for c in rows.columns))
 
 
@@ -55,7 +55,7 @@ def _depths(node: tuple, x: np.ndarray, at: np.ndarray, depth: int, out: np.ndar
     _depths(node[3], x, at[~left], depth + 1, out)
 
 
-def isolation_forest(rows: DataFrame, key: list[str], columns: list[str], trees: int = 100, sample: int = 256, seed: int = 17) -> DataFrame:
+def isolation_forest(rows: DataFrame, key: list[str], columns: list[str], trees: int = 300, sample: int = 256, seed: int = 17) -> DataFrame:
     """(key, score): isolation forest over complete rows. Every row is scored; a tree grows from `sample` rows, a parameter of the method. They are the
     trees * sample rows of least seeded hash, so fitting data are bounded and reruns agree."""
     known = rows.dropna(subset=columns).select(*key, *(F.col(c).cast("double").alias(c) for c in columns))
@@ -79,13 +79,25 @@ def isolation_forest(rows: DataFrame, key: list[str], columns: list[str], trees:
 
 
 def classify(rows: DataFrame, key: list[str], columns: list[str], label: str, kind: str = "logistic", held_out: str = "held_out", seed: int = 17) -> DataFrame:
-    """(key, label, held_out, probability, predicted): an MLlib classifier of `label` 0/1, standardized, trained on rows that aren't held out."""
+    """(key, label, held_out, probability, predicted): an MLlib classifier of `label` 0/1, trained on rows that aren't held out. Missing
+    values, NaN included, become the medians of those rows, so every row is scored; columns are standardized. Logistic regression has up to 2000 iterations and
+    the penalty 1 / rows; the forest 300 trees of depth 5, at least 2 rows in a leaf, and weights that balance the classes."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    last = LogisticRegression(featuresCol="x", labelCol=label, maxIter=20, regParam=0.01) if kind == "logistic" else RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=20, maxDepth=5, seed=seed)
-    steps = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), last])
-    scored = steps.fit(rows.where(~F.col(held_out))).transform(rows)
+    whole = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) if c in columns else c for c in rows.columns]
+    rows = rows.select(*whole)
+    rows = impute(rows, columns, rows.where(~F.col(held_out)))
+    learned = rows.where(~F.col(held_out))
+    count = {r[0]: r[1] for r in learned.groupBy(label).agg(F.count("*")).collect()}
+    n = sum(count.values())
+    if kind == "logistic":
+        last = LogisticRegression(featuresCol="x", labelCol=label, maxIter=2000, regParam=1 / max(n, 1), standardization=False)
+    else:
+        last = RandomForestClassifier(featuresCol="x", labelCol=label, weightCol="_weight", numTrees=300, maxDepth=5, minInstancesPerNode=2, seed=seed)
+    weight = F.element_at(F.create_map(*(F.lit(x) for k, c in count.items() for x in (float(k), n / (len(count) * c)))), F.col(label).cast("double"))
+    steps = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="error"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), last])
+    scored = steps.fit(learned.withColumn("_weight", weight)).transform(rows)
     return scored.select(*key, label, held_out, vector_to_array("probability")[1].alias("probability"), F.col("prediction").cast("int").alias("predicted"))

@@ -339,7 +339,7 @@ def otlp_round_trip(spark, d):
 @query()
 def bootstrap_ci(spark, d):
     """Rows only: resampling weights come from numpy's generator."""
-    return answers.bootstrap(table(spark, d, "labels").select("doc_id", "quality"), "quality", resamples=200)
+    return answers.bootstrap(table(spark, d, "labels").select("doc_id", "quality"), "quality", resamples=10_000)
 
 
 @query()

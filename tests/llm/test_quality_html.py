@@ -69,3 +69,15 @@ def test_pages(spark):
     assert [(r.page_id, r.n_chars, len(r.text)) for r in got] == [(0, 0, 0), (1, 0, 0), (2, 105, 105), (2, 105, 105), (None, 139998, 139998)] or all(r.n_chars == len(r.text) for r in got)
     assert sorted(len(r.text) for r in got)[-1] == 20000 * 5 + 19999 * 2
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_articles_in_layout_with_cue_words():
+    from vigil.llm.html_text import main_text
+
+    text = "A sentence of the article with quite a few plain words in it, so that it is long enough to count as text."
+    article = f"<article><h1>Some title of it</h1><p>{text}</p><p>{text}</p></article>"
+    for cue in ("site no-sidebar", "has-sidebar", "comments-open", "search-results"):
+        assert main_text(f'<body><div class="{cue}">{article}</div></body>').count(text) == 2, cue
+    assert main_text(f"<body><form>{article}</form></body>").count(text) == 2
+    for other in ('div id="comments"', 'div class="comments-area"', 'div class="no-sidebar comment-list"', "nav", "aside", "footer", "div hidden", 'div class="related-posts"'):
+        assert text not in main_text(f"<body><main><p>Other words of the page.</p></main><{other}>{article}</{other.split()[0]}></body>"), other

@@ -28,6 +28,21 @@ CUES = frozenset(
     "menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar related recommended share sharing social subscribe subscription newsletter signup login search toolbar complementary contentinfo tags hidden".split()
 )
 _PART = re.compile(r"[a-z]+|\d+")
+#: Elements and words that mark other parts even where an article lies within; of other words only those that are a whole class, id or role.
+CLOSED = frozenset("nav footer aside dialog menu".split())
+CLOSED_WORDS = frozenset("related recommended sponsor sponsored promo promotion advert adverts advertisement advertising comment comments disqus discussion replies reply".split())
+#: Words that make a cue the state of a page's layout: no-sidebar, comments-open.
+STATE = frozenset("no has with without open closed on off enabled disabled".split())
+
+
+def _closed(value: str) -> bool:
+    """Whether a class, id or role marks another part for good, so that no article within it counts."""
+    for token in value.split():
+        words = set(_PART.findall(token))
+        if token in CUES or words & CLOSED_WORDS and not words & STATE:
+            return True
+    return False
+
 
 #: The small labelled table: words, link density, words before, density before, words after, density after, other part (1), article (1),
 #: heading (1), and whether the block is main text (1). Labelled by hand.
@@ -85,7 +100,7 @@ def blocks(page: str) -> list[tuple]:
     """(text, words, link density, other part, article, heading) of each flat text block, in page order."""
     out: list[tuple] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, in another part, in the article
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, in another part, in the article, in a part where no article counts
     links = heading = 0
 
     def flush() -> None:
@@ -94,7 +109,7 @@ def blocks(page: str) -> list[tuple]:
         if text:
             linked = len(html.unescape(" ".join(p for p, a in parts if a)).split())
             n = len(text.split())
-            other, main = stack[-1][1:] if stack else (False, False)
+            other, main = stack[-1][1:3] if stack else (False, False)
             out.append((text, n, min(1.0, linked / n), int(other), int(main), int(heading > 0)))
         parts = []
 
@@ -140,17 +155,20 @@ def blocks(page: str) -> list[tuple]:
                     break
                 if stack[i][0] not in INLINE and stack[i][0] != "p":
                     break
-        other, main = stack[-1][1:] if stack else (False, False)
+        other, main, closed = stack[-1][1:] if stack else (False, False, False)
         main = main or name in MAIN
+        if name in MAIN:
+            other = closed
         if name in OTHER or name == "header" and not main:
-            other = True
-        elif m[3] and name not in ("html", "body") and name not in MAIN and not other:
+            other, closed = True, closed or name in CLOSED
+        if m[3] and name not in ("html", "body") and name not in MAIN and not closed:
             for key, *values in _ATTRIBUTE.findall(m[3]):
                 key = key.lower()
                 value = "".join(values).lower()
                 if key == "hidden" or key == "aria-hidden" and value == "true" or not key.endswith("hidden") and (CUES & set(_PART.findall(value)) or not main and "header" in value and name != "h1"):
                     other = True
-        stack.append((name, other, main))
+                    closed = closed or key.endswith("hidden") or _closed(value)
+        stack.append((name, other, main, closed))
     flush()
     return out
 

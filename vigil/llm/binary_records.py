@@ -15,23 +15,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, by_bytes, byte_lengths, groups, partitions, strings
+from .common import Workspace, by_bytes, byte_lengths, groups, lean, partitions
 from .encoding import encoder
 from .token_counts import BATCH_BYTES
 
 _HEAD, _OPEN, _CRC = struct.Struct("<QI"), struct.Struct("<Bq"), struct.Struct("<I")
 
 
-def masked(data: bytes) -> int:
+def turned(c: int) -> int:
     """A CRC-32 turned and shifted, so that checksums of data that hold checksums stay telling."""
-    c = zlib.crc32(data)
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+def masked(data: bytes) -> int:
+    return turned(zlib.crc32(data))
+
+
+def with_end(lengths: np.ndarray, flat: np.ndarray, end_id: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's ids and the end id, in one buffer, and where each text ends there."""
+    ends = np.cumsum(lengths + 1)
+    ids = np.empty(int(ends[-1]) if len(ends) else 0, kind)
+    last = np.zeros(len(ids), bool)
+    last[ends - 1] = True
+    ids[last], ids[~last] = end_id, flat
+    return ids, ends
+
+
+def framed(doc_id: int | None, ids: memoryview, width: int) -> tuple[bytes, ...]:
+    """The parts of a record, from ids as bytes."""
+    opened = _OPEN.pack(width | (128 if doc_id is None else 0), doc_id or 0)
+    size = struct.pack("<Q", len(opened) + len(ids))
+    return size, _CRC.pack(masked(size)), opened, ids, _CRC.pack(turned(zlib.crc32(ids, zlib.crc32(opened))))
+
+
+def frame_bytes() -> int:
+    """Bytes of a record besides its ids."""
+    return _HEAD.size + _OPEN.size + _CRC.size
+
+
 def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
-    payload = _OPEN.pack(width | (128 if doc_id is None else 0), doc_id or 0) + ids.astype(f"<u{width}").tobytes()
-    size = struct.pack("<Q", len(payload))
-    return size + _CRC.pack(masked(size)) + payload + _CRC.pack(masked(payload))
+    return b"".join(framed(doc_id, memoryview(ids.astype(f"<u{width}").tobytes()), width))
 
 
 def unframe(record: bytes) -> tuple[int | None, np.ndarray]:
@@ -54,16 +77,21 @@ def file_name(shard: int) -> str:
     return f"part-{shard:06d}.records"
 
 
-def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_width: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write every row's ids and the end id to `folder`, which executors share, in ascending id order (null first, equal ids
-    by text). Lazy: returns the index (shard, record, doc_id, offset, length, n_tokens), which must be stored once.
+    by a hash of their text, so that the rows of one id may lie in several files). Lazy: returns the index (shard, record, doc_id,
+    offset, length, n_tokens), which must be stored once.
 
-    Null and empty texts give a record with the end id alone; repeated rows give a record each; an empty table gives
+    Ids take 2 bytes if the vocabulary and the end id allow it, else 4; a narrower `id_width` is an error. Null and empty texts give a record with the end id alone; repeated rows give a record each; an empty table gives
     no file. Files appear under their name only when complete, and a repeated task writes the same bytes again."""
     spark = docs.sparkSession
 
     def run(batches):
-        split, memory = encoder(tokenizer)
+        memory = encoder(tokenizer)
+        needed = 2 if max(memory.vocabulary - 1, end_id) < 1 << 16 else 4
+        width = id_width or needed
+        if width < needed:
+            raise ValueError(f"ids of {tokenizer} don't fit into {width} bytes")
         shard = TaskContext.get().partitionId()
         files, at = _filesystem(folder)
         out, part, place, record = None, f"{at}/.{file_name(shard)}.{TaskContext.get().taskAttemptId()}", 0, 0
@@ -72,21 +100,21 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
                 if out is None:
                     files.create_dir(at, recursive=True)
                     out = files.open_output_stream(part)
-                ids = memory.ids([split(t) for t in strings(batch.column(1).slice(a, b - a))])
-                keys = batch.column(0).slice(a, b - a)
-                framed = [frame(k, np.append(x, end_id), id_width) for k, x in zip(keys.to_pylist(), ids)]
-                out.write(b"".join(framed))
-                size = np.fromiter(map(len, framed), np.int64, len(framed))
-                n = len(framed)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.arange(record, record + n)), keys, pa.array(place + np.cumsum(size) - size), pa.array(size), pa.array(np.fromiter((len(x) + 1 for x in ids), np.int64, n))], names=["shard", "record", "doc_id", "offset", "length", "n_tokens"])
+                lengths, flat = memory.ids(batch.column(1).slice(a, b - a))
+                ids, ends = with_end(lengths, flat, end_id, f"<u{width}")
+                keys, raw, cuts = batch.column(0).slice(a, b - a), memoryview(ids).cast("B"), [0, *(ends * width).tolist()]
+                out.write(b"".join(x for k, i, j in zip(keys.to_pylist(), cuts, cuts[1:]) for x in framed(k, raw[i:j], width)))
+                n, size = len(ends), (lengths + 1) * width + frame_bytes()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.arange(record, record + n)), keys, pa.array(place + np.cumsum(size) - size), pa.array(size), pa.array(lengths + 1)], names=["shard", "record", "doc_id", "offset", "length", "n_tokens"])
                 place, record = place + int(size.sum()), record + n
         if out is not None:
             out.close()
             files.move(part, f"{at}/{file_name(shard)}")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return rows.mapInArrow(run, "shard long, record long, doc_id long, offset long, length long, n_tokens long")
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("lot")).repartitionByRange(partitions(spark), "doc_id", "lot")
+    rows = rows.sortWithinPartitions("doc_id", "lot", "text").select("doc_id", "text")
+    return rows.mapInArrow(lean(run), "shard long, record long, doc_id long, offset long, length long, n_tokens long")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:

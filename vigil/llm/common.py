@@ -39,11 +39,14 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one in local mode only, as in tests:
+    elsewhere executors would write to their own disks."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(sc, "_vigil_shared", None):
         sc._vigil_shared = "file://" + tempfile.mkdtemp(prefix="spark-vigil-")
     return sc._vigil_shared
@@ -229,4 +232,6 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError("components are not stable after 63 rounds")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

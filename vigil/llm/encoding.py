@@ -1,120 +1,137 @@
 """Token ids of whole texts, word by word.
 
 Both kinds of tokenizer split or merge only within the stretch between two isolated spaces, so a text may be cut
-there without changing its ids (`safe boundaries`). Each distinct stretch of a worker is encoded once, by the
-library in one batch; a text's ids are then gathered from the stretches'."""
+there without changing its ids (`safe boundaries`). Texts are cut and looked up as Arrow columns; each new stretch of a worker is
+encoded once, by the library in one batch, and a text's ids are gathered from the stretches'."""
 
 from __future__ import annotations
 
 import functools
-import itertools
-import operator
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct stretches that a worker remembers (about 200 bytes each); beyond, it keeps the older half, in which the frequent ones are.
+#: Distinct stretches that a worker remembers (about 60 bytes each); beyond, it keeps the half that was met most often.
 MEMO = 400_000
-#: Marks a text's first stretch, which no space precedes. A lone surrogate can't occur in a text.
-FIRST = "\ud800"
-#: Characters of a stretch beyond which the memory is rather emptied than halved.
-LONG = 1024
-
-
-class _Numbers(dict):
-    def __missing__(self, key):
-        return -1
+#: Ids that a worker remembers, and bytes of a stretch beyond which it is forgotten first.
+MOST_IDS, LONG = 16 * MEMO, 1024
 
 
 class Stretches:
-    """Ids of stretches, gathered by number."""
-
-    def __init__(self, encode):
-        self.encode = encode
-        self.clear()
-
-    def clear(self):
-        self.number: dict[str, int] = _Numbers()
-        self.starts, self.lengths, self.flat, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
-
-    def add(self, new: list[str]) -> None:
-        lengths, flat = self.encode(new)
-        first = len(self.number)
-        while first + len(new) > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.size + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.lengths[first : first + len(new)] = lengths
-        self.starts[first : first + len(new)] = self.size + np.cumsum(lengths) - lengths
-        self.flat[self.size : self.size + len(flat)] = flat
-        self.size += len(flat)
-        self.number.update(zip(new, range(first, first + len(new))))
-
-    def numbers(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all stretches of some texts, and how many each text has."""
-        flat = [s for words in texts for s in words]
-        found = operator.itemgetter(*flat)(self.number) if len(flat) > 1 else [self.number[s] for s in flat]
-        out = np.fromiter(found, np.int64, len(flat))
-        if (missing := np.flatnonzero(out < 0)).size:
-            lost = [flat[i] for i in missing.tolist()]
-            self.add(list(dict.fromkeys(lost)))
-            out[missing] = [self.number[s] for s in lost]
-        return out, np.fromiter(map(len, texts), np.int64, len(texts))
+    """Ids of stretches, gathered by number. `odd` is a pattern of texts that `cut` must cut; all others are cut at each space.
+    If `marks_first`, a text's first stretch, which no space precedes, is another one than the same word later: it is known by a space before it."""
+
+    def __init__(self, odd: str, cut, marks_first: bool, encode, vocabulary: int, keep_ids: bool = True):
+        self.odd, self.cut, self.marks_first, self.encode, self.vocabulary, self.keep_ids = odd, cut, marks_first, encode, vocabulary, keep_ids
+        self.forget(np.zeros(0, np.int64))
+
+    def forget(self, keep: np.ndarray) -> None:
+        """Only the stretches of these numbers stay."""
+        if len(keep):
+            n = self.lengths[keep]
+            if self.keep_ids:
+                self.flat = self.flat[np.repeat(self.starts[keep] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            self.known, self.lengths, self.met, self.starts = self.known.take(pa.array(keep)), n, self.met[keep], np.cumsum(n) - n
+        else:
+            self.known, self.flat = pa.array([], pa.string()), np.zeros(0, np.int32)
+            self.starts, self.lengths, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """All stretches of some texts (null as empty), how many each text has, and the texts' numbers in the order in which they come."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        full = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(full & ~odd)
+        lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+        if self.marks_first and len(plain):
+            first = np.zeros(len(flat), bool)
+            first[offsets[:-1] - offsets[0]] = True
+            named = pc.binary_join_element_wise(pa.scalar(""), flat.filter(pa.array(first)), " ")
+            flat = pc.replace_with_mask(flat, pa.array(first), named)
+        parts, counts, order = [flat], [np.diff(offsets)], [plain]
+        if len(rest := np.flatnonzero(full & odd)):
+            cut = [self.cut(t) for t in texts.take(pa.array(rest)).to_pylist()]
+            parts.append(pa.array([s for x in cut for s in x], pa.string()))
+            counts.append(np.array([len(x) for x in cut], np.int64))
+            order.append(rest)
+        empty = np.flatnonzero(~full)
+        return pa.concat_arrays(parts), np.concatenate([*counts, np.zeros(len(empty), np.int64)]), np.concatenate([*order, empty])
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        at = pc.index_in(words, self.known)
+        out = at.fill_null(-1).to_numpy().astype(np.int64)
+        if at.null_count:
+            lost = words.filter(at.is_null())
+            new = pc.unique(lost)
+            out[out < 0] = len(self.known) + pc.index_in(lost, new).to_numpy()
+            lengths, flat = self.encode(new)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths, self.met = np.concatenate([self.lengths, lengths]), np.concatenate([self.met, np.zeros(len(new), np.int64)])
+            if self.keep_ids:
+                self.flat = np.concatenate([self.flat, flat])
+            self.known = pa.concat_arrays([self.known, new])
+        self.met += np.bincount(out, minlength=len(self.met))
+        return out
 
     def trim(self) -> None:
-        """Bounds the memory: the older half stays if it is small, nothing otherwise."""
-        if len(self.number) <= MEMO and self.size <= 16 * MEMO:
+        """Bounds the memory: of the short stretches, the half that was met most often stays, if its ids are few enough."""
+        if len(self.known) <= MEMO and len(self.flat) <= MOST_IDS:
             return
-        half = len(self.number) // 2
-        size = int(self.starts[half])
-        if size > 8 * MEMO or any(len(s) > LONG for s in itertools.islice(self.number, half)):
-            return self.clear()
-        self.number = _Numbers(itertools.islice(self.number.items(), half))
-        self.size = size
-
-    def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
-        number, counts = self.numbers(texts)
+        short = np.flatnonzero(pc.binary_length(self.known).to_numpy() <= LONG)
+        keep = short[np.argsort(-self.met[short], kind="stable")[: MEMO // 2]]
+        self.forget(np.sort(keep[np.cumsum(self.lengths[keep]) <= MOST_IDS // 2]))
+        self.met //= 2
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text."""
+        words, n_words, order = self.words(texts)
+        number = self.numbers(words)
+        total = np.concatenate([[0], np.cumsum(self.lengths[number])])
+        out, ends = np.empty(len(texts), np.int64), np.cumsum(n_words)
+        out[order] = total[ends] - total[ends - n_words]
+        self.trim()
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids in the texts' order)."""
+        words, n_words, order = self.words(texts)
+        number = self.numbers(words)
+        if len(order) and (order[1:] < order[:-1]).any():  # back into the texts' order
+            begin, place = np.cumsum(n_words) - n_words, np.argsort(order)
+            n_words, begin = n_words[place], begin[place]
+            number = number[np.repeat(begin - (np.cumsum(n_words) - n_words), n_words) + np.arange(n_words.sum())]
         lengths = self.lengths[number]
         ends = np.cumsum(lengths)
         flat = self.flat[np.repeat(self.starts[number] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        total, to = np.concatenate([[0], ends]), np.cumsum(n_words)
         self.trim()
-        return [flat[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
-
-    def counts(self, texts: list[list[str]]) -> np.ndarray:
-        number, counts = self.numbers(texts)
-        total = np.concatenate([[0], np.cumsum(self.lengths[number])])[np.concatenate([[0], np.cumsum(counts)])]
-        self.trim()
-        return np.diff(total)
+        return total[to] - total[to - n_words], flat
 
 
 _BEFORE_WORD = re.compile(r"(?<=.)(?= \S)", re.S)
-_INNER_SPACES = re.compile(r" \s")
 _ISOLATED = re.compile(r"(?<=[^ ▁]) (?=[^ ▁])")
+#: A space before white space of any kind, or at the end.
+_ODD_BYTES = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| \z"
+_ODD_PIECES = r"  |▁|\A | \z"
 
 
 def byte_level_stretches(text: str) -> list[str]:
-    """Stretches without the space before each. A byte-level pre-tokenizer always cuts before a space that a word follows;
-    longer runs of white space stay inside a stretch."""
+    """Stretches without the space before each, the first marked by one. A byte-level pre-tokenizer always cuts before a space that a word
+    follows; longer runs of white space stay inside a stretch."""
     if not text:
         return []
-    if text[-1] == " " or _INNER_SPACES.search(text):
-        first, *rest = _BEFORE_WORD.split(text)
-        return [FIRST + first, *(s[1:] for s in rest)]
-    words = text.split(" ")
-    words[0] = FIRST + words[0]
-    return words
+    first, *rest = _BEFORE_WORD.split(text)
+    return [" " + first, *(s[1:] for s in rest)]
 
 
 def piece_stretches(text: str) -> list[str]:
     """Stretches without the isolated spaces between them: the library puts a space sign before each. No vocabulary entry
     holds that sign after another character, so no merge crosses such a boundary."""
-    if not text:
-        return []
-    if "  " in text or "▁" in text or text[0] == " " or text[-1] == " ":
-        return _ISOLATED.split(text)
-    return text.split(" ")
+    return _ISOLATED.split(text) if text else []
 
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,21 +139,31 @@ def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return lengths, np.fromiter((x for y in ids for x in y), np.int32, int(lengths.sum()))
 
 
-def _in_one(new: list[str], apart: list[bool], together, alone) -> tuple[np.ndarray, np.ndarray]:
+def _joined(words: pa.Array) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+
+
+def _in_one(new: pa.Array, apart: np.ndarray, together, alone) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and ids of stretches in order: most from one call on their joined text, the odd ones each by itself."""
-    lengths, flat = together([s for s, x in zip(new, apart) if not x])
-    if not any(apart):
+    lengths, flat = together(new.filter(pa.array(~apart)))
+    if not apart.any():
         return lengths, flat
-    odd_lengths, odd = _flat(alone([s for s, x in zip(new, apart) if x]))
-    is_odd = np.array(apart)
+    odd_lengths, odd = _flat(alone(new.filter(pa.array(apart)).to_pylist()))
     out = np.empty(len(new), np.int64)
-    out[is_odd], out[~is_odd] = odd_lengths, lengths
+    out[apart], out[~apart] = odd_lengths, lengths
     ids = np.empty(len(flat) + len(odd), np.int32)
-    from_odd = np.repeat(is_odd, out)
+    from_odd = np.repeat(apart, out)
     ids[from_odd], ids[~from_odd] = odd, flat
     return out, ids
 
 
+def _any(words: pa.Array, parts: list[str]) -> np.ndarray:
+    found = np.zeros(len(words), bool)
+    for p in parts:
+        found |= pc.match_substring(words, p).to_numpy(zero_copy_only=False)
+    return found
+
+
 def _json_encoder(path: str):
     from tokenizers import Tokenizer
 
@@ -150,20 +177,21 @@ def _json_encoder(path: str):
         n_bytes[i] = len(token.encode() if i in added else token)
 
     def alone(new: list[str]) -> list[list[int]]:
-        return [x.ids for x in t.encode_batch_fast([s[1:] if s[:1] == FIRST else " " + s for s in new], add_special_tokens=False)]
+        return [x.ids for x in t.encode_batch_fast([s[1:] if s[:1] == " " else " " + s for s in new], add_special_tokens=False)]
 
-    def together(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def together(new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """One call on the joined text; the ids' bytes tell where each stretch ends."""
-        if not new:
+        if not len(new):
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        ids = np.array(t.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, np.int32)
-        ends, done = np.cumsum([len(s.encode()) + 1 for s in new]), np.cumsum(n_bytes[ids])
+        ids = np.array(t.encode_batch_fast([" " + _joined(new)], add_special_tokens=False)[0].ids, np.int32)
+        ends, done = np.cumsum(pc.binary_length(new).to_numpy().astype(np.int64) + 1), np.cumsum(n_bytes[ids])
         last = np.searchsorted(done, ends)
-        if not (done[last] == ends).all():
+        if not (last < len(done)).all() or not (done[last] == ends).all():
             raise ValueError(f"{path}: an id crosses a boundary of stretches")
         return np.diff(np.concatenate([[-1], last])), ids
 
-    return lambda new: _in_one(new, [s[:1] == FIRST or any(x in s for x in special) for s in new], together, alone)
+    apart = lambda new: pc.starts_with(new, " ").to_numpy(zero_copy_only=False) | _any(new, special)
+    return lambda new: _in_one(new, apart(new), together, alone), t.get_vocab_size()
 
 
 def _piece_encoder(path: str):
@@ -173,23 +201,31 @@ def _piece_encoder(path: str):
     pieces = [p.id_to_piece(i) for i in range(p.get_piece_size())]
     if any("▁" in x.lstrip("▁") for x in pieces):
         raise ValueError(f"{path}: a piece joins words, so texts can't be cut at spaces")
+    probe = "a b ﬁ Å　x\ty\nÀ  z"  # what the common normalizers change: spaces of other kinds, ligatures, combined letters
+    if p.normalize(probe) != "▁" + probe.replace(" ", "▁"):
+        raise ValueError(f"{path}: the model changes texts before it cuts them, so they can't be cut at spaces")
     opens = np.array([x.startswith("▁") for x in pieces])
 
-    def together(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def together(new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Each stretch begins at a piece with the space sign."""
-        if not new:
+        if not len(new):
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        ids = np.array(p.encode(" ".join(new), num_threads=1), np.int32)
-        return np.diff(np.concatenate([np.flatnonzero(opens[ids]), [len(ids)]])), ids
+        ids = np.array(p.encode(_joined(new), num_threads=1), np.int32)
+        lengths = np.diff(np.concatenate([np.flatnonzero(opens[ids]), [len(ids)]]))
+        if len(lengths) != len(new):
+            raise ValueError(f"{path}: an id crosses a boundary of stretches")
+        return lengths, ids
 
     alone = lambda new: p.encode(new, num_threads=1)
-    return lambda new: _in_one(new, [" " in s or "▁" in s for s in new], together, alone)
+    return lambda new: _in_one(new, _any(new, [" ", "▁"]), together, alone), p.get_piece_size()
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> tuple:
-    """(stretches of a text, memory of stretches) for a tokenizer file: tokenizers for .json, sentencepiece for .model."""
+def encoder(path: str, keep_ids: bool = True) -> Stretches:
+    """Memory of stretches for a tokenizer file: tokenizers for .json, sentencepiece for .model. Without `keep_ids` it counts only."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path.endswith(".json"):
-        return byte_level_stretches, Stretches(_json_encoder(path))
-    return piece_stretches, Stretches(_piece_encoder(path))
+        encode, n = _json_encoder(path)
+        return Stretches(_ODD_BYTES, byte_level_stretches, True, encode, n, keep_ids)
+    encode, n = _piece_encoder(path)
+    return Stretches(_ODD_PIECES, piece_stretches, False, encode, n, keep_ids)

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, by_bytes, byte_lengths, groups, lean, partitions, strings
+from .binary_records import with_end
+from .common import Workspace, by_bytes, byte_lengths, groups, lean, partitions
 from .encoding import encoder
 from .token_counts import BATCH_BYTES
 
@@ -50,17 +51,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 2) ->
     piece of a longer document is shorter than `size`. A null text counts as empty; repeated rows give pieces each."""
 
     def run(batches):
-        split, memory = encoder(tokenizer)
+        memory = encoder(tokenizer)
         for batch in batches:
             for a, b in by_bytes(byte_lengths(batch.column(1)), BATCH_BYTES):
-                out = []
-                for key, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), memory.ids([split(t) for t in strings(batch.column(1).slice(a, b - a))])):
-                    ids = np.append(ids, end_id).astype("<u4")
-                    first = len(ids) % size or size
-                    edges = [0, *range(first, len(ids) + 1, size)]
-                    out += [(key, k, x, y - x, zlib.crc32(ids[x:y].tobytes())) for k, (x, y) in enumerate(zip(edges, edges[1:]))]
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                lengths, flat = memory.ids(batch.column(1).slice(a, b - a))
+                ids, ends = with_end(lengths, flat, end_id, "<u4")
+                lengths = lengths + 1
+                n = -(-lengths // size)
+                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                head = np.repeat(lengths - (n - 1) * size, n)  # ids of the first piece
+                start, long = np.where(piece == 0, 0, head + (piece - 1) * size), np.where(piece == 0, head, size)
+                at, raw = (np.repeat(ends - lengths, n) + start) * 4, memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[x:y]) for x, y in zip(at.tolist(), (at + 4 * long).tolist())]
+                keys = batch.column(0).slice(a, b - a).take(pa.array(np.repeat(np.arange(len(n)), n)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(long), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -1,7 +1,7 @@
 import numpy as np
 
 from vigil.llm.common import Workspace
-from vigil.llm.embedding_dedup import Quantised, cosine_classes
+from vigil.llm.embedding_dedup import Codes, cosine_classes
 from vigil.llm.nearest import hilbert_keys, nearest
 
 from .helpers import least_reachable
@@ -33,18 +33,34 @@ def test_cosine_classes(spark):
     np.fill_diagonal(linked, False)
     n = dict(zip(ids.tolist(), linked.sum(axis=1).tolist()))
     root = least_reachable([r[0] for r in rows], [(ids[a].item(), ids[b].item()) for a, b in zip(*np.nonzero(linked))])
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cosine_classes(Workspace(spark), spark.createDataFrame(rows, SCHEMA), tile=150).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cosine_classes(Workspace(spark), spark.createDataFrame(rows, SCHEMA), tile=150, least=150).collect()}
     assert got == {i: (n.get(i, 0), root[i], root[i] == i) for i, *_ in rows}
     assert cosine_classes(Workspace(spark), spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_quantisation_bound_holds():
+def test_quantisation_bounds_hold():
     r = np.random.default_rng(2)
-    x = np.concatenate([r.normal(size=(300, 40)), r.standard_cauchy((300, 40))])
-    q = Quantised(x)
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    approx = (q.q @ q.q.T) * q.scale[:, None] * q.scale[None, :]
-    assert (np.abs(approx - u @ u.T) <= q.error[:, None] + q.size[:, None] * q.error[None, :] + 1e-9).all()
+    x = np.concatenate([r.normal(size=(300, 40)), r.standard_cauchy((300, 40)), 1e-200 * r.normal(size=(50, 40)), 1e200 * r.normal(size=(50, 40))])
+    c = Codes.of(x)
+    u = x / np.abs(x).max(axis=1)[:, None]
+    u = u / np.linalg.norm(u, axis=1)[:, None]
+    assert (np.abs(c.products(c) - u @ u.T) <= c.coarse[:, None] + (1 + c.coarse[:, None]) * c.coarse[None, :] + 1e-9).all()
+    assert (np.abs(c.close() @ c.close().T - u @ u.T) <= c.fine[:, None] + (1 + c.fine[:, None]) * c.fine[None, :] + 1e-9).all()
+    assert c.fine.max() < 1e-4
+    wide = Codes.of(r.normal(size=(20, 3000)))
+    assert np.array_equal(wide.products(wide), (wide.q.astype(np.int64) @ wide.q.T.astype(np.int64)) * (wide.scale[:, None] * wide.scale[None, :]))
+
+
+def test_pairs_in_doubt_are_decided_by_doubles(spark):
+    """Cosines a hair on either side of the threshold, closer to it than the codes can tell; tiny numbers; lengths of their own."""
+    c = [0.9 + 1e-7, 0.9 - 1e-7]
+    rows = [(0, [1.0, 0.0, 0.0, 0.0]), (1, [c[0], float(np.sqrt(1 - c[0] ** 2)), 0.0, 0.0]), (2, [c[1], 0.0, float(np.sqrt(1 - c[1] ** 2)), 0.0])]
+    rows += [(10, [1e-200, 2e-200]), (11, [2e-200, 4e-200]), (12, [1.0, -1.0]), (20, [1.0, 2.0, 3.0]), (21, [1.0, 2.0, 3.0])]
+    rows += [(30, [0.0] * 5 + [1.0]), (30, [1.0] + [0.0] * 5), (31, [1.0] + [0.0] * 5), (None, [1.0, 0.0, 0.0, 0.0]), (None, None)]
+    found = cosine_classes(Workspace(spark), spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least=2).collect()
+    got = sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, -1 if r.component_id is None else r.component_id, r.kept) for r in found)
+    assert got == [(-1, 0, -1, True), (-1, 0, -1, True), (0, 1, 0, True), (1, 1, 0, False), (2, 0, 2, True), (10, 1, 10, True), (11, 1, 10, False), (12, 0, 12, True),
+                   (20, 1, 20, True), (21, 1, 20, False), (30, 0, 30, True), (30, 1, 30, True), (31, 1, 30, False)]
 
 
 def test_hilbert_neighbours_touch():
@@ -61,7 +77,7 @@ def test_nearest(spark):
     ids = np.array(sorted(v))
     x = np.stack([v[i] for i in ids])
     got = {}
-    for r in nearest(Workspace(spark), spark.createDataFrame(rows, SCHEMA)).collect():
+    for r in nearest(Workspace(spark), spark.createDataFrame(rows, SCHEMA), reach=100).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     hits = total = 0
     assert set(got) == {i for i in v if i % 100 == 0}
@@ -77,3 +93,28 @@ def test_nearest(spark):
     assert hits / total >= 0.9
     assert nearest(Workspace(spark), spark.createDataFrame([], SCHEMA)).count() == 0
     assert nearest(Workspace(spark), spark.createDataFrame(rows[:4], SCHEMA)).count() == 3
+
+
+def test_nearest_across_ranges_lengths_and_copies(spark, monkeypatch):
+    from vigil.llm import nearest as module
+
+    monkeypatch.setattr(module, "RANGE_ROWS", 150)
+    r = np.random.default_rng(4)
+    a, b = r.normal(size=(600, 3)), r.normal(size=(40, 2))
+    a[100:300] = a[100]  # a third are copies
+    rows = [(i, v.tolist()) for i, v in enumerate(a)] + [(1000 + i, v.tolist()) for i, v in enumerate(b)]
+    rows += [(1000, b[0].tolist()), (None, a[0].tolist()), (2000, None)]
+    found = {}
+    for x in nearest(Workspace(spark), spark.createDataFrame(rows, "vec_id long, embedding array<double>"), reach=60).collect():
+        found.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    assert set(found) == {0, 100, 200, 300, 400, 500, 1000}
+    hits = 0
+    for q, got in found.items():
+        part, base = (a, 0) if q < 1000 else (b, 1000)
+        d = np.sqrt(((part - part[q - base]) ** 2).sum(axis=1))
+        want = sorted((s, i + base) for i, s in enumerate(d.tolist()) if i + base != q)[:10]
+        assert len(got) == 10 and q not in [i for _, i in got] and len({i for _, i in got}) == 10
+        if q in (100, 200):
+            assert sorted(got) == want  # copies at distance 0, smallest ids first
+        hits += len({i for _, i in got} & {i for _, i in want})
+    assert hits >= 0.9 * 70

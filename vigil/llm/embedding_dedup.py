@@ -2,43 +2,74 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, groups, partitions
-from .vectors import rows_of, sample, usable
+from .common import Workspace, components, groups, lean, partitions
+from .vectors import even, hashed, lengths, rows_of
+
+#: Vectors of a tile at most, of a tile at least if more tiles only serve to occupy all tasks, and of the blocks in which a task multiplies.
+TILE, LEAST, BLOCK = 65_536, 1024, 1024
+#: Dimensions up to which float32 sums of products of int8 are exact integers: 127 * 127 * 1024 < 2 ** 24.
+EXACT = 1024
+
+
+class Codes:
+    """Unit vectors u as scale * (q + r / 254) + e, q and r of int8, with |u - scale * q| (`coarse`) and |e| (`fine`)."""
+
+    def __init__(self, q: np.ndarray, r: np.ndarray, scale: np.ndarray, coarse: np.ndarray, fine: np.ndarray):
+        self.q, self.r, self.scale, self.coarse, self.fine = q, r, scale, coarse, fine
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Codes:
+        u = even(x)
+        u = u / np.sqrt(np.einsum("ij,ij->i", u, u))[:, None]
+        scale = np.abs(u).max(axis=1) / 127
+        q = np.rint(u / scale[:, None])
+        r = np.clip(np.rint((u / scale[:, None] - q) * 254), -127, 127)
+        coarse = np.linalg.norm(u - q * scale[:, None], axis=1)
+        fine = np.linalg.norm(u - (q + r / 254) * scale[:, None], axis=1)
+        return cls(q.astype(np.int8), r.astype(np.int8), scale, coarse, fine)
+
+    def part(self, at) -> Codes:
+        return Codes(self.q[at], self.r[at], self.scale[at], self.coarse[at], self.fine[at])
 
-#: Vectors of a tile that travels, and of the blocks in which a task multiplies it.
-TILE, BLOCK = 8192, 1024
+    def products(self, other: Codes) -> np.ndarray:
+        out = np.zeros((len(self.q), len(other.q)))
+        for c in range(0, self.q.shape[1], EXACT):
+            out += self.q[:, c : c + EXACT].astype(np.float32) @ other.q[:, c : c + EXACT].astype(np.float32).T
+        return out * (self.scale[:, None] * other.scale[None, :])
 
+    def close(self) -> np.ndarray:
+        return (self.q + self.r / 254) * self.scale[:, None]
 
-class Quantised:
-    """Unit vectors u as scale * q + e with q of int8: q (held as float32, in which products of up to 1000 dimensions are exact
-    integers), scale, |e| and |scale * q|."""
+    def linked(self, other: Codes, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pairs that have a cosine of at least `threshold`, and rows and columns of those in doubt).
 
-    def __init__(self, x: np.ndarray):
-        self.x = x
-        self.norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-        u = x / self.norm[:, None]
-        self.scale = np.abs(u).max(axis=1) / 127
-        q = np.rint(u / self.scale[:, None])
-        part = q * self.scale[:, None]
-        self.error, self.size = np.linalg.norm(u - part, axis=1), np.linalg.norm(part, axis=1)
-        self.q = q.astype(np.float32)
+        u.v - u'.v' = (u - u').v + u'.(v - v'), and |v| = 1, |u'| <= 1 + |u - u'|: so the error is at most e_u + (1 + e_u) e_v. First with
+        the int8 products; pairs that this leaves in doubt with the residuals as well. 1e-9 covers the rounding of doubles."""
+        near = self.products(other)
+        bound = self.coarse[:, None] + (1 + self.coarse[:, None]) * other.coarse[None, :] + 1e-9
+        sure = near - bound >= threshold
+        i, j = np.nonzero((near + bound >= threshold) & ~sure)
+        doubt = np.zeros(len(i), bool)
+        for k in range(0, len(i), 1 << 14):
+            a, b = self.part(i[k : k + (1 << 14)]), other.part(j[k : k + (1 << 14)])
+            close = np.einsum("ij,ij->i", a.close(), b.close())
+            bound = a.fine + (1 + a.fine) * b.fine + 1e-9
+            sure[i[k : k + (1 << 14)], j[k : k + (1 << 14)]] = close - bound >= threshold
+            doubt[k : k + (1 << 14)] = (close + bound >= threshold) & (close - bound < threshold)
+        return sure, i[doubt], j[doubt]
 
-    def linked(self, a: slice, other: Quantised, b: slice, threshold: float) -> np.ndarray:
-        """Which pairs have a cosine of at least `threshold`. |u.v - approx| <= |e_u| |v| + |u'| |e_v|, u' the quantised u."""
-        approx = (self.q[a] @ other.q[b].T) * self.scale[a, None] * other.scale[None, b]
-        bound = self.error[a, None] + self.size[a, None] * other.error[None, b] + 1e-9
-        sure = approx - bound >= threshold
-        i, j = np.nonzero((approx + bound >= threshold) & ~sure)
-        for k in range(0, len(i), 1 << 15):
-            r, c = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-            dot = np.einsum("ij,ij->i", self.x[a][r], other.x[b][c])
-            sure[r, c] = dot / (self.norm[a][r] * other.norm[b][c]) >= threshold
-        return sure
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of rows in double precision."""
+    x, y = even(x), even(y)
+    return np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
 
 
 def least_labels(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -57,59 +88,98 @@ def least_labels(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple
     return [(a[rows], la), (b[cols], lb)]
 
 
-def cosine_classes(work: Workspace, df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tile: int = TILE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row; ids must be distinct.
+def _coded(batches):
+    """(id, copies, dim, q, r, scale, coarse, fine) of vectors."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        dim = t["dim"].to_numpy()
+        for d in np.unique(dim).tolist():
+            part = t.filter(pa.array(dim == d))
+            c = Codes.of(rows_of(part))
+            yield pa.RecordBatch.from_arrays([part["id"].combine_chunks(), part["copies"].combine_chunks(), part["dim"].combine_chunks(), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (c.q, c.r)), *map(pa.array, (c.scale, c.coarse, c.fine))], names=["id", "copies", "dim", "q", "r", "scale", "coarse", "fine"])
+
+
+def cosine_classes(work: Workspace, df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tile: int = TILE, least: int = LEAST) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row.
 
-    Vectors that are null, zero, of an uncommon length, or hold a null or non-finite component have no links and stay.
-    Equal vectors are compared as one and counted as many. Every pair of tiles is one unit of work of fixed size; it returns
-    counts and at most one edge for each vector of a block, never its pairs. An empty table gives an empty result."""
+    Vectors that are null, empty, zero, or hold a null or non-finite component have no links and stay; so do rows without an id, whose
+    component_id is null. Vectors of different lengths don't link. Repeated rows and ids count as a vector each. An empty table gives
+    an empty result; other columns are not read.
+
+    Equal vectors are compared as one and counted as many. Every pair of tiles is one unit of work of bounded size, and only int8 codes with
+    their scales and error norms travel to it. It returns counts and at most one edge for each vector of a block; pairs leave it only
+    where two int8 levels can't tell on which side of the threshold they lie (a band of about 1e-4), and only for these the doubles are fetched."""
     spark = df.sparkSession
     n_parts = partitions(spark)
-    dim, _ = sample(df, id_col, vec_col)
-    points = work.put(usable(df, id_col, vec_col, dim), "points")
-    copies = work.put(points.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "copies")
-    single = points.join(copies.withColumnRenamed("rep", "id"), ["id", "h1", "h2"])
-    tiles = max(1, -(-copies.count() // tile))
-    mine = F.pmod(F.xxhash64("id"), F.lit(tiles))
-    units = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda j: F.struct(F.least("tile", j).alias("t1"), F.greatest("tile", j).alias("t2")))
-    spread = single.withColumn("tile", mine.cast("int")).select("id", "copies", "v", "tile", F.explode(units).alias("u")).select("u.t1", "u.t2", "tile", "id", "copies", "v")
-    keys = ["t1", "t2"]
+    points = work.put(hashed(df, id_col, vec_col), "points")
+    good = points.where("dim is not null")
+    copies = good.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("v").alias("v"))
+    # written numbers for the distinct vectors, since several may have one id
+    copies = work.put(copies.withColumn("node", F.monotonically_increasing_id()), "copies")
+    single = copies.select(F.col("node").alias("id"), "copies", "dim", "v")
+    codes = work.put(single.mapInArrow(lean(_coded), "id long, copies long, dim long, q binary, r binary, scale double, coarse double, fine double"), "codes")
+    counts = lengths(codes)
+    tiles = {d: max(1, -(-n // tile), min(-(-n // least), math.ceil(math.sqrt(2 * n_parts)))) for d, n in counts.items()}
+    n_tiles = F.element_at(F.create_map(*(F.lit(x) for kv in tiles.items() for x in kv)), F.col("dim")) if tiles else F.lit(1)
+    units = F.transform(F.sequence(F.lit(0), n_tiles.cast("int") - 1), lambda j: F.struct(F.least("tile", j).alias("t1"), F.greatest("tile", j).alias("t2")))
+    spread = codes.withColumn("tile", F.pmod(F.xxhash64("id"), n_tiles.cast("int")).cast("int")).select("*", F.explode(units).alias("u")).select("dim", "u.t1", "u.t2", "tile", "id", "copies", "q", "r", "scale", "coarse", "fine")
+    keys = ["dim", "t1", "t2"]
 
     def meet(batches):
         for rows in groups(batches, keys):
-            tile_of, ids, copies, x = rows["tile"].to_numpy(), rows["id"].to_numpy(), rows["copies"].to_numpy(), rows_of(rows)
+            tile_of, ids, copies = rows["tile"].to_numpy(), rows["id"].to_numpy(), rows["copies"].to_numpy()
+            every = Codes(rows_of(rows, "q", np.int8), rows_of(rows, "r", np.int8), *(rows[c].to_numpy() for c in ("scale", "coarse", "fine")))
             t1, t2 = rows["t1"][0].as_py(), rows["t2"][0].as_py()
             sides = [np.flatnonzero(tile_of == t) for t in dict.fromkeys((t1, t2))]
-            held = [(ids[s], copies[s], Quantised(x[s])) for s in sides]
+            held = [(ids[s], copies[s], every.part(s)) for s in sides]
             (ia, ca, qa), (ib, cb, qb) = held[0], held[-1]
-            na, nb, edges = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64), []
+            na, nb, edges, doubt = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64), [], []
             for p in range(0, len(ia), BLOCK):
                 a = slice(p, p + BLOCK)
                 for r in range(p if t1 == t2 else 0, len(ib), BLOCK):
                     b = slice(r, r + BLOCK)
-                    linked = qa.linked(a, qb, b, threshold)
+                    linked, i, j = qa.part(a).linked(qb.part(b), threshold)
                     if t1 == t2 and p == r:
-                        np.fill_diagonal(linked, False)
-                    if not linked.any():
-                        continue
-                    na[a] += linked @ cb[b]
-                    if t1 != t2 or p != r:
+                        linked = np.triu(linked, 1)
+                        i, j = i[i < j], j[i < j]
+                    if len(i):
+                        doubt.append((ia[a][i], ib[b][j]))
+                    if linked.any():
+                        na[a] += linked @ cb[b]
                         nb[b] += ca[a] @ linked
-                    edges += least_labels(linked, ia[a], ib[b])
-            out_ids = np.concatenate([ia, ib])
-            n = np.concatenate([na, nb])
+                        edges += least_labels(linked, ia[a], ib[b])
             pairs = np.unique(np.concatenate([np.stack(e, 1) for e in edges]), axis=0) if edges else np.zeros((0, 2), np.int64)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            n, of = np.concatenate([na, nb]), np.concatenate([ia, ib])
             at = np.flatnonzero(n)
-            # one stream of rows: (id, other, 0) is an edge, (id, null, n) a count of links
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], out_ids[at]])), pa.array(np.concatenate([pairs[:, 1], out_ids[at]])), pa.array(np.concatenate([np.zeros(len(pairs), np.int64), n[at]]))], names=["a", "b", "n"])
-
-    units_of = spread.repartition(max(n_parts, min(tiles * (tiles + 1) // 2, 4 * n_parts)), *keys).sortWithinPartitions(*keys)
-    found = work.put(units_of.mapInArrow(meet, "a long, b long, n long"), "found")
-    counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
-    classes = components(work, found.where("n = 0").select("a", "b"), "class")
-    rep = copies.join(counts.withColumnRenamed("a", "rep"), "rep", "left").join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    rep = rep.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = points.select(F.col("id").alias("vec_id"), "h1", "h2").join(rep, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
-    out = df.select(F.col(id_col).cast("long").alias("vec_id")).join(linked, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
+            unsure = [np.concatenate(x) for x in zip(*doubt)] if doubt else [np.zeros(0, np.int64)] * 2
+            # one stream of rows: (id, other, 0) is an edge, (id, id, n) a count of links, (id, other, -1) a pair in doubt
+            out = (np.concatenate([pairs[:, 0], of[at], unsure[0]]), np.concatenate([pairs[:, 1], of[at], unsure[1]]), np.concatenate([np.zeros(len(pairs), np.int64), n[at], np.full(len(unsure[0]), -1)]))
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), names=["a", "b", "n"])
+
+    def decide(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            dim = t["dim"].to_numpy()
+            for d in np.unique(dim).tolist():
+                part = t.filter(pa.array(dim == d))
+                part = part.filter(pa.array(cosines(rows_of(part, "x"), rows_of(part, "y")) >= threshold))
+                yield from part.select(["a", "b", "ca", "cb"]).combine_chunks().to_batches()
+
+    n_units = sum(t * (t + 1) // 2 for t in tiles.values())
+    units_of = spread.repartition(max(n_parts, min(n_units, 4 * n_parts)), *keys).sortWithinPartitions(*keys)
+    found = work.put(units_of.mapInArrow(lean(meet), "a long, b long, n long"), "found")
+    whole = lambda k, v: single.select(F.col("id").alias(k), F.col("v").alias(v), "dim" if k == "a" else F.col("dim").alias("_dim"), F.col("copies").alias(f"c{k}"))
+    unsure = found.where("n = -1").select("a", "b").join(whole("a", "x"), "a").join(whole("b", "y"), "b").where("dim = _dim")
+    decided = work.put(unsure.select("a", "b", "dim", "x", "y", "ca", "cb").mapInArrow(decide, "a long, b long, ca long, cb long"), "decided")
+    links = found.where("n > 0").select("a", "n").unionByName(decided.select("a", F.col("cb").alias("n"))).unionByName(decided.select(F.col("b").alias("a"), F.col("ca").alias("n")))
+    links = links.groupBy("a").agg(F.sum("n").alias("n"))
+    classes = components(work, found.where("n = 0").select("a", "b").unionByName(decided.select("a", "b")), "class").withColumnRenamed("id", "node")
+    least_id = classes.join(copies.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = classes.join(work.put(least_id, "least"), "component").select("node", "component_id")
+    rep = copies.select("h1", "h2", "node", "rep", "copies").join(links.withColumnRenamed("a", "node"), "node", "left").join(classes, "node", "left")
+    # written, so that both sides of the last join are plain shuffles and a vector copied everywhere can be split
+    rep = work.put(rep.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "classes")
+    linked = good.select(F.col("id").alias("vec_id"), "h1", "h2").join(rep, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    alone = points.where("dim is null").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))

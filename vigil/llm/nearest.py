@@ -1,18 +1,28 @@
-"""Approximate nearest neighbours by several shifted Hilbert orderings of projected vectors."""
+"""Approximate nearest neighbours by several shifted Hilbert orderings of projected vectors.
+
+Each ordering holds the vectors' places on the curve and small codes of them, not the vectors. A query looks at a fixed number of rows
+before and after its own place in every ordering, keeps the nearest by their codes, and the candidates of all orderings are ranked once by
+the vectors themselves. How many orderings that takes depends on the data: it is reckoned from a bounded sample, so candidates grow more
+slowly than rows. Where it would take more than MOST_CURVES, windows double until it doesn't."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, groups, partitions
-from .vectors import rows_of, sample, usable
+from .common import Workspace, groups, lean, partitions
+from .vectors import hashed, lengths, rows_of, sample
 
-#: Orderings; dimensions and bits of each; share of the ordering that a query sees on either side of its own block; vectors of
-#: a block at most. On isotropic 64-dimensional vectors, where every ordering tells little, these give a recall of 0.98.
-CURVES, DIMS, BITS, REACH, BLOCK_ROWS = 16, 6, 10, 1 / 16, 50_000
+#: Projected dimensions of an ordering and bits of each; the share of true neighbours that the windows of all orderings are to hold by reckoning;
+#: orderings at most; rows on either side of a query; rows of a range of an ordering, about.
+DIMS, BITS, AIM, MOST_CURVES, REACH, RANGE_ROWS = 6, 8, 0.95, 48, 512, 50_000
+#: Vectors of the sample that stand for queries when orderings are reckoned, and orderings tried.
+TRIED, TRIALS = 200, 6
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -39,90 +49,185 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Projections, scales and shifts, drawn from a seed and fitted to a bounded sample."""
+    """Orderings of vectors of one length: random projections, cells between quantiles of a bounded sample (so that no outlier
+    sets the scale), random shifts; and how many of them and which reach `total` rows need."""
+
+    def __init__(self, fitted: np.ndarray, dim: int, total: int, k: int, seed: int, reach: int = REACH):
+        self.dim, self.dims, self.seed = dim, min(DIMS, dim), seed
+        self.fitted, self.edges = fitted, {}
+        self.reach, self.curves = self._reckon(total, k, reach)
+        self.edges = {c: self._edges(c) for c in range(self.curves)}
+        self.fitted = None
 
-    def __init__(self, fitted: np.ndarray, dim: int, curves: int, seed: int):
-        r = np.random.default_rng(seed)
-        self.dims = min(DIMS, max(dim, 1))
-        self.project = [np.linalg.qr(r.normal(size=(dim, self.dims)))[0] for _ in range(curves)] if dim else []
-        y = [fitted @ p for p in self.project]
-        self.low = [v.min(axis=0) if len(v) else np.zeros(self.dims) for v in y]
-        self.wide = [np.maximum(v.max(axis=0) - v.min(axis=0), 1e-300) if len(v) else np.ones(self.dims) for v in y]
-        self.shift = r.random((curves, self.dims)) / 2
+    def _projection(self, curve: int) -> tuple[np.ndarray, np.ndarray]:
+        r = np.random.default_rng([self.seed, self.dim, curve])
+        return np.linalg.qr(r.normal(size=(self.dim, self.dims)))[0], r.integers(0, 1 << BITS, self.dims)
+
+    def _edges(self, curve: int) -> np.ndarray:
+        y = self.fitted @ self._projection(curve)[0]
+        return np.quantile(y, np.arange(1, 1 << BITS) / (1 << BITS), axis=0) if len(y) else np.zeros(((1 << BITS) - 1, self.dims))
 
     def keys(self, x: np.ndarray, curve: int) -> np.ndarray:
-        z = (x @ self.project[curve] - self.low[curve]) / self.wide[curve] / 2 + self.shift[curve]
-        return hilbert_keys(np.clip(z, 0, 1) * ((1 << BITS) - 1), BITS)
-
-
-def best(x: np.ndarray, y: np.ndarray, ids: list[np.ndarray], own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query in x: ids and distances of its k nearest among y, ties to smaller ids. ids: of each row of y, ascending."""
-    near = np.einsum("ij,ij->i", x, x)[:, None] - 2 * (x @ y.T) + np.einsum("ij,ij->i", y, y)[None, :]
-    slack = 1e-9 * (np.abs(near).max() + 1)
-    m = min(k + 1, near.shape[1])  # one more, as the query's own vector may be among them
-    last = np.partition(near, m - 1, axis=1)[:, m - 1]
-    out = []
-    for q in range(len(x)):
-        at = np.flatnonzero(near[q] <= last[q] + slack)
-        d = y[at] - x[q]
-        score = np.sqrt(np.einsum("ij,ij->i", d, d))
-        found = np.concatenate([ids[i] for i in at])
-        score = np.repeat(score, [len(ids[i]) for i in at])
-        keep = found != own[q]
-        found, score = found[keep], score[keep]
-        order = np.lexsort((found, score))[:k]
-        out.append((found[order], score[order]))
-    return out
-
-
-def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, seed: int = 7) -> DataFrame:
+        project, shift = self._projection(curve)
+        y, edges = x @ project, self.edges[curve]
+        cells = np.stack([np.searchsorted(edges[:, d], y[:, d]) for d in range(self.dims)], 1)
+        return hilbert_keys(cells + shift, BITS + 1)
+
+    def _reckon(self, total: int, k: int, reach: int) -> tuple[int, int]:
+        """(reach, orderings): from how far the sample's neighbours lie from a sample vector in some orderings. A window has the same share of
+        the sample as of all rows; below 16 rows of the sample, the hit rate is carried on as a power of the share."""
+        m = len(self.fitted)
+        if total <= 2 * reach or m <= k + 1:
+            return reach, 1
+        asks = np.arange(min(TRIED, m))
+        x = self.fitted
+        far = np.einsum("ij,ij->i", x, x)[None, :] - 2 * x[asks] @ x.T
+        far[asks, asks] = np.inf
+        near = np.argpartition(far, k - 1, axis=1)[:, :k]
+        apart = []
+        for c in range(TRIALS):
+            self.edges[c] = self._edges(c)
+            key = self.keys(x, c)
+            place = np.empty(m, np.int64)
+            place[np.argsort(key, kind="stable")] = np.arange(m)
+            apart.append(np.abs(place[near] - place[asks][:, None]))
+        apart = np.stack(apart)
+        rate = lambda rows: max(float((apart <= rows).mean()), 1e-6)
+        low = min(16, m // 4)
+        power = max(0.0, math.log(rate(4 * low) / rate(low)) / math.log(4)) if low else 1.0
+        while True:
+            rows = reach * m / total
+            hit = rate(rows) if rows >= low else rate(low) * (rows / low) ** power
+            n = math.ceil(math.log(1 - AIM) / math.log1p(-min(hit, 1 - 1e-9)))
+            if n <= MOST_CURVES or 2 * reach >= total:
+                return reach, max(4, min(n, MOST_CURVES))
+            reach *= 2
+
+
+def coded(x: np.ndarray) -> np.ndarray:
+    """Rows as bytes: a scale and the squared length as float64, then 4-bit numbers, two to a byte."""
+    top = np.abs(x).max(axis=1)
+    scale = np.where(top > 0, top, 1) / 7.5
+    q = np.clip(np.floor(x / scale[:, None]) + 8, 0, 15).astype(np.uint8)
+    if q.shape[1] % 2:
+        q = np.concatenate([q, np.full((len(q), 1), 8, np.uint8)], 1)
+    packed = q[:, ::2] | (q[:, 1::2] << 4)
+    return np.concatenate([np.stack([scale, np.einsum("ij,ij->i", x, x)], 1).view(np.uint8).reshape(len(x), 16), packed], 1)
+
+
+def decoded(codes: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors about, squared lengths)."""
+    head = np.ascontiguousarray(codes[:, :16]).view(np.float64)
+    q = np.stack([codes[:, 16:] & 15, codes[:, 16:] >> 4], 2).reshape(len(codes), -1)[:, :dim]
+    return (q.astype(np.float64) - 7.5) * head[:, :1], head[:, 1]
+
+
+def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7, reach: int = REACH) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `queries` (over vec_id) marks, its k nearest found by Euclidean distance.
 
-    Vectors that are null, zero, of an uncommon length, or hold a null or non-finite component take no part. All rows
-    are indexed; scale and length are read from a bounded sample. Equal vectors have one place on a curve and stand there for
-    their k+1 smallest ids, so a group of copies of any size is one row. An empty table gives an empty result."""
+    Vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do rows without an id; vectors of
+    different lengths are searched among themselves. All rows are indexed; scales and the number of orderings are fitted to SAMPLE vectors of
+    each length. Equal vectors have one place on a curve, ask once, and stand there for their k+1 smallest ids, so a group of copies of any size is
+    one row. A repeated id is listed once for each query. An empty table gives an empty result; other columns are not read.
+
+    In an ordering a query keeps the 4k nearest by 4-bit codes, so a tight knot of more vectors than that, whose distances are below the
+    codes' error, is told apart only by the chance of several orderings."""
     spark = df.sparkSession
-    dim, fitted = sample(df, id_col, vec_col)
-    index = Curves(fitted, dim, curves, seed)
-    points = work.put(usable(df, id_col, vec_col, dim), "points")
-    first = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
-    ranked = points.withColumn("n", first).where(F.col("n") <= k + 1)
-    single = work.put(ranked.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v")), "single")
+    points = work.put(hashed(df, id_col, vec_col).where("dim is not null"), "points")
+    asks = F.expr(queries.replace(id_col, "id"))
+    once = points.groupBy("h1", "h2", "id").agg(F.first("dim").alias("dim"), F.first("v").alias("v"))
+    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("n") <= k + 1)
+    single = ranked.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("dim").alias("dim"), F.first("v").alias("v"))
+    asked = work.put(points.where(asks).select("id", "h1", "h2").distinct(), "asked")
+    single = single.join(asked.groupBy("h1", "h2").agg(F.lit(True).alias("asks")), ["h1", "h2"], "left")
+    single = work.put(single.withColumn("pid", F.monotonically_increasing_id()), "single")
+    counts = lengths(single)
+    fitted = sample(single.withColumn("id", F.col("ids")[0]), counts)
+    index = {d: Curves(fitted[d], d, n, k, seed, reach) for d, n in counts.items()}
+    most = 4 * k
 
     def place(batches):
         for batch in batches:
-            if batch.num_rows:
-                x = rows_of(pa.Table.from_batches([batch]))
-                for c in range(curves):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c)), pa.array(index.keys(x, c)), *batch.columns], names=["curve", "key", *batch.schema.names])
-
-    total = single.count()
-    fine = max(1, -(-int(total * REACH) // BLOCK_ROWS))  # blocks in the reach of a query on one side
-    per_curve = round(fine / REACH)
-    placed = single.mapInArrow(place, "curve long, key long, h1 long, h2 long, ids array<long>, v binary")
-    placed = placed.repartitionByRange(curves * per_curve, "curve", "key", "h1", "h2").withColumn("block", F.spark_partition_id())
-    placed = work.put(placed, "placed")
-    asked = points.where(F.expr(queries.replace(id_col, "id"))).select("id", "h1", "h2").join(placed.select("curve", "block", "h1", "h2", "v"), ["h1", "h2"])
-    reach = F.explode(F.sequence(F.col("block") - fine, F.col("block") + fine))
-    asked = asked.select("curve", reach.alias("block"), F.array("id").alias("ids"), "v", F.lit(1).alias("asks"))
-    rows = placed.select("curve", "block", "ids", "v", F.lit(0).alias("asks")).unionByName(asked)
-    keys = ["curve", "block"]
-
-    def meet(batches):
-        for t in groups(batches, keys):
-            asks = t["asks"].to_numpy().astype(bool)
-            if asks.all() or not asks.any():
-                continue
-            x, own, ids = rows_of(t), t["ids"].to_pylist(), [np.array(i, np.int64) for i in t["ids"].to_pylist()]
-            at, there = np.flatnonzero(asks), np.flatnonzero(~asks)
-            there_ids = [ids[i] for i in there]
-            for p in range(0, len(at), 128):
-                q = at[p : p + 128]
-                found = best(x[q], x[there], there_ids, np.array([own[i][0] for i in q], np.int64), k)
-                n = [len(f[0]) for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([own[i][0] for i in q], n).astype(np.int64)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["query_id", "vec_id", "score"])
-
-    found = rows.repartition(max(partitions(spark), curves * 4), *keys).sortWithinPartitions(*keys).mapInArrow(meet, "query_id long, vec_id long, score double")
-    found = found.distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            t = pa.Table.from_batches([batch])
+            dim = t["dim"].to_numpy()
+            for d in np.unique(dim).tolist():
+                part = t.filter(pa.array(dim == d))
+                x, n = rows_of(part), part.num_rows
+                code = pa.array([r.tobytes() for r in coded(x)], pa.binary())
+                whole = pa.array([v if a else None for v, a in zip(part["v"].to_pylist(), part["asks"].to_pylist())], pa.binary())
+                for c in range(index[d].curves):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d)), pa.array(np.full(n, c)), pa.array(index[d].keys(x, c)), part["pid"].combine_chunks(), code, whole], names=["dim", "curve", "key", "pid", "code", "v"])
+
+    def search(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, candidate, squared distance by codes) of rows in an ordering's order."""
+        d, pid = rows["dim"][0].as_py(), rows["pid"].to_numpy()
+        asking = np.flatnonzero(rows["v"].combine_chunks().is_valid().to_numpy(zero_copy_only=False))
+        found = []
+        if len(asking):
+            width, ask = index[d].reach, rows_of(rows.take(pa.array(asking)))
+            x, square = decoded(rows_of(rows, "code", np.uint8), d)
+            for at, q in zip(asking.tolist(), ask):
+                a = max(0, at - width)
+                far = square[a : at + width + 1] - 2 * (x[a : at + width + 1] @ q) + q @ q
+                far[at - a] = np.inf
+                best = np.argpartition(far, most)[:most] if len(far) > most else np.arange(len(far))
+                best = best[best != at - a]
+                found.append((np.full(len(best), pid[at]), pid[a + best], far[best]))
+        return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    names = ["query", "pid", "far", "edge", "side", "place", "dim", "code", "v"]
+    kinds = "query long, pid long, far double, edge long, side int, place long, dim long, code binary, v binary"
+
+    def pairs(found) -> pa.RecordBatch:
+        n = len(found[0])
+        return pa.RecordBatch.from_arrays([*map(pa.array, found), *(pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=names)
+
+    def within(batches):
+        """Candidates inside a range of an ordering, and the rows at its ends, which meet those of the ranges beside it."""
+        part = TaskContext.get().partitionId()
+        for rows in groups(batches, ["dim", "curve"]):
+            yield pairs(search(rows))
+            n, width, d, c = rows.num_rows, index[rows["dim"][0].as_py()].reach, rows["dim"][0].as_py(), rows["curve"][0].as_py()
+            for edge, side, at in ((part, 1, slice(0, width)), (part + 1, 0, slice(max(0, n - width), n))):
+                t = rows.slice(at.start, at.stop - at.start)
+                m = t.num_rows
+                key = np.full(m, (edge * (MOST_CURVES + 1) + c))
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), t["pid"].combine_chunks(), pa.nulls(m, pa.float64()), pa.array(key), pa.array(np.full(m, side, np.int32)), pa.array(np.arange(m)), pa.array(np.full(m, d)), t["code"].combine_chunks(), t["v"].combine_chunks()], names=names)
+
+    def between(batches):
+        for rows in groups(batches, ["dim", "edge"]):
+            if len(np.unique(rows["side"].to_numpy())) == 2:
+                yield pairs(search(rows)).select(names[:3])
+
+    n_ranges = sum(i.curves * max(1, -(-counts[d] // RANGE_ROWS)) for d, i in index.items())
+    placed = single.mapInArrow(lean(place), "dim long, curve long, key long, pid long, code binary, v binary")
+    placed = placed.repartitionByRange(max(n_ranges, 1), "dim", "curve", "key", "pid").sortWithinPartitions("dim", "curve", "key", "pid")
+    found = work.put(placed.mapInArrow(lean(within), kinds), "found")
+    edges = found.where("edge is not null").select("dim", "edge", "side", "place", "pid", "code", "v")
+    edges = edges.repartition(partitions(spark), "dim", "edge").sortWithinPartitions("dim", "edge", "side", "place")
+    near = found.where("query is not null").select("query", "pid", "far").unionByName(edges.mapInArrow(lean(between), "query long, pid long, far double"))
+    near = near.groupBy("query", "pid").agg(F.min("far").alias("far"))
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("far", "pid"))).where(F.col("n") <= most)
+    near = near.select("query", "pid").unionByName(single.where("asks").select(F.col("pid").alias("query"), "pid"))
+    met = near.join(single.select("pid", "ids", "v"), "pid")
+
+    def rank(batches):
+        """The k+1 nearest ids of a query by the vectors themselves, with its own vector's."""
+        for rows in groups(batches, ["query"]):
+            x, pid, query = rows_of(rows), rows["pid"].to_numpy(), rows["query"][0].as_py()
+            d = x - x[np.flatnonzero(pid == query)[0]]
+            score = np.sqrt(np.einsum("ij,ij->i", d, d))
+            ids = rows["ids"].combine_chunks()
+            n = np.diff(ids.offsets.to_numpy())
+            ids, score = ids.flatten().to_numpy(), np.repeat(score, n)
+            order = np.lexsort((ids, score))
+            _, first = np.unique(ids[order], return_index=True)  # a repeated id counts once, at its nearest
+            order = order[np.sort(first)][: k + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), query)), pa.array(ids[order]), pa.array(score[order])], names=["query", "id", "score"])
+
+    ranked = met.repartition(partitions(spark), "query").sortWithinPartitions("query").mapInArrow(lean(rank), "query long, id long, score double")
+    lists = ranked.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("score", "id"))).alias("near"))  # k+1 entries
+    lists = work.put(lists.join(single.select(F.col("pid").alias("query"), "h1", "h2"), "query").select("h1", "h2", "near"), "lists")
+    out = asked.join(lists, ["h1", "h2"]).select(F.col("id").alias("query_id"), F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
+    out = out.select("query_id", F.posexplode("near").alias("rank", "x"))
+    return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -1,13 +1,13 @@
 """Exact Jaccard join of documents on word n-grams, by blocked sparse products of document and n-gram incidence.
 
-1. Each text gives its set of n-grams (64-bit hashes) and, from size-derived bounds, signatures such that two sets that reach the
-   threshold share at least one: the hash space is dealt into K parts; sets of n and m elements that link differ in at most
-   D = (1-t)/(1+t) * (n+m) elements, so at most D parts differ, and of any D+1 parts at least one agrees. A set emits its D+1
-   fullest parts, each as one hash. Small sets emit their D+1 smallest elements instead.
-2. Documents that share a signature fall into one cluster (connected components over a star for each signature). Stars form in
-   each batch before the shuffle, so that a signature of very many documents sends a row for each batch at most.
-3. Inside a cluster, blocks of documents of compatible sizes meet once; the product of their incidence gives the overlaps, pairs
-   below the bound go, and a spanning forest of the links that remain is kept, never all pairs.
+1. Each text gives its set of n-grams (64-bit hashes) and tokens: the hash space is dealt into K parts, and a part's elements
+   give one token. Two sets of n and m elements that reach the threshold t differ in at most D = (1-t)/(1+t) * (n+m) elements, so
+   at most D tokens of either are missing in the other: the first token that both have, in whatever order of all tokens, is among the first
+   D+1 of each. Small sets have their elements as tokens instead.
+2. The order is from rare to frequent, counted over the corpus. So passages that many documents share bring nobody together unless
+   they make up most of them. Tokens of one set alone can't be shared; they only take up places among the D+1.
+3. Sets that share a chosen token fall into one cluster; inside it, blocks of documents of compatible sizes meet once. The product of
+   their incidence gives the overlaps, pairs below the bound go, and a spanning forest of the links that remain is kept, never all pairs.
 4. Components of those links give the classes of sets; documents find theirs by the hash of their set. Equal sets never become edges."""
 
 from __future__ import annotations
@@ -16,13 +16,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import IdFilter, Workspace, components, forest, groups, lean, mix64, partitions, strings
 
-#: Sets below this size emit single elements as signatures.
+#: Sets below this size have single elements as tokens.
 SMALL = 64
 #: Documents in a block of a large cluster.
 BLOCK = 512
@@ -49,33 +48,29 @@ def _level(n: int) -> int:
     return 0 if n < SMALL else 1 << math.ceil(math.log2(0.4 * n))
 
 
-def signatures(s: np.ndarray, num: int = 80, den: int = 100) -> np.ndarray:
-    """Signatures of a sorted set for the threshold num/den: at its own level, and at that of its smallest partners if it differs."""
+def tokens(s: np.ndarray, num: int = 80, den: int = 100) -> list[tuple[np.ndarray, int]]:
+    """(tokens, differ) of a sorted set for the threshold num/den: at its own level, and at those of its smaller partners if they are others.
+    Of the tokens, at most `differ` are missing in a partner."""
     n = len(s)
     if not n:
-        return np.zeros(0, np.uint64)
+        return []
     smallest = -(-n * num // den)
-    # differing elements: overlap >= t/(1+t) (n+m), so n + m - 2 overlap <= (1-t)/(1+t) (n+m)
+    # overlap >= t/(1+t) (n+m), so n + m - 2 overlap <= (1-t)/(1+t) (n+m)
     as_smaller = (den - num) * (n + n * den // num) // (den + num)
     as_larger = (den - num) * 2 * n // (den + num)
-    found = [_at_level(s, _level(n), as_smaller)]
+    found = [(_at_level(s, _level(n)), as_smaller)]
     for level in {_level(m) for m in (smallest, max(smallest, SMALL))} - {_level(n)} if smallest < n else ():
-        found.append(_at_level(s, level, as_larger))
-    return np.concatenate(found)
+        found.append((_at_level(s, level), as_larger))
+    return found
 
 
-def _at_level(s: np.ndarray, parts: int, differ: int) -> np.ndarray:
+def _at_level(s: np.ndarray, parts: int) -> np.ndarray:
     if not parts:
-        return mix64(s[: differ + 1])
+        return mix64(s)
     # elements are sorted, and the leading bits choose the part: each part is a run
     part = (s >> np.uint64(64 - int(math.log2(parts)))).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    size = np.diff(np.concatenate([first, [len(s)]]))
-    value = mix64(np.add.reduceat(mix64(s), first) + np.uint64(parts))
-    if len(first) > differ + 1:  # fullest first, ties by value: the same order in every set that has the part
-        first = np.lexsort((value, -size))[: differ + 1]
-        value = value[first]
-    return value
+    return mix64(np.add.reduceat(mix64(s), first) + np.uint64(parts))
 
 
 def links(sets: list[np.ndarray], num: int = 80, den: int = 100) -> np.ndarray:
@@ -110,23 +105,46 @@ def links(sets: list[np.ndarray], num: int = 80, den: int = 100) -> np.ndarray:
 
 
 def _describe(n_words: int, num: int, den: int):
-    """For each document: set size, a 128-bit hash of the set, and signatures. Equal sets of one task emit them once, so that
-    a group of copies, however large, sends no more than a copy for each task; a row with a null id, which links with nothing, emits none."""
+    """For each document: set size, a 128-bit hash of the set, its tokens, and for each level their number and how many places of the first D+1
+    are left when each has one (below 0: so many tokens too many). Equal sets of one task give tokens once, so that a group of
+    copies, however large, sends no more than a copy for each task; a row with a null id, which links with nothing, gives none."""
+
+    def lists(values: list[np.ndarray]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
     def run(batches):
         seen: set[bytes] = set()
+        none = np.zeros(0, np.int64)
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
             for known, text in zip(batch.column(0).is_valid().to_pylist(), strings(batch.column(1))):
                 s = shingle_set(text, n_words)
                 key = np.array([mix64(np.add.reduce(mix64(s), keepdims=True))[0], np.bitwise_xor.reduce(mix64(s + np.uint64(1)))], np.uint64) if len(s) else np.zeros(2, np.uint64)
                 new = known and len(s) and (b := key.tobytes()) not in seen
                 if new:
                     seen.add(b)
-                for c, v in zip(cols, (len(s), *key.astype(np.int64).tolist(), signatures(s, num, den).astype(np.int64) if new else np.zeros(0, np.int64))):
+                found = tokens(s, num, den) if new else []
+                row = (len(s), *key.astype(np.int64).tolist(), np.concatenate([t for t, _ in found]).astype(np.int64) if found else none)
+                for c, v in zip(cols, (*row, np.array([len(t) for t, _ in found], np.int64), np.array([d + 1 - len(t) for t, d in found], np.int64))):
                     c.append(v)
-            sig = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in cols[3]])]), pa.int32()), pa.array(np.concatenate(cols[3]) if cols[3] else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), sig], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *map(lists, cols[3:])], names=["doc_id", "n_shingles", "h1", "h2", "sig", "n", "spare"])
+
+    return run
+
+
+def _shared(near: IdFilter):
+    """(doc_id, level, spare, sig): the tokens that a filter of those of several sets hits."""
+
+    def run(batches):
+        for batch in batches:
+            sig, n, spare = batch.columns[1:]
+            of_level = np.repeat(np.arange(len(n.flatten())), n.flatten().to_numpy())
+            levels = np.diff(n.offsets.to_numpy())
+            level = np.arange(levels.sum()) - np.repeat(np.cumsum(levels) - levels, levels)
+            doc = np.repeat(batch.column(0).to_numpy(), levels)
+            hit = np.flatnonzero(near.hits(sig.flatten()))
+            at = of_level[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(level[at]), pa.array(spare.flatten().to_numpy()[at]), sig.flatten().take(pa.array(hit))], names=["doc_id", "level", "spare", "sig"])
 
     return run
 
@@ -139,60 +157,38 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
     spark = docs.sparkSession
     n_parts = partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # 1. sizes and signatures
-    described = work.put(texts.mapInArrow(lean(_describe(n_words, num, den)), "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>"), "described")
+    # 1. sizes and tokens
+    described = texts.mapInArrow(lean(_describe(n_words, num, den)), "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>, n array<long>, spare array<long>")
+    described = work.put(described, "described")
     full = described.where("n_shingles > 0 and doc_id is not null")
-    same = work.put(full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("b")), "same")
-    # of equal sets, only those with signatures (one for each task at most) can come up in pairs
-    equal = full.where(F.size("sig") > 0).select("doc_id", "n_shingles", "h1", "h2").join(same, ["n_shingles", "h1", "h2"])
-    equal = work.put(equal.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b"), "equal")
-
-    # 2. a star for each signature, then clusters
-    def near_stars(batches):
-        """Stars inside a batch: rows (signature, first document, null), and (any number, document, first document) for each pair."""
-        for batch in batches:
-            lists = batch.column(1)
-            sig, doc = lists.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
-            order = np.lexsort((doc, sig))
-            sig, doc = sig[order], doc[order]
-            new = np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)]
-            first = doc[new][np.cumsum(new) - 1]
-            pair = np.unique(np.stack([doc, first], 1)[doc != first], axis=0)
-            for key, d, f in ((sig[new], doc[new], pa.nulls(int(new.sum()), pa.int64())), (pair[:, 0], pair[:, 0], pa.array(pair[:, 1]))):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(d), f], names=["sig", "doc_id", "first"])
-
-    def stars(batches):
-        """From rows sorted by signature and id: each further document of a signature with its first, and the pairs as they are."""
-        last = None
-        for batch in batches:
-            known = batch.column(2).is_valid()
-            near = batch.filter(known)
-            yield pa.RecordBatch.from_arrays([near.column(1), near.column(2)], names=["a", "b"])
-            batch = batch.filter(pc.invert(known))
-            sig, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(sig):
-                continue
-            new = np.concatenate([[last is None or sig[0] != last[0]], sig[1:] != sig[:-1]])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-            first = np.where(head >= 0, doc[head], last[1] if last else 0)
-            last = (sig[-1], first[-1])
-            pair = np.unique(np.stack([doc, first], 1)[doc != first], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
-
-    rows = full.where(F.size("sig") > 0).select("doc_id", "sig").mapInArrow(lean(near_stars), "sig long, doc_id long, first long")
-    rows = rows.repartition(n_parts, "sig").sortWithinPartitions("sig", "doc_id")
-    pairs = rows.mapInArrow(lean(stars), "a long, b long").distinct()
-    for c in ("a", "b"):  # equal sets go on as their first document
-        pairs = pairs.join(equal.select(F.col("a").alias("_copy"), F.col("b").alias("_first")), F.col(c) == F.col("_copy"), "left").withColumn(c, F.coalesce("_first", c)).drop("_copy", "_first")
+    has = F.size("sig") > 0
+    same = full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("b"), F.min(F.when(has, F.col("doc_id"))).alias("t"))
+    same = work.put(same, "same")
+    # of the copies that give tokens (one for each task at most), the first stands for the set
+    equal = full.where(has).select("doc_id", "n_shingles", "h1", "h2").join(same, ["n_shingles", "h1", "h2"])
+    equal = work.put(equal.where("doc_id <> t").select("doc_id"), "equal")
+
+    # 2. the rarest D+1 tokens of each set that others have too, a star for each, then clusters. Tables of tokens are written, so that joins can
+    # split one that very many documents have
+    once = full.where(has).join(equal, "doc_id", "left_anti")
+    often = once.select(F.explode("sig").alias("sig")).groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    often = work.put(often, "often")
+    near = IdFilter.of(often.select(F.col("sig").alias("doc_id")))
+    held = once.select("doc_id", "sig", "n", "spare").mapInArrow(lean(_shared(near)), "doc_id long, level long, spare long, sig long").join(often, "sig")
+    level = Window.partitionBy("doc_id", "level")
+    chosen = held.withColumn("place", F.row_number().over(level.orderBy("df", "sig"))).withColumn("n", F.count("*").over(level)).where("place <= spare + n")
+    chosen = work.put(chosen.select("doc_id", "sig"), "chosen")
+    first = work.put(chosen.groupBy("sig").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    pairs = chosen.join(first, "sig").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
     clusters = components(work, pairs, "candidate")
     clusters = work.put(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
 
     # 3. sets of clustered documents meet in blocks of compatible sizes
-    near = IdFilter.of(clusters)  # spares most texts the second reading
+    again = IdFilter.of(clusters)  # spares most texts the second reading
 
     def sets(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(near.hits(batch.column(0))))
+            batch = batch.filter(pa.array(again.hits(batch.column(0))))
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, n_words).tobytes() for t in strings(batch.column(1))], pa.binary())], names=["doc_id", "elements"])
 
@@ -230,7 +226,11 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
     verified = spread.mapInArrow(lean(meet), "a long, b long")
 
     # 4. classes: of sets, then of their documents. The table of sets is written, so that the join can split a set of very many copies
-    classes = components(work, verified, "class")
+    links_of = work.put(verified, "links")
+    moved = same.where("t <> b").select(F.col("t").alias("_t"), F.col("b").alias("_b"))
+    for c in ("a", "b"):  # sets go by their smallest id from here on
+        links_of = links_of.join(moved, F.col(c) == F.col("_t"), "left").withColumn(c, F.coalesce("_b", c)).drop("_t", "_b")
+    classes = components(work, links_of, "class")
     sets_of = same.join(classes, F.col("b") == F.col("id"), "left").select("n_shingles", "h1", "h2", F.coalesce("component", "b").alias("component_id"))
     sets_of = work.put(sets_of, "sets")
     out = described.select("doc_id", "n_shingles", "h1", "h2").join(sets_of, ["n_shingles", "h1", "h2"], "left")

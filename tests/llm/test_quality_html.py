@@ -66,7 +66,8 @@ def test_main_text():
 def test_pages(spark):
     rows = [(0, "u", None, 1), (1, "u", "", 1), (2, None, PAGE, 1), (2, None, PAGE, 1), (None, "u", "<article>" + "<p>é &amp; x</p>" * 20000, 1)]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()
-    assert [(r.page_id, r.n_chars, len(r.text)) for r in got] == [(0, 0, 0), (1, 0, 0), (2, 105, 105), (2, 105, 105), (None, 139998, 139998)] or all(r.n_chars == len(r.text) for r in got)
+    n = len(main_text(PAGE))
+    assert sorted(((r.page_id, r.n_chars, len(r.text)) for r in got), key=lambda x: (x[0] is None, x[0])) == [(0, 0, 0), (1, 0, 0), (2, n, n), (2, n, n), (None, 139998, 139998)]
     assert sorted(len(r.text) for r in got)[-1] == 20000 * 5 + 19999 * 2
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -81,3 +82,77 @@ def test_articles_in_layout_with_cue_words():
     assert main_text(f"<body><form>{article}</form></body>").count(text) == 2
     for other in ('div id="comments"', 'div class="comments-area"', 'div class="no-sidebar comment-list"', "nav", "aside", "footer", "div hidden", 'div class="related-posts"'):
         assert text not in main_text(f"<body><main><p>Other words of the page.</p></main><{other}>{article}</{other.split()[0]}></body>"), other
+
+
+#: Pages of other layouts than the labelled ones, marked alike.
+HELD_OUT = (
+    "<header class=masthead><a>[2]</a></header><div class=container><div class=row><article class=post><h1>¶[10]</h1><p>¶[52]</p><p>¶[7]</p><figure><figcaption>¶[8]</figcaption></figure><p>¶[77] <a>[3]</a></p><div class=sharing><a>[1]</a></div></article></div></div><footer>[20]</footer>",
+    "<div id=nav><a>[1]</a> | <a>[1]</a> | <a>[1]</a></div><h1>¶[5]</h1><p>¶[61]</p><p>¶[35]</p><p>¶[90] <a>[4]</a></p><div id=footer>[7] <a>[1]</a></div>",
+    "<form id=aspnetForm><div><a>[2]</a> <a>[1]</a></div><div><h2>¶[4]</h2><p>¶[43]</p><p>¶[58]</p></div><div><a>[2]</a></div></form>",
+    "<nav><a>[1]</a><a>[1]</a><article><h1>¶[6]</h1><p>¶[44]</p><p>¶[5]</p><p>¶[39]</p></article>",
+    "<div class='page has-sidebar'><div class='entry with-comments'><p>¶[29]</p><p>¶[66]</p><p>¶[47]</p></div></div><div class='widget sidebar'><p>[12]</p><a>[3]</a></div><section id=comments><p>[31]</p><p>[9]</p></section>",
+    "<article><h1>¶[9]</h1><div class=overflow-hidden><p>¶[50]</p></div><div style='display: none'><p>[40]</p></div><p>¶[33]</p><div class=ad-slot>[10]</div><ol><li>¶[3]<li>¶[16]</ol></article><div class=cookie-notice>[22]</div>",
+    "<ul><li><a>[1]</a><li><a>[2]</a><li><a>[1]</a></ul><div><p>¶[71]</p><p>¶[38]</p><h3>¶[4]</h3><p>¶[82]</p></div><ul><li><a>[6]</a><li><a>[5]</a></ul><p>[3]</p>",
+    "<main><h1>¶[3]</h1><p>¶[2]</p><p>¶[18] <a>[1]</a></p><table><tr><td>¶[2]<td>¶[1]<tr><td>¶[3]<td>¶[1]</table><form><label>[2]</label><button>[1]</button></form><p>¶[41]</p></main><aside><p>[33]</p></aside>",
+)
+
+
+def test_tree_on_held_out_pages():
+    from vigil.llm.html_text import judge, labelled
+
+    x, y = labelled(HELD_OUT)
+    got = np.array([judge(f) for f in x])
+    precision, recall = (got & y).sum() / got.sum(), (got & y).sum() / y.sum()
+    assert precision >= 0.95 and recall >= 0.95, (precision, recall, x[got != y])
+
+    def used(node):
+        return {node[0]} | used(node[2]) | used(node[3]) if isinstance(node, tuple) else set()
+
+    assert used(tree()) & {2, 3, 4, 5}, "the neighbours take part"
+
+
+def test_layouts_that_name_what_they_lack():
+    text = "A sentence of the article with quite a few plain words in it, so that it is long enough to count as text."
+    p = f"<p>{text}</p>"
+    for page in (f'<div class="layout with-sidebar"><main><article>{p}{p}</article></main></div>', f'<div class="post has-comments">{p}{p}</div>', f'<article>{p}<div class="overflow-hidden">{p}</div></article>',
+                 f"<form method=post><div><article>{p}{p}</article></div></form>", f"<form method=post><div>{p}{p}</div></form>", f"<nav><a>Home</a><article>{p}{p}</article>"):
+        assert main_text(page).count(text) == 2, page
+    assert text not in main_text(f'<article><p>{"word " * 30}</p><div style="display:none">{p}</div></article>')
+
+
+def test_end_tags_without_a_start_cost_one_look():
+    import time
+
+    deep = "<b>" * 20000
+    start = time.time()
+    main_text(f"<article>{deep}" + "</i>" * 20000 + "<p>x</p>" * 5000 + "</article>")
+    assert time.time() - start < 5
+
+
+def plain_scores(net, text):
+    """The network by its definition, a byte at a time."""
+    hop, data = C.CHUNK - C.OVERLAP, text.encode()
+    means = np.zeros(C.FILTERS)
+    starts = range(0, max(1, len(data) - C.OVERLAP), hop)
+    for at in starts:
+        chunk = [*data[at : at + C.CHUNK]]
+        chunk += [C.PAD] * (C.CHUNK - len(chunk))
+        best = [max(sum(float(net.vectors[chunk[s + i]][d]) * float(net.filters[i * C.BYTE_DIM + d][f]) for i in range(C.WIDTH) for d in range(C.BYTE_DIM)) for s in range(0, C.CHUNK - C.WIDTH + 1, C.STEP)) for f in range(C.FILTERS)]
+        means += np.maximum(np.array(best) + net.shift, 0)
+    return 1 / (1 + np.exp(-(means / len(starts) @ net.weight + net.bias)))
+
+
+def test_scores_equal_the_definition():
+    r = np.random.default_rng(5)
+    net = C.Network(r.normal(size=(257, C.BYTE_DIM)).astype(np.float32), r.normal(size=(C.WIDTH * C.BYTE_DIM, C.FILTERS)).astype(np.float32) / 8, r.normal(size=C.FILTERS).astype(np.float32), r.normal(size=C.FILTERS) / 8, 0.3)
+    import pyarrow as pa
+
+    texts = ["", "short", "é" * 300, "a longer text of many words " * 25]
+    assert np.allclose(C._scores(net, pa.array(texts)), [plain_scores(net, t) for t in texts], atol=1e-5)
+
+
+def test_training_reads_bounded_bytes(spark):
+    rows = [(i, ("good words here " if i % 2 else "zzq#9 ") * (20 if i else 200_000)) for i in range(60)] + [(1, "good words again " * 9)] * 50
+    labels = [(i, i % 2) for i in range(60)]
+    chunks, counts, found = C.training(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), most=30)
+    assert len(counts) == len(found) == 30 and counts.max() <= C.MOST_CHUNKS and len(chunks) == counts.sum()

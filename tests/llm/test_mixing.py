@@ -68,3 +68,11 @@ def test_targets_fill_up(spark):
         got = {r.source: r.target for r in targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), 1.5, 2.0).collect()}
         want = brute_targets(sizes)
         assert all(abs(got[s] - want[s]) < 1e-6 * (1 + want[s]) for s in sizes)
+
+
+def test_small_sources_get_their_share(spark):
+    rows = [(i, " ".join(["x"] * 10), f"s{i:02}", 0, 0) for i in range(12)] + [(99, "y " * 3000, "t", 0, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for part in (df.where("doc_id < 99"), df):
+        for r in mix(Workspace(spark), part).collect():
+            assert abs(r.taken - r.target) <= 1 and r.taken <= 2 * r.size, r

@@ -54,3 +54,15 @@ def test_redaction(spark):
     out = scan_secrets(Workspace(spark), spark.createDataFrame(rows, SCHEMA), keep_text=True)
     got = {r.doc_id: r.t for r in out.select("doc_id", redact(F.coalesce("text", F.lit("")), F.col("all_spans")).alias("t")).collect()}
     assert got == {0: 'é [SECRET]" [SECRET].', 1: "plain", 2: ""}
+
+
+def test_a_text_of_very_many_matches(spark):
+    import time
+
+    text = " ".join(f"{i:032x}" for i in range(20_000))
+    df = spark.createDataFrame([(0, text, "a", "en", "", 0), (1, text[:400], "a", "en", "", 0)], SCHEMA)
+    start = time.time()
+    got = {r.doc_id: r for r in scan_secrets(Workspace(spark), df, keep_text=True).withColumn("t", redact(F.col("text"), F.col("all_spans"))).collect()}
+    assert time.time() - start < 40
+    assert got[0].n_hex == 20_000 and got[0].t == " ".join(["[SECRET]"] * 20_000)
+    assert got[0].base_sha256 == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Workspace
 
-#: Words of a block, and of a shard about.
-BLOCK_WORDS, SHARD_WORDS = 64, 2_000_000
+#: Words of a block at most, and of a shard about. A block has at most the 16th part of the smallest target, so that each source has some.
+BLOCK_WORDS, SHARD_WORDS, LEAST_BLOCKS = 64, 2_000_000, 16
 #: Weights of sources in code-point order, repeating; a null source comes last.
 WEIGHTS = (3, 1, 2)
 
@@ -59,7 +59,7 @@ def mix(work: Workspace, docs: DataFrame, share: float = 1.5, most: float = 2.0,
     """(keep, doc_id, size, source_size, target, taken, epochs, cut_from, cut_to, cut_again): for every row the words that the mix takes.
 
     A source's documents are dealt into shards of about `shard_words` by a seeded hash, so that a hot source has many.
-    In a shard they stand in seeded order, cut into equal blocks. The blocks that make up all targets are apportioned to sources,
+    In a shard they stand in seeded order, cut into equal blocks of `block_words` at most, fewer if a source's target is small. The blocks that make up all targets are apportioned to sources,
     then each source's to its shards. A shard takes its blocks once for each whole multiple of its quota, and the rest as a run
     of blocks from a seeded one on, so few documents are cut: `epochs` copies of a document are whole, then words cut_from to cut_to
     (exclusive), and from 0 to cut_again where the run comes round. No document is taken above `most` = 2 times. Null and empty texts
@@ -69,7 +69,8 @@ def mix(work: Workspace, docs: DataFrame, share: float = 1.5, most: float = 2.0,
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = work.put(targets(sizes, share, most, weights).withColumn("shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_words))), "targets")
     # quotas of sources, then of their shards
-    total = aims.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+    total, smallest = aims.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))), F.lit(0.0))).first()
+    block_words = max(1, min(block_words, int(smallest / LEAST_BLOCKS)))
     by_source = apportion(aims.withColumn("votes", F.col("target")).withColumn("one", F.lit(1)), ["one"], ["source"], F.lit(round(total / block_words))).select("source", "quota")
     known = rows.join(aims, rows["source"].eqNullSafe(aims["source"])).select(rows["*"], "source_size", "target", "shards")
     known = known.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "lot"), F.col("shards")))

@@ -23,6 +23,22 @@ MOST_REPOSITORIES, MOST_OWNERS = 3, 1
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|sample|your|xxxx|1234567"
 
 
+#: Matches that are folded together; the runs' results are then joined, so that a text of very many matches costs little more for each.
+RUN = 128
+
+
+def bound(x: Column, body) -> Column:
+    """body(x), with x computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
+def runs(rows: Column) -> Column:
+    """An array as an array of short ones. Built-in folds copy what they have gathered at each element; so they run over short
+    arrays, and only these arrays' results are gathered in one."""
+    last = F.greatest(F.lit(0), F.ceil(F.size(rows) / RUN).cast("int") - 1)
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(rows, i * RUN + 1, F.lit(RUN)))
+
+
 def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """array<struct<start, kind, end, value>> of a pattern's leftmost non-overlapping matches, positions in code points: the stretches
     between matches come from a split by the same pattern, and running lengths give the places."""
@@ -31,16 +47,18 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
     gaps = F.split(text, pattern, -1)
     rows = F.arrays_zip(whole.alias("m"), part.alias("v"), F.slice(gaps, 1, F.size(whole)).alias("g"))
     none = F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + F.length(x["g"])
-        b = a + F.length(x["m"])
-        keep = F.length(x["v"]) >= least
-        more = F.when(keep, F.array(F.struct(a.alias("start"), b.alias("end"), x["v"].alias("value")))).otherwise(none)
-        return F.struct(b.alias("at"), F.concat(acc["found"], more).alias("found"))
+        more = F.when(F.length(x["v"]) >= least, F.array(F.struct(a.alias("start"), (a + F.length(x["m"])).alias("end"), x["v"].alias("value")))).otherwise(none)
+        return F.struct((a + F.length(x["m"])).alias("at"), F.concat(acc["found"], more).alias("found"))
 
-    found = F.aggregate(rows, start, step, lambda acc: acc["found"])
+    def run(acc: Column, part: Column) -> Column:
+        done = lambda x: F.struct(x["at"].alias("at"), F.concat(acc["found"], F.array(x["found"])).alias("found"))
+        return bound(F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("found")), step), done)
+
+    start = F.struct(F.lit(0).alias("at"), F.slice(F.array(none), 1, 0).alias("found"))
+    found = bound(rows, lambda r: F.aggregate(runs(r), start, run, lambda acc: F.flatten(acc["found"])))
     empty = F.expr("cast(array() as array<struct<start: int, rank: int, end: int, kind: string, value: string>>)")
     rank = [k for k, *_ in (*BASE, OPAQUE)].index(kind)
     shaped = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))
@@ -93,11 +111,19 @@ def scan_secrets(work: Workspace, docs: DataFrame, owner: str = "source", reposi
 
 def redact(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
     """The text with every span, overlapping ones as one, replaced by `mask`. Spans are sorted by start."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    none = F.expr("cast(array() as array<string>)")
 
     def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    return F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+        piece = F.array(F.substring(acc["part"], acc["at"] - acc["from"] + 1, x["start"] - acc["at"]), F.lit(mask))
+        out = F.when(x["start"] >= acc["at"], piece).otherwise(none)
+        return F.struct(acc["part"].alias("part"), acc["from"].alias("from"), F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], out).alias("out"))
+
+    def run(acc: Column, part: Column) -> Column:
+        """The spans of a run are cut out of its own stretch of the text, as each cut counts characters from the beginning."""
+        end = F.aggregate(part, acc["at"], lambda at, x: F.greatest(at, x["end"]))
+        first = F.struct(F.substring(text, acc["at"] + 1, end - acc["at"]).alias("part"), acc["at"].alias("from"), acc["at"].alias("at"), none.alias("out"))
+        return bound(F.aggregate(part, first, step), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(x["out"], ""))).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    finish = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    return bound(found, lambda f: F.aggregate(runs(f), start, run, finish))

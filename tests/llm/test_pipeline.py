@@ -83,3 +83,33 @@ def test_mix_of_repeated_and_null_ids(spark):
         got[r.doc_id, words[0].split("x")[0]] += len(words)
     size = {(i, f"w{n}"): 50 + n for n, (i, *_) in enumerate(rows)}
     assert sum(got.values()) == want and all(n <= 2 * size[k] for k, n in got.items())
+
+
+def test_columns_that_clash_with_the_operators(spark):
+    """Every stage over documents whose further columns bear the operators' names; empty tables too."""
+    names = ["size", "spans", "epochs", "_row", "class", "taken", "all_spans", "_doc", "sig", "shard", "length", "offset", "component_id", "cut_from"]
+    texts = odd_documents()[:25] + [(None, "password: hunter2hunter2 " + " ".join(BASE)), (3, "an id of another text " * 4)]
+    schema = DOCS + ", " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame([(i, t, "en", "ab"[k % 2], 0, *range(len(names))) for k, (i, t) in enumerate(texts)], schema)
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, DIR)
+        rows = out.collect()
+        assert rows, name
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns, name
+            assert all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in rows), name
+        assert stage(spark, docs.limit(0), DIR).count() == 0, name
+
+
+def test_rejected_documents_go(spark):
+    from vigil.llm.common import table
+    from vigil.llm.quality import fit, score_quality
+
+    rows = [(i, t, "en", "s", 0) for i, t in odd_documents()] + [(None, "no id at all", "en", "s", 0), (3, "the same id, another text", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    net = fit(table(spark, DIR, "documents"), table(spark, DIR, "labels"))
+    want = Counter()
+    for i, t, *_ in rows:
+        one = spark.createDataFrame([(i, t)], "doc_id long, text string")
+        want[i, t] += score_quality(one, net).first().predicted
+    assert Counter((r.doc_id, r.text) for r in P.quality_classifier(spark, docs, DIR).collect()) == +want

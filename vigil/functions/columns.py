@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def stable_id(*parts: Column | str) -> Column:
-    """sha256 of the parts joined by a vertical bar."""
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    """sha256 of the parts joined by a vertical bar; a missing part is a zero byte, so that it is told from an empty and from none."""
+    return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("\0")) for p in parts)), 256)
 
 
 def rate(n: Column, of: Column) -> Column:
@@ -34,16 +34,22 @@ def severity_group(number: Column) -> Column:
 def terms(text: Column) -> Column:
     """Lower-cased search terms: words of letters and digits, whose inner dots, dashes and underscores join compounds; a compound
     is followed by its parts."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[._-][a-z0-9]+)*"), F.lit(0))
+    low = F.lower(text)
+    words = F.regexp_extract_all(low, F.lit(r"[a-z0-9]+(?:[._-][a-z0-9]+)*"), F.lit(0))
     with_parts = lambda w: F.when(F.regexp_like(w, F.lit("[._-]")), F.concat(F.array(w), F.split(w, "[._-]"))).otherwise(F.array(w))
-    return F.flatten(F.transform(words, with_parts))
+    # most texts have no compound, and need no look at each word
+    return F.when(F.regexp_like(low, F.lit("[a-z0-9][._-][a-z0-9]")), F.flatten(F.transform(words, with_parts))).otherwise(words)
 
 
 def normal_text(text: Column) -> Column:
-    """Line ends as \\n, no blanks before them, no blank lines beyond one, trimmed."""
-    t = F.regexp_replace(text, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"[ \t]+\n", "\n")
-    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    """Line ends as \\n, no blanks before them, white space at the end as one \\n. The front and blank lines stay."""
+    t = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t]+(?=\n|\z)", "")
+    return F.concat(F.regexp_replace(t, r"(?U)[\s\x1c-\x1f]+\z", ""), F.lit("\n"))
+
+
+def fixed(value: Column, digits: int = 6) -> Column:
+    """Rounded half up by multiplication, which any engine of IEEE numbers repeats bit for bit."""
+    return F.floor(value * F.lit(float(10**digits)) + 0.5) / F.lit(float(10**digits))
 
 
 def mean_of_largest(values: Column, k: int) -> Column:

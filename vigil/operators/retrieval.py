@@ -2,25 +2,77 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, floor_share: float = 0.25) -> DataFrame:
-    """(query_id, doc_id, score): Okapi BM25 of (doc_id, term, tf) under (query_id, term); repeated query terms add up. idf comes from the whole
-    corpus; a negative one becomes `floor_share` of the mean idf. Documents without a query term score 0 and aren't listed."""
-    n = lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))
+#: Distinct query terms, and query vectors at once, up to which they are sent to all tasks.
+MOST_TERMS, MOST_QUERIES = 200_000, 4096
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, floor_share: float = 0.25) -> DataFrame:
+    """(query_id, doc_id, score): Okapi BM25 of (doc_id, terms) under (query_id, term); repeated query terms add up. idf comes from the whole
+    corpus; a negative one becomes `floor_share` of the mean idf. Documents without a query term score 0 and aren't listed.
+
+    The corpus is read once for its document frequencies and once for the queries' terms: only these leave the tasks, with the
+    document's length, so stop words that nobody asks for are never shuffled by document."""
+    full = docs.where(F.size("terms") > 0)
+    n = full.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("avgdl"))
+    df = full.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))
     raw = F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.select("term", "docs", "avgdl", raw.alias("raw"))
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    idf = idf.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("mean") * floor_share).otherwise(F.col("raw")).alias("idf"))
-    q = queries.groupBy("query_id", "term").agg(F.count("*").alias("times")).join(idf, "term")
-    hit = postings.join(q, "term").join(lengths, "doc_id")
+    mean = df.agg(F.avg(raw).alias("mean"))
+    q = queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    wanted = q.select("term").distinct()
+    few = wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    sent = (lambda x: F.broadcast(x)) if few else (lambda x: x)
+    idf = df.join(sent(wanted), "term").select("term", "avgdl", raw.alias("raw")).join(F.broadcast(mean))
+    idf = idf.select("term", "avgdl", F.when(F.col("raw") < 0, F.col("mean") * floor_share).otherwise(F.col("raw")).alias("idf"))
+    held = full.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(sent(wanted), "term")
+    held = held.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    asked = q.join(idf, "term")
+    hit = held.join(F.broadcast(asked) if few else asked, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def cosine_best(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score): of each batch of rows (doc_id, embedding) the k nearest to each query (query_id, q) by cosine, ties to smaller
+    ids; `top_k` ranks them. A stated query set against all rows, in blocks of MOST_QUERIES that are sent to all tasks."""
+    spark = queries.sparkSession
+    out = None
+    blocks = -(-queries.count() // MOST_QUERIES)
+    for i in range(max(1, blocks)):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == i).orderBy("query_id").toArrow()
+        sent = spark.sparkContext.broadcast((part["query_id"].to_numpy(), unit_rows(part["q"].combine_chunks() if part.num_rows else None)))
+
+        def run(batches, sent=sent):
+            ids, q = sent.value
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
+                    continue
+                x, doc = unit_rows(batch.column(1)), batch.column(0).to_numpy()
+                score = np.round(q @ x.T, 6) if q.shape[1] == x.shape[1] else np.full((len(q), len(x)), np.nan)
+                for a, row in zip(ids.tolist(), score):
+                    best = np.lexsort((doc, -row))[:k]
+                    best = best[~np.isnan(row[best])]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), a)), pa.array(doc[best]), pa.array(row[best])], names=["query_id", "doc_id", "score"])
+
+        found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding").mapInArrow(run, "query_id long, doc_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def unit_rows(column: pa.Array | None) -> np.ndarray:
+    """Vectors of a list column, all of one length, as rows of length 1; a null or zero vector is a row without numbers."""
+    lists = [] if column is None else column.to_pylist()
+    dim = max((len(v) for v in lists if v), default=0)
+    x = np.array([v if v and len(v) == dim else [np.nan] * dim for v in lists], np.float64).reshape(len(lists), dim)
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    return x / np.where(norm > 0, norm, np.nan)[:, None]
+
+
 def top_k(scored: DataFrame, by: str, key: str, k: int) -> DataFrame:
     """Rank by (-score, key) in each group, at most k."""
     w = Window.partitionBy(by).orderBy(F.desc("score"), key)
@@ -42,16 +94,21 @@ def reciprocal_rank_fusion(left: DataFrame, right: DataFrame, by: str, key: str,
     return s.withColumn("rank", F.row_number().over(w)).select(by, key, "score", "rank")
 
 
-def rank_metrics(ranked: DataFrame, grades: DataFrame, k: int) -> DataFrame:
-    """(query_id, recall, hit, mrr, ndcg) at k, from (query_id, doc_id, rank) and (query_id, doc_id, grade > 0)."""
+def rank_metrics(ranked: DataFrame, grades: DataFrame, cuts: tuple[int, ...] = (1, 3, 5, 10), gains: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """(query_id, recall_k and hit_k for each cut, mrr at the last cut, ndcg_k for each of `gains`), from (query_id, doc_id, rank) and
+    (query_id, doc_id, grade > 0)."""
     gain = F.pow(F.lit(2.0), F.col("grade")) - 1
+    most = max(*cuts, *gains)
     w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")
     ideal = grades.withColumn("r", F.row_number().over(w))
-    ideal = ideal.groupBy("query_id").agg(F.count("*").alias("relevant"), F.sum(F.when(F.col("r") <= k, gain / F.log2(F.col("r") + 1))).alias("ideal"))
-    found = ranked.where(F.col("rank") <= k).join(grades, ["query_id", "doc_id"]).groupBy("query_id").agg(F.count("*").alias("n"), F.min("rank").alias("first"), F.sum(gain / F.log2(F.col("rank") + 1)).alias("dcg"))
+    ideal = ideal.groupBy("query_id").agg(F.count("*").alias("relevant"), *(F.sum(F.when(F.col("r") <= k, gain / F.log2(F.col("r") + 1))).alias(f"i{k}") for k in gains))
+    found = ranked.where(F.col("rank") <= most).join(grades, ["query_id", "doc_id"]).groupBy("query_id").agg(
+        F.min("rank").alias("first"), *(F.count_if(F.col("rank") <= k).alias(f"n{k}") for k in cuts), *(F.sum(F.when(F.col("rank") <= k, gain / F.log2(F.col("rank") + 1))).alias(f"d{k}") for k in gains)
+    )
     j = ideal.join(found, "query_id", "left")
     z = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
-    return j.select("query_id", z(F.col("n") / F.col("relevant")).alias("recall"), F.when(F.col("n") > 0, 1).otherwise(0).alias("hit"), z(1 / F.col("first")).alias("mrr"), z(F.col("dcg") / F.col("ideal")).alias("ndcg"))
+    at = [c for k in cuts for c in (z(F.col(f"n{k}") / F.col("relevant")).alias(f"recall_{k}"), (F.coalesce(f"n{k}", F.lit(0)) > 0).cast("int").alias(f"hit_{k}"))]
+    return j.select("query_id", *at, z(F.when(F.col("first") <= max(cuts), 1 / F.col("first"))).alias(f"mrr_{max(cuts)}"), *(z(F.col(f"d{k}") / F.col(f"i{k}")).alias(f"ndcg_{k}") for k in gains))
 
 
 def complementarity(left: DataFrame, right: DataFrame, queries: DataFrame) -> DataFrame:

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.columns import mean_of_largest, normal_text, severity_group, terms
+from vigil.functions.columns import fixed, mean_of_largest, normal_text, severity_group, terms
 from vigil.operators import anomaly, answers, corpus, retrieval, windows
 from vigil.sources import otlp
-from vigil.sources.tables import OBS_SQL, observations, table
+from vigil.sources.tables import OBS_SQL, folder, observations, table
 from vigil.streaming import route
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 #: A score and a truth for every observation: how far its value is from 50, and whether it is an error; errors of some services are the faults.
-SCORED = f"""{OBS_SQL}, scored AS (SELECT *, round(abs(numeric_value - 50), 1) AS score, (metric_name = 'error')::INT AS truth FROM obs)"""
+SCORED = f"""{OBS_SQL}, scored AS (SELECT *, floor(abs(numeric_value - 50) * 10 + 0.5) / 10 AS score, (metric_name = 'error')::INT AS truth FROM obs)"""
 TERMS_SQL = r"""flatten([[w] || CASE WHEN regexp_matches(w, '[._-]') THEN string_split_regex(w, '[._-]') ELSE [] END FOR w IN regexp_extract_all(lower(text), '[a-z0-9]+(?:[._-][a-z0-9]+)*')])"""
 
 
@@ -31,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return observations(spark, d).withColumn("score", F.round(F.abs(F.col("numeric_value") - 50), 1)).withColumn("truth", (F.col("metric_name") == "error").cast("int"))
+    return observations(spark, d).withColumn("score", fixed(F.abs(F.col("numeric_value") - 50), 1)).withColumn("truth", (F.col("metric_name") == "error").cast("int"))
 
 
 @query(f"""WITH {OBS_SQL}, w AS (SELECT *, ts_us // 3600000000 * 3600000000 AS start_us FROM obs)
@@ -100,11 +98,11 @@ def deviation_window(spark, d):
     return x.groupBy("run_id").agg(F.count(v).alias("matched"), F.round(F.avg(v), 6).alias("mean"), F.round(F.max(v), 6).alias("max"), F.count_if(v > 3).alias("over3"), F.count_if(v > 5).alias("over5"), F.round(F.percentile(v, F.lit(0.95)), 6).alias("p95"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round((list_sum(list_sort([abs(l_quantity - 25) / 12, abs(l_extendedprice - 35000) / 20000, abs(l_discount - 0.05) / 0.03, abs(l_tax - 0.04) / 0.02]::DOUBLE[], 'DESC')[1:2])) / 2, 6) AS score FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, floor((a[1] + a[2]) / 2 * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS score FROM (SELECT l_orderkey, l_linenumber, list_sort([abs(l_quantity::DOUBLE - 25) / 12, abs(l_extendedprice::DOUBLE - 35000) / 20000, abs(l_discount::DOUBLE - 0.05::DOUBLE) / 0.03::DOUBLE, abs(l_tax::DOUBLE - 0.04::DOUBLE) / 0.02::DOUBLE], 'DESC') AS a FROM lineitem)""")
 def robust_score_topk(spark, d):
     dev = lambda c, m, s: F.abs(F.col(c).cast("double") - m) / s
     a = F.array(dev("l_quantity", 25, 12), dev("l_extendedprice", 35000, 20000), dev("l_discount", 0.05, 0.03), dev("l_tax", 0.04, 0.02))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(mean_of_largest(a, 2), 6).alias("score"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fixed(mean_of_largest(a, 2)).alias("score"))
 
 
 @query(f"""WITH {SCORED}, t AS (SELECT list_sort(list(score))[ceil((count(*) - 1) * (1 - 0.05))::INT + 1] AS threshold, count(*) AS n FROM scored)
@@ -162,12 +160,10 @@ def tokenize_terms(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(terms(F.col("text"))).cast("long").alias("n_terms"), F.size(F.array_distinct(terms(F.col("text")))).cast("long").alias("n_distinct"))
 
 
-def _bm25(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.explode(terms(F.col("text"))).alias("term"))
-    postings = t.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    lengths = t.groupBy("doc_id").agg(F.count("*").alias("dl"))
+def _bm25(spark, d, k: int = 20):
+    docs = table(spark, d, "documents").select("doc_id", terms(F.col("text")).alias("terms"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(terms(F.col("text"))).alias("term"))
-    return retrieval.top_k(retrieval.bm25(postings, lengths, asked), "query_id", "doc_id", 20)
+    return retrieval.top_k(retrieval.bm25(docs, asked), "query_id", "doc_id", k)
 
 
 BM25_SQL = f"""t AS (SELECT doc_id, unnest({TERMS_SQL}) AS term FROM documents), po AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), le AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY doc_id),
@@ -182,16 +178,15 @@ def bm25_topk(spark, d):
     return _bm25(spark, d)
 
 
-def _dense(spark, d):
-    """Every vector as a candidate of the first ten vectors, which stand for queries: ten rows, sent to all tasks."""
+def _dense(spark, d, k: int = 20):
+    """Every vector as a candidate of the vectors whose id is divisible by 100; they stand for the benchmark's items in order."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = v.join(F.broadcast(q)).select("query_id", F.col("vec_id").alias("doc_id"), F.round(retrieval.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return retrieval.top_k(s, "query_id", "doc_id", 20)
+    q = v.where("vec_id % 100 = 0").select((F.col("vec_id") / 100).cast("long").alias("query_id"), F.col("embedding").alias("q"))
+    return retrieval.top_k(retrieval.cosine_best(q, v.withColumnRenamed("vec_id", "doc_id"), k), "query_id", "doc_id", k)
 
 
-DENSE_SQL = """de AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank
- FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 10) q QUALIFY rank <= 20)"""
+DENSE_SQL = """de AS (SELECT q.vec_id // 100 AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank
+ FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q QUALIFY rank <= 20)"""
 
 
 @query(f"WITH {DENSE_SQL} SELECT * FROM de")
@@ -206,17 +201,21 @@ def rrf_fusion(spark, d):
 
 
 def _grades(spark, d):
-    return table(spark, d, "labels").where("quality + toxic > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("query_id"), "doc_id", (F.col("quality") + F.col("toxic")).alias("grade"))
+    """Grades by rule: labelled documents are relevant to the items of their remainder by 5."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 5).alias("m"))
+    g = table(spark, d, "labels").where("quality + toxic > 0").select("doc_id", (F.col("quality") + F.col("toxic")).alias("grade"), (F.col("doc_id") % 5).alias("m"))
+    return items.join(g, "m").select("query_id", "doc_id", "grade")
 
 
-GRADES_SQL = "gr AS (SELECT query_id::BIGINT AS query_id, doc_id, quality + toxic AS grade FROM labels, range(10) t(query_id) WHERE quality + toxic > 0)"
+GRADES_SQL = "gr AS (SELECT item_id AS query_id, doc_id, quality + toxic AS grade FROM labels JOIN benchmark ON item_id % 5 = doc_id % 5 WHERE quality + toxic > 0)"
+_AT = ", ".join(f"round(coalesce(n{k} / relevant, 0), 6) AS recall_{k}, (coalesce(n{k}, 0) > 0)::INT AS hit_{k}" for k in (1, 3, 5, 10))
 
 
-@query(f"""WITH {BM25_SQL}, {GRADES_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS r FROM gr), id AS (SELECT query_id, count(*) AS relevant, sum((2 ** grade - 1) / log2(r + 1)) FILTER (r <= 10) AS ideal FROM i GROUP BY query_id),
-f AS (SELECT query_id, count(*) AS n, min(rank) AS first, sum((2 ** grade - 1) / log2(rank + 1)) AS dcg FROM bm JOIN gr USING (query_id, doc_id) WHERE rank <= 10 GROUP BY query_id)
-SELECT query_id, round(coalesce(n / relevant, 0), 6) AS recall, CASE WHEN n > 0 THEN 1 ELSE 0 END AS hit, round(coalesce(1 / first, 0), 6) AS mrr, round(coalesce(dcg / ideal, 0), 6) AS ndcg FROM id LEFT JOIN f USING (query_id)""")
+@query(f"""WITH {BM25_SQL}, {GRADES_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS r FROM gr), id AS (SELECT query_id, count(*) AS relevant, {", ".join(f"sum((2 ** grade - 1) / log2(r + 1)) FILTER (r <= {k}) AS i{k}" for k in (5, 10))} FROM i GROUP BY query_id),
+f AS (SELECT query_id, min(rank) AS first, {", ".join(f"count(*) FILTER (rank <= {k}) AS n{k}" for k in (1, 3, 5, 10))}, {", ".join(f"sum((2 ** grade - 1) / log2(rank + 1)) FILTER (rank <= {k}) AS d{k}" for k in (5, 10))} FROM bm JOIN gr USING (query_id, doc_id) WHERE rank <= 10 GROUP BY query_id)
+SELECT query_id, {_AT}, round(coalesce(1 / first, 0), 6) AS mrr_10, round(coalesce(d5 / i5, 0), 6) AS ndcg_5, round(coalesce(d10 / i10, 0), 6) AS ndcg_10 FROM id LEFT JOIN f USING (query_id)""")
 def rank_metrics(spark, d):
-    return retrieval.rank_metrics(_bm25(spark, d), _grades(spark, d), 10)
+    return retrieval.rank_metrics(_bm25(spark, d), _grades(spark, d))
 
 
 @query(f"""WITH {BM25_SQL}, {DENSE_SQL}, {GRADES_SQL}, q AS (SELECT item_id AS query_id FROM benchmark), a AS (SELECT DISTINCT query_id FROM bm SEMI JOIN gr USING (query_id, doc_id)), b AS (SELECT DISTINCT query_id FROM de SEMI JOIN gr USING (query_id, doc_id))
@@ -233,7 +232,7 @@ def chunk_windows(spark, d):
     return corpus.chunk_tokens(table(spark, d, "documents"), "doc_id", "text", 400, 60, 8).drop("content")
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS checksum FROM documents""")
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\s+$', '') || chr(10)) AS checksum FROM documents""")
 def doc_checksum(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(normal_text(F.col("text")), 256).alias("checksum"))
 
@@ -349,8 +348,8 @@ def stream_tumbling(spark, d):
 
     schema: StructType = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"closed_{uuid.uuid4().hex}"
+    at = folder(spark, "stream")
     out = route.closed_windows(stream, "ts", ["event_type"], "value", 3600, "1 hour")
-    q = out.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    q = out.writeStream.outputMode("append").format("parquet").option("path", f"{at}/windows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{at}/windows")

@@ -6,15 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A quantile sketch's accuracy: a bracket around a quantile holds 0.06 % of a group's rows.
+ACCURACY = 10_000
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, qs: tuple[float, ...]) -> DataFrame:
+    """(by, n, q0, q1, ...): exact quantiles of each group, interpolated linearly; null in a group without values.
+
+    No task holds a group: equal values are counted before they are shuffled; sketches give a bracket around each quantile's place, rows below
+    it are counted, and only the bracket's distinct values are ranked, 0.06 % of a large group at most."""
+    v, keys = F.col(value).cast("double"), [f"_k{i}" for i in range(len(by))]
+    named = rows.where(v.isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(by, keys)), v.alias("_v"))
+    known = named.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    # of each group and quantile: its place, and the edges of the bracket around it
+    spread, small = 2.0 / ACCURACY, F.col("_n") < 4 * ACCURACY  # a small group is its own bracket
+    marks = F.array(*(F.lit(min(1.0, max(0.0, q + s * spread))) for q in qs for s in (-1, 1)))
+    edges = named.groupBy(*(F.col(k).alias(f"_j{i}") for i, k in enumerate(keys))).agg(F.count("*").alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_e"))
+    bracket = F.array(*(F.struct(F.lit(i).alias("_q"), ((F.col("_n") - 1) * F.lit(q)).alias("_at"), F.when(small, F.lit(float("-inf"))).otherwise(F.col("_e")[2 * i]).alias("_lo"), F.when(small, F.lit(float("inf"))).otherwise(F.col("_e")[2 * i + 1]).alias("_hi")) for i, q in enumerate(qs)))
+    edges = edges.select(*(f"_j{i}" for i in range(len(keys))), "_n", bracket.alias("_b"))
+    same = [F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)]
+    # each distinct value, counted, once for each quantile whose bracket it doesn't exceed; values below a bracket as one
+    met = (known.join(edges, same) if same else known.join(F.broadcast(edges))).select(*keys, "_n", "_v", "_c", F.explode("_b").alias("_x")).where(F.col("_v") <= F.col("_x._hi"))
+    met = met.withColumn("_v", F.when(F.col("_v") < F.col("_x._lo"), F.lit(float("-inf"))).otherwise(F.col("_v")))
+    met = met.groupBy(*keys, "_n", F.col("_x._q").alias("_q"), F.col("_x._at").alias("_at"), "_v").agg(F.sum("_c").alias("_c"))
+    run = met.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_q").orderBy("_v")))
+    place = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+    found = run.groupBy(*keys, "_n", "_q", "_at").agg(place(F.floor("_at")).alias("_low"), place(F.ceil("_at")).alias("_high"))
+    part = F.col("_at") - F.floor("_at")
+    found = found.withColumn("_r", F.col("_low") + (F.col("_high") - F.col("_low")) * part)
+    out = found.groupBy(*keys, "_n").agg(*(F.max(F.when(F.col("_q") == i, F.col("_r"))).alias(f"q{i}") for i in range(len(qs))))
+    return out.select(*(F.col(k).alias(c) for k, c in zip(keys, by)), F.col("_n").alias("n"), *(f"q{i}" for i in range(len(qs))))
+
+
 def robust_baseline(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, n, center, scale, informative): median, and 1.4826 MAD, else IQR / 1.349, else 1.0 and uninformative. Two aggregates; the
-    second reads each row's center by a join on the same keys."""
-    quart = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    a = rows.groupBy(*by).agg(F.count(value).alias("n"), quart.alias("q"))
-    b = rows.join(a.select(*by, F.col("q")[1].alias("center")), by).groupBy(*by).agg((F.median(F.abs(F.col(value) - F.col("center"))) * 1.4826).alias("mad"))
-    iqr = (F.col("q")[2] - F.col("q")[0]) / 1.349
+    """(by, n, center, scale, informative): median, and 1.4826 MAD, else IQR / 1.349, else 1.0 and uninformative. Quantiles are exact and
+    no task holds a group's values; the second pass joins each row to its center by the same keys."""
+    a = quantiles(rows, by, value, (0.25, 0.5, 0.75))
+    centers = a.select(*by, F.col("q1").alias("_center"))
+    apart = rows.join(centers, by).select(*by, F.abs(F.col(value) - F.col("_center")).alias("_apart"))
+    mad = quantiles(apart, by, "_apart", (0.5,)).select(*by, (F.col("q0") * 1.4826).alias("mad"))
+    iqr = (F.col("q2") - F.col("q0")) / 1.349
     scale = F.when(F.col("mad") > 0, F.col("mad")).when(iqr > 0, iqr).otherwise(1.0)
-    return a.join(b, by).select(*by, "n", F.col("q")[1].alias("center"), scale.alias("scale"), ((F.col("mad") > 0) | (iqr > 0)).alias("informative"))
+    return a.join(mad, by).select(*by, "n", F.col("q1").alias("center"), scale.alias("scale"), ((F.col("mad") > 0) | (iqr > 0)).alias("informative"))
 
 
 def deviations(rows: DataFrame, base: DataFrame, wide: DataFrame, by: list[str], wide_by: list[str], value: str, least: int = 5) -> DataFrame:
@@ -27,12 +60,6 @@ def deviations(rows: DataFrame, base: DataFrame, wide: DataFrame, by: list[str],
     return out.withColumn("deviation", d).drop("_f", "_g", "_b")
 
 
-def quantile_higher(value: str, q: float) -> Column:
-    """The order statistic at or above the q-quantile, of one group."""
-    v = F.sort_array(F.collect_list(value))
-    return F.element_at(v, F.ceil((F.size(v) - 1) * q).cast("int") + 1)
-
-
 def order_statistics(rows: DataFrame, value: str, q: float) -> DataFrame:
     """One row (n, lower, higher): the exact order statistics beside position (n - 1) * q; none on no values. A quantile sketch of error 1 / 10,000 gives a bracket of
     0.4 % of the rows around the position; rows below are counted, and only the bracket's distinct values are ranked."""

@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by several shifted Hilbert orderings of projected vectors.
 
-Each ordering holds the vectors' places on the curve and small codes of them, not the vectors. A query looks at a fixed number of rows
+Each ordering holds the vectors' places on the curve and small codes of them, not the vectors. A query looks at some rows
 before and after its own place in every ordering, keeps the nearest by their codes, and the candidates of all orderings are ranked once by
-the vectors themselves. How many orderings that takes depends on the data: it is reckoned from a bounded sample, so candidates grow more
-slowly than rows. Where it would take more than MOST_CURVES, windows double until it doesn't."""
+the vectors themselves. The number of orderings is fixed, so what is placed and shuffled grows as the table; how far a query looks
+depends on the data and is reckoned from a bounded sample: little where vectors lie in groups, far where they fill all directions alike."""
 
 from __future__ import annotations
 
@@ -19,8 +19,8 @@ from .common import Workspace, groups, lean, partitions
 from .vectors import hashed, lengths, rows_of, sample
 
 #: Projected dimensions of an ordering and bits of each; the share of true neighbours that the windows of all orderings are to hold by reckoning;
-#: orderings at most; rows on either side of a query; rows of a range of an ordering, about.
-DIMS, BITS, AIM, MOST_CURVES, REACH, RANGE_ROWS = 6, 8, 0.985, 64, 512, 50_000
+#: orderings; rows on either side of a query at least; rows of a range of an ordering, about.
+DIMS, BITS, AIM, CURVES, REACH, RANGE_ROWS = 6, 8, 0.96, 24, 128, 50_000
 #: Vectors of the sample that stand for queries when orderings are reckoned, and orderings tried.
 TRIED, TRIALS = 200, 6
 
@@ -50,13 +50,13 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 class Curves:
     """Orderings of vectors of one length: random projections, cells between quantiles of a bounded sample (so that no outlier
-    sets the scale), random shifts; and how many of them and which reach `total` rows need."""
+    sets the scale), random shifts; and the reach that `total` rows need."""
 
     def __init__(self, fitted: np.ndarray, dim: int, total: int, k: int, seed: int, reach: int = REACH):
         self.dim, self.dims, self.seed = dim, min(DIMS, dim), seed
         self.fitted, self.edges = fitted, {}
-        self.reach, self.curves = self._reckon(total, k, reach)
-        self.edges = {c: self._edges(c) for c in range(self.curves)}
+        self.reach = self._reckon(total, k, reach)
+        self.edges = {c: self._edges(c) for c in range(CURVES)}
         self.fitted = None
 
     def _projection(self, curve: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +73,12 @@ class Curves:
         cells = np.stack([np.searchsorted(edges[:, d], y[:, d]) for d in range(self.dims)], 1)
         return hilbert_keys(cells + shift, BITS + 1)
 
-    def _reckon(self, total: int, k: int, reach: int) -> tuple[int, int]:
-        """(reach, orderings): from how far the sample's neighbours lie from a sample vector in some orderings. A window has the same share of
+    def _reckon(self, total: int, k: int, reach: int) -> int:
+        """The reach, from how far the sample's neighbours lie from a sample vector in some orderings. A window has the same share of
         the sample as of all rows; below 16 rows of the sample, the hit rate is carried on as a power of the share."""
         m = len(self.fitted)
         if total <= 2 * reach or m <= k + 1:
-            return reach, 1
+            return reach
         asks = np.arange(min(TRIED, m))
         x = self.fitted
         far = np.einsum("ij,ij->i", x, x)[None, :] - 2 * x[asks] @ x.T
@@ -95,13 +95,13 @@ class Curves:
         rate = lambda rows: max(float((apart <= rows).mean()), 1e-6)
         low = min(16, m // 4)
         power = max(0.0, math.log(rate(4 * low) / rate(low)) / math.log(4)) if low else 1.0
-        while True:
+        while 2 * reach < total:
             rows = reach * m / total
             hit = rate(rows) if rows >= low else rate(low) * (rows / low) ** power
-            n = math.ceil(math.log(1 - AIM) / math.log1p(-min(hit, 1 - 1e-9)))
-            if n <= MOST_CURVES or 2 * reach >= total:
-                return reach, max(4, min(n, MOST_CURVES))
-            reach *= 2
+            if (1 - hit) ** CURVES <= 1 - AIM:
+                break
+            reach = reach + reach // 4
+        return reach
 
 
 def coded(x: np.ndarray) -> np.ndarray:
@@ -126,7 +126,7 @@ def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k
     """(query_id, rank, vec_id, score): for each row that `queries` (over vec_id) marks, its k nearest found by Euclidean distance.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do rows without an id; vectors of
-    different lengths are searched among themselves. All rows are indexed; scales and the number of orderings are fitted to SAMPLE vectors of
+    different lengths are searched among themselves. All rows are indexed; scales and the reach are fitted to SAMPLE vectors of
     each length. Equal vectors have one place on a curve, ask once, and stand there for their k+1 smallest ids, so a group of copies of any size is
     one row. A repeated id is listed once for each query. An empty table gives an empty result; other columns are not read.
 
@@ -155,7 +155,7 @@ def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k
                 x, n = rows_of(part), part.num_rows
                 code = pa.array([r.tobytes() for r in coded(x)], pa.binary())
                 whole = pa.array([v if a else None for v, a in zip(part["v"].to_pylist(), part["asks"].to_pylist())], pa.binary())
-                for c in range(index[d].curves):
+                for c in range(CURVES):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d)), pa.array(np.full(n, c)), pa.array(index[d].keys(x, c)), part["pid"].combine_chunks(), code, whole], names=["dim", "curve", "key", "pid", "code", "v"])
 
     def search(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +191,7 @@ def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k
             for edge, side, at in ((part, 1, slice(0, width)), (part + 1, 0, slice(max(0, n - width), n))):
                 t = rows.slice(at.start, at.stop - at.start)
                 m = t.num_rows
-                key = np.full(m, (edge * (MOST_CURVES + 1) + c))
+                key = np.full(m, (edge * CURVES + c))
                 yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), t["pid"].combine_chunks(), pa.nulls(m, pa.float64()), pa.array(key), pa.array(np.full(m, side, np.int32)), pa.array(np.arange(m)), pa.array(np.full(m, d)), t["code"].combine_chunks(), t["v"].combine_chunks()], names=names)
 
     def between(batches):
@@ -199,7 +199,7 @@ def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k
             if len(np.unique(rows["side"].to_numpy())) == 2:
                 yield pairs(search(rows)).select(names[:3])
 
-    n_ranges = sum(i.curves * max(1, -(-counts[d] // RANGE_ROWS)) for d, i in index.items())
+    n_ranges = sum(CURVES * max(1, -(-n // RANGE_ROWS)) for n in counts.values())
     placed = single.mapInArrow(lean(place), "dim long, curve long, key long, pid long, code binary, v binary")
     placed = placed.repartitionByRange(max(n_ranges, 1), "dim", "curve", "key", "pid").sortWithinPartitions("dim", "curve", "key", "pid")
     found = work.put(placed.mapInArrow(lean(within), kinds), "found")

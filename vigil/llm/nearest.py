@@ -20,7 +20,7 @@ from .vectors import hashed, lengths, rows_of, sample
 
 #: Projected dimensions of an ordering and bits of each; the share of true neighbours that the windows of all orderings are to hold by reckoning;
 #: orderings; rows on either side of a query at least; rows of a range of an ordering, about.
-DIMS, BITS, AIM, CURVES, REACH, RANGE_ROWS = 6, 8, 0.96, 24, 128, 50_000
+DIMS, BITS, AIM, CURVES, REACH, RANGE_ROWS = 6, 8, 0.975, 24, 128, 50_000
 #: Vectors of the sample that stand for queries when orderings are reckoned, and orderings tried.
 TRIED, TRIALS = 200, 6
 

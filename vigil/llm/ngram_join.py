@@ -159,9 +159,11 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # 1. sizes and tokens
     described = texts.mapInArrow(lean(_describe(n_words, num, den)), "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>, n array<long>, spare array<long>")
-    described = work.put(described, "described")
+    # tokens are half as large as the texts: they stand in a table of their own, which goes as soon as some are chosen
+    given = work.put(described, "tokens")
+    described = work.put(given.select("doc_id", "n_shingles", "h1", "h2", (F.size("sig") > 0).alias("gives")), "described")
     full = described.where("n_shingles > 0 and doc_id is not null")
-    has = F.size("sig") > 0
+    has = F.col("gives")
     same = full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("b"), F.min(F.when(has, F.col("doc_id"))).alias("t"))
     same = work.put(same, "same")
     # of the copies that give tokens (one for each task at most), the first stands for the set
@@ -170,7 +172,7 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
 
     # 2. the rarest D+1 tokens of each set that others have too, a star for each, then clusters. Tables of tokens are written, so that joins can
     # split one that very many documents have
-    once = full.where(has).join(equal, "doc_id", "left_anti")
+    once = given.where("doc_id is not null and size(sig) > 0").join(equal, "doc_id", "left_anti")
     often = once.select(F.explode("sig").alias("sig")).groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
     often = work.put(often, "often")
     near = IdFilter.of(often.select(F.col("sig").alias("doc_id")))
@@ -178,10 +180,14 @@ def jaccard_classes(work: Workspace, docs: DataFrame, n_words: int = 5, num: int
     level = Window.partitionBy("doc_id", "level")
     chosen = held.withColumn("place", F.row_number().over(level.orderBy("df", "sig"))).withColumn("n", F.count("*").over(level)).where("place <= spare + n")
     chosen = work.put(chosen.select("doc_id", "sig"), "chosen")
+    work.drop("tokens")
+    work.drop("often")
     first = work.put(chosen.groupBy("sig").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     pairs = chosen.join(first, "sig").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
     clusters = components(work, pairs, "candidate")
     clusters = work.put(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
+    work.drop("chosen")
+    work.drop("first")
 
     # 3. sets of clustered documents meet in blocks of compatible sizes
     again = IdFilter.of(clusters)  # spares most texts the second reading

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from vigil.plans.extended import QUERIES, SQL
+from vigil.plans.registry import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
 

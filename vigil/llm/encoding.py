@@ -116,7 +116,7 @@ _BEFORE_WORD = re.compile(r"(?<=.)(?= \S)", re.S)
 _ISOLATED = re.compile(r"(?<=[^ ▁]) (?=[^ ▁])")
 #: A space before white space of any kind, or at the end.
 _ODD_BYTES = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| \z"
-_ODD_PIECES = r"  |▁|\A | \z"
+ODD_PIECES = r"  |▁|\A | \z"
 
 
 def byte_level_stretches(text: str) -> list[str]:
@@ -164,14 +164,15 @@ def _any(words: pa.Array, parts: list[str]) -> np.ndarray:
     return found
 
 
-def _json_encoder(path: str):
+def _json_encoder(path: str, plain: bool = False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    t.encode_special_tokens = plain
     if type(t.pre_tokenizer).__name__ != "ByteLevel" or t.normalizer is not None:
         raise ValueError(f"{path}: only a byte-level tokenizer without normalizer may be cut at spaces")
     added = t.get_added_tokens_decoder()
-    special = [a.content for a in added.values()]
+    special = [] if plain else [a.content for a in added.values()]
     n_bytes = np.zeros(t.get_vocab_size(), np.int64)
     for token, i in t.get_vocab().items():  # a sign of the byte-level alphabet stands for one byte
         n_bytes[i] = len(token.encode() if i in added else token)
@@ -194,7 +195,8 @@ def _json_encoder(path: str):
     return lambda new: _in_one(new, apart(new), together, alone), t.get_vocab_size()
 
 
-def _piece_encoder(path: str):
+def piece_vocabulary(path: str):
+    """(the library's model, its pieces), if the model allows to cut texts at isolated spaces."""
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -204,6 +206,11 @@ def _piece_encoder(path: str):
     probe = "a b ﬁ Å　x\ty\nÀ  z"  # what the common normalizers change: spaces of other kinds, ligatures, combined letters
     if p.normalize(probe) != "▁" + probe.replace(" ", "▁"):
         raise ValueError(f"{path}: the model changes texts before it cuts them, so they can't be cut at spaces")
+    return p, pieces
+
+
+def _piece_encoder(path: str):
+    p, pieces = piece_vocabulary(path)
     opens = np.array([x.startswith("▁") for x in pieces])
 
     def together(new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -221,11 +228,12 @@ def _piece_encoder(path: str):
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, keep_ids: bool = True) -> Stretches:
-    """Memory of stretches for a tokenizer file: tokenizers for .json, sentencepiece for .model. Without `keep_ids` it counts only."""
+def encoder(path: str, keep_ids: bool = True, plain: bool = False) -> Stretches:
+    """Memory of stretches for a tokenizer file: tokenizers for .json, sentencepiece for .model. Without `keep_ids` it counts only. If `plain`,
+    the strings of special tokens are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path.endswith(".json"):
-        encode, n = _json_encoder(path)
+        encode, n = _json_encoder(path, plain)
         return Stretches(_ODD_BYTES, byte_level_stretches, True, encode, n, keep_ids)
     encode, n = _piece_encoder(path)
-    return Stretches(_ODD_PIECES, piece_stretches, False, encode, n, keep_ids)
+    return Stretches(ODD_PIECES, piece_stretches, False, encode, n, keep_ids)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import oracles
+from .alignment import align_documents
 from .common import Workspace, table
 from .binary_records import token_records
 from .embedding_dedup import cosine_classes
+from .fill_in_middle import fill_in_middle, restored
 from .html_text import extract_text
 from .mixing import mix
 from .nearest import nearest
 from .ngram_join import jaccard_classes
 from .packing import pack_documents
+from .piece_bpe import decode_pieces, encode_pieces
 from .quality import fit, score_quality
 from .secrets import scan_secrets
 from .token_counts import token_counts
@@ -64,9 +69,25 @@ def op10_approximate_nearest(spark, sf_dir):
     return nearest(Workspace(spark), table(spark, sf_dir, "embeddings"), queries="vec_id % 100 = 0", k=10)
 
 
+def op11_piece_codec(spark, sf_dir):
+    model = tokenizer("piece_bpe_32k.model")
+    back = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model), model)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed=1, plain=10, spm=20)
+    text = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op13_tokenizer_alignment(spark, sf_dir):
+    return align_documents(Workspace(spark), table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": oracles.NEAR_VECTORS, "op4_ngram_jaccard_join": oracles.NGRAM_JOIN, "op8_secret_scan": oracles.SECRETS}
+    return {"op3_embedding_near_dedup": oracles.NEAR_VECTORS, "op4_ngram_jaccard_join": oracles.NGRAM_JOIN, "op8_secret_scan": oracles.SECRETS, "op12_fill_in_middle": oracles.FILL_IN_MIDDLE}

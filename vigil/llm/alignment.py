@@ -18,7 +18,7 @@ from .common import Workspace, by_bytes, byte_lengths, lean
 from .encoding import encoder, piece_vocabulary
 
 #: Text bytes aligned at once, and text bytes of a block: documents whose distinct pairs are looked up together.
-BATCH_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
+BATCH_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
 
 
 class Vocabulary:

@@ -1,6 +1,6 @@
 """All registered queries, and the same as SQL."""
 
-from vigil.plans import campaigns, evaluation, extended, knowledge, operations, telemetry  # noqa: F401
+from vigil.plans import campaigns, evaluation, extended, knowledge, operations, streams, telemetry  # noqa: F401
 from vigil.plans.catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.ranks import join_null_safe, placed, running
 
 #: A quantile sketch's accuracy: a bracket around a quantile holds 0.06 % of a group's rows.
 ACCURACY = 10_000
@@ -40,14 +41,14 @@ def quantiles(rows: DataFrame, by: list[str], value: str, qs: tuple[float, ...])
 
 def robust_baseline(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, n, center, scale, informative): median, and 1.4826 MAD, else IQR / 1.349, else 1.0 and uninformative. Quantiles are exact and
-    no task holds a group's values; the second pass joins each row to its center by the same keys."""
+    no task holds a group's values; the second pass joins each row to its center by the same keys, null ones included."""
     a = quantiles(rows, by, value, (0.25, 0.5, 0.75))
     centers = a.select(*by, F.col("q1").alias("_center"))
-    apart = rows.join(centers, by).select(*by, F.abs(F.col(value) - F.col("_center")).alias("_apart"))
+    apart = join_null_safe(rows, centers, by).select(*by, F.abs(F.col(value) - F.col("_center")).alias("_apart"))
     mad = quantiles(apart, by, "_apart", (0.5,)).select(*by, (F.col("q0") * 1.4826).alias("mad"))
     iqr = (F.col("q2") - F.col("q0")) / 1.349
     scale = F.when(F.col("mad") > 0, F.col("mad")).when(iqr > 0, iqr).otherwise(1.0)
-    return a.join(mad, by).select(*by, "n", F.col("q1").alias("center"), scale.alias("scale"), ((F.col("mad") > 0) | (iqr > 0)).alias("informative"))
+    return join_null_safe(a, mad, by).select(*by, "n", F.col("q1").alias("center"), scale.alias("scale"), ((F.col("mad") > 0) | (iqr > 0)).alias("informative"))
 
 
 def deviations(rows: DataFrame, base: DataFrame, wide: DataFrame, by: list[str], wide_by: list[str], value: str, least: int = 5) -> DataFrame:
@@ -62,12 +63,12 @@ def deviations(rows: DataFrame, base: DataFrame, wide: DataFrame, by: list[str],
 
 def order_statistics(rows: DataFrame, value: str, q: float) -> DataFrame:
     """One row (n, lower, higher): the exact order statistics beside position (n - 1) * q; none on no values. A quantile sketch of error 1 / 10,000 gives a bracket of
-    0.4 % of the rows around the position; rows below are counted, and only the bracket's distinct values are ranked."""
+    0.4 % of the rows around the position; rows below are counted, and only the bracket's distinct values are ranked, by ranges."""
     edges = rows.agg(F.count(value).alias("n"), F.percentile_approx(value, F.array(F.lit(max(0.0, q - 0.002)), F.lit(min(1.0, q + 0.002))), 10000).alias("_e"))
     v = F.col(value)
     key = F.when(v < F.col("_e")[0], F.lit(float("-inf"))).when(v <= F.col("_e")[1], v.cast("double"))
     counts = rows.where(v.isNotNull()).join(F.broadcast(edges)).groupBy("n", key.alias("_v")).agg(F.count("*").alias("c")).where("_v is not null")
-    run = counts.withColumn("upto", F.sum("c").over(Window.orderBy("_v")))
+    run = running(counts, ["_v"], {"upto": F.col("c")})
     place = (F.col("n") - 1) * F.lit(q)
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("_v")))
     return run.groupBy("n").agg(at(F.floor(place)).alias("lower"), at(F.ceil(place)).alias("higher"))
@@ -81,12 +82,11 @@ def threshold(rows: DataFrame, score: str, fpr: float) -> DataFrame:
 
 def binary_metrics(rows: DataFrame, truth: str, score: str, cut: float, by: list[str] = []) -> DataFrame:
     """Confusion, precision, recall, F1, false positive rate, rank-sum ROC-AUC and step-wise average precision; areas are null with one class.
-    Ranks run over distinct scores with their counts, which the first aggregate makes few."""
+    Distinct scores with their counts are summed up by ranges, so that neither a group nor the whole table meets in one task."""
     t = F.col(truth) == 1
     s = rows.groupBy(*by, score).agg(F.count_if(t).alias("p"), F.count_if(~t).alias("q"))
-    up, down = Window.partitionBy(*by).orderBy(score), Window.partitionBy(*by).orderBy(F.desc(score))
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("lower", F.coalesce(F.sum("q").over(before), F.lit(0))).withColumn("tp", F.sum("p").over(down)).withColumn("all", F.sum(F.col("p") + F.col("q")).over(down))
+    s = running(s, [score], {"_p": F.col("p"), "_q": F.col("q")}, by).withColumn("lower", F.col("_q") - F.col("q"))
+    s = s.withColumn("tp", F.col("_p_all") - F.col("_p") + F.col("p")).withColumn("all", F.col("tp") + F.col("_q_all") - F.col("_q") + F.col("q"))
     hit = F.col(score) > cut
     a = s.groupBy(*by).agg(
         F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("true_positive"), F.sum(F.when(hit, F.col("q")).otherwise(0)).alias("false_positive"), F.sum(F.when(hit, 0).otherwise(F.col("p"))).alias("false_negative"), F.sum(F.when(hit, 0).otherwise(F.col("q"))).alias("true_negative"),
@@ -107,9 +107,8 @@ def localization(scored: DataFrame, expected: DataFrame) -> DataFrame:
 
 def hash_split(rows: DataFrame, group: str, key: str, seed: str) -> DataFrame:
     """Deterministic shuffle inside each group by sha256(seed:group:key): first to validation, second to test, the rest to train."""
-    w = Window.partitionBy(group).orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(group), F.col(key).cast("string")), 256))
-    place = F.row_number().over(w)
-    return rows.withColumn("place", place).withColumn("split", F.when(F.col("place") == 1, "validation").when(F.col("place") == 2, "test").otherwise("train"))
+    ranked = placed(rows, [F.sha2(F.concat_ws(":", F.lit(seed), F.col(group), F.col(key).cast("string")), 256)], [group])
+    return ranked.withColumn("split", F.when(F.col("place") == 1, "validation").when(F.col("place") == 2, "test").otherwise("train"))
 
 
 def multiclass_metrics(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -133,10 +132,10 @@ def multiclass_summary(rows: DataFrame, truth: str, predicted: str, probability:
 
 def holdout(rows: DataFrame, group: str, key: str, fresh: str, seed: str, k: int = 2) -> DataFrame:
     """Adds `place` and `split`: k test rows of each group by least sha256(seed:group:key), of fresh rows only if the group has k of them."""
-    n = F.sum(F.col(fresh).cast("int")).over(Window.partitionBy(group))
-    r = rows.withColumn("_later", ~F.col(fresh) & (n >= k))
-    place = F.row_number().over(Window.partitionBy(group).orderBy("_later", F.sha2(F.concat_ws(":", F.lit(seed), F.col(group), F.col(key).cast("string")), 256)))
-    return r.withColumn("place", place).withColumn("split", F.when(F.col("place") <= k, "test").otherwise("development")).drop("_later")
+    n = rows.groupBy(group).agg(F.count_if(fresh).alias("_fresh"))
+    r = join_null_safe(rows, n, [group]).withColumn("_later", ~F.col(fresh) & (F.col("_fresh") >= k)).drop("_fresh")
+    ranked = placed(r, ["_later", F.sha2(F.concat_ws(":", F.lit(seed), F.col(group), F.col(key).cast("string")), 256)], [group])
+    return ranked.withColumn("split", F.when(F.col("place") <= k, "test").otherwise("development")).drop("_later")
 
 
 def split_cover(splits: DataFrame, rows: DataFrame, key: str, split: str) -> DataFrame:

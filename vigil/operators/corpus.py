@@ -29,8 +29,9 @@ def changes(stored: DataFrame, incoming: DataFrame, key: str, checksum: str) ->
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Incoming rows, and the stored ones whose key they don't have."""
-    return incoming.unionByName(stored.join(incoming.select(key), key, "left_anti").select(incoming.columns))
+    """Incoming rows, and the stored ones whose key they don't have; a null key is a key like others."""
+    new = incoming.select(F.col(key).alias("_key"))
+    return incoming.unionByName(stored.join(new, F.col(key).eqNullSafe(F.col("_key")), "left_anti").select(incoming.columns))
 
 
 def duplicates_by(docs: DataFrame, by: str, digest: str) -> DataFrame:

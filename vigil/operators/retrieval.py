@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Distinct query terms, and query vectors at once, up to which they are sent to all tasks.
+#: Rows of query and term, and query vectors at once, up to which they are sent to all tasks.
 MOST_TERMS, MOST_QUERIES = 200_000, 4096
 
 
@@ -25,7 +25,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     mean = df.agg(F.avg(raw).alias("mean"))
     q = queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = q.select("term").distinct()
-    few = wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    few = q.limit(MOST_TERMS + 1).count() <= MOST_TERMS  # rows of queries and terms, which are at least as many as terms
     sent = (lambda x: F.broadcast(x)) if few else (lambda x: x)
     idf = df.join(sent(wanted), "term").select("term", "avgdl", raw.alias("raw")).join(F.broadcast(mean))
     idf = idf.select("term", "avgdl", F.when(F.col("raw") < 0, F.col("mean") * floor_share).otherwise(F.col("raw")).alias("idf"))
@@ -39,38 +39,44 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
 
 def cosine_best(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score): of each batch of rows (doc_id, embedding) the k nearest to each query (query_id, q) by cosine, ties to smaller
-    ids; `top_k` ranks them. A stated query set against all rows, in blocks of MOST_QUERIES that are sent to all tasks."""
+    ids; `top_k` ranks them. Vectors meet those of their length, whatever else a batch holds. A stated query set against all rows, in blocks of MOST_QUERIES that are sent to all tasks."""
     spark = queries.sparkSession
     out = None
     blocks = -(-queries.count() // MOST_QUERIES)
     for i in range(max(1, blocks)):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == i).orderBy("query_id").toArrow()
-        sent = spark.sparkContext.broadcast((part["query_id"].to_numpy(), unit_rows(part["q"].combine_chunks() if part.num_rows else None)))
+        sent = spark.sparkContext.broadcast([(part["query_id"].to_numpy()[at], q) for at, q in by_length(part["q"].combine_chunks() if part.num_rows else None)])
 
         def run(batches, sent=sent):
-            ids, q = sent.value
+            asked = {q.shape[1]: (ids, q) for ids, q in sent.value}
             for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                x, doc = unit_rows(batch.column(1)), batch.column(0).to_numpy()
-                score = np.round(q @ x.T, 6) if q.shape[1] == x.shape[1] else np.full((len(q), len(x)), np.nan)
-                for a, row in zip(ids.tolist(), score):
-                    best = np.lexsort((doc, -row))[:k]
-                    best = best[~np.isnan(row[best])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), a)), pa.array(doc[best]), pa.array(row[best])], names=["query_id", "doc_id", "score"])
+                for at, x in by_length(batch.column(1)):
+                    ids, q = asked.get(x.shape[1], ((), x[:0]))
+                    doc = batch.column(0).to_numpy()[at]
+                    for a, row in zip(ids, np.round(q @ x.T, 6)):
+                        best = np.lexsort((doc, -row))[:k]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), a)), pa.array(doc[best]), pa.array(row[best])], names=["query_id", "doc_id", "score"])
 
         found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding").mapInArrow(run, "query_id long, doc_id long, score double")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def unit_rows(column: pa.Array | None) -> np.ndarray:
-    """Vectors of a list column, all of one length, as rows of length 1; a null or zero vector is a row without numbers."""
+def by_length(column: pa.Array | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit rows) of the vectors of each length in a list column; a null, empty or zero vector, and one with a component that is no number, is in none."""
     lists = [] if column is None else column.to_pylist()
-    dim = max((len(v) for v in lists if v), default=0)
-    x = np.array([v if v and len(v) == dim else [np.nan] * dim for v in lists], np.float64).reshape(len(lists), dim)
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    return x / np.where(norm > 0, norm, np.nan)[:, None]
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(lists):
+        if v:
+            places.setdefault(len(v), []).append(i)
+    out = []
+    for at in map(np.array, places.values()):
+        x = np.array([lists[i] for i in at], np.float64)
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        ok = np.isfinite(norm) & (norm > 0)
+        if ok.any():
+            out.append((at[ok], x[ok] / norm[ok, None]))
+    return out
 
 
 def top_k(scored: DataFrame, by: str, key: str, k: int) -> DataFrame:

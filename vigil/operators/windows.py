@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.operators import anomaly
+from vigil.operators.ranks import join_null_safe
 from vigil.functions.columns import rate, stable_id, window_start
 
 
@@ -50,7 +51,7 @@ def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, mean, median, p95, p99, min, max; a group without values has none."""
     p = anomaly.quantiles(rows, by, value, (0.5, 0.95, 0.99)).drop("n")
     d = rows.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
-    return d.join(p, by, "left").select(*by, "n", "mean", "min", "max", *(F.round(f"q{i}", 6).alias(k) for i, k in enumerate(("p50", "p95", "p99"))))
+    return join_null_safe(d, p, by, "left").select(*by, "n", "mean", "min", "max", *(F.round(f"q{i}", 6).alias(k) for i, k in enumerate(("p50", "p95", "p99"))))
 
 
 def top_windows(scored: DataFrame, by: list[str], score: str, ties: list[str], k: int = 3) -> DataFrame:

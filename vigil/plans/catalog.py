@@ -152,7 +152,7 @@ def multiclass_metrics(spark, d):
 @query("""WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('42:' || c_mktsegment || ':' || c_custkey)) AS place FROM customer)
 SELECT c_custkey, c_mktsegment, place::INT AS place, CASE place WHEN 1 THEN 'validation' WHEN 2 THEN 'test' ELSE 'train' END AS split FROM r""")
 def split_hash(spark, d):
-    return anomaly.hash_split(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", "42")
+    return anomaly.hash_split(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", "42").withColumn("place", F.col("place").cast("int"))
 
 
 @query(f"""SELECT doc_id, len({TERMS_SQL})::BIGINT AS n_terms, len(list_distinct({TERMS_SQL}))::BIGINT AS n_distinct FROM documents""")

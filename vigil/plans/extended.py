@@ -51,7 +51,7 @@ def run_level_max(spark, d):
 p AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY (NOT fresh AND k >= 2), sha256('42:' || c_mktsegment || ':' || c_custkey)) AS place FROM n)
 SELECT c_custkey, c_mktsegment, fresh, place::INT AS place, CASE WHEN place <= 2 THEN 'test' ELSE 'development' END AS split FROM p""")
 def holdout_hash(spark, d):
-    return anomaly.holdout(table(spark, d, "customer").select("c_custkey", "c_mktsegment", (F.col("c_custkey") % 3 == 0).alias("fresh")), "c_mktsegment", "c_custkey", "fresh", "42")
+    return anomaly.holdout(table(spark, d, "customer").select("c_custkey", "c_mktsegment", (F.col("c_custkey") % 3 == 0).alias("fresh")), "c_mktsegment", "c_custkey", "fresh", "42").withColumn("place", F.col("place").cast("int"))
 
 
 @query(f"""SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de') AND list_has_any({TERMS_SQL}, ['license', 'error', 'the'])""")

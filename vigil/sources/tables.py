@@ -23,6 +23,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to a new folder and read again: lost executors don't compute them anew, and later reads agree."""
+    at = folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as observations: a run for each day, a service for ten users, the event type as metric; clicks count as errors' carrier."""
     ts = F.unix_micros(F.col("ts").cast("timestamp"))

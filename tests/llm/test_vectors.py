@@ -95,17 +95,30 @@ def test_nearest(spark):
     assert nearest(Workspace(spark), spark.createDataFrame(rows[:4], SCHEMA)).count() == 3
 
 
-def test_nearest_across_ranges_lengths_and_copies(spark, monkeypatch):
-    from vigil.llm import nearest as module
-
-    monkeypatch.setattr(module, "RANGE_ROWS", 150)
+def test_windows_reach_over_many_ranges(spark):
+    """The same candidates whether a window lies in one range or in dozens: the places of rows are exact."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    few, many = (sorted(tuple(q) for q in nearest(Workspace(spark), df, reach=250, range_rows=n).collect()) for n in (10_000, 120))
+    hits = {}
+    for name, found in (("few", few), ("many", many)):
+        for q, _, i, _ in found:
+            d = ((x - x[q]) ** 2).sum(axis=1)
+            hits[name] = hits.get(name, 0) + (d[i] <= np.sort(d)[10])
+    assert hits["many"] >= hits["few"] >= 0.9 * 150
+    whole = nearest(Workspace(spark), df, reach=1500, range_rows=300).collect()
+    assert sum(((x - x[q.query_id]) ** 2).sum(axis=1)[q.vec_id] <= np.sort(((x - x[q.query_id]) ** 2).sum(axis=1))[10] for q in whole) == 150
+
+
+def test_nearest_across_ranges_lengths_and_copies(spark):
     r = np.random.default_rng(4)
     a, b = r.normal(size=(600, 3)), r.normal(size=(40, 2))
     a[100:300] = a[100]  # a third are copies
     rows = [(i, v.tolist()) for i, v in enumerate(a)] + [(1000 + i, v.tolist()) for i, v in enumerate(b)]
     rows += [(1000, b[0].tolist()), (None, a[0].tolist()), (2000, None)]
     found = {}
-    for x in nearest(Workspace(spark), spark.createDataFrame(rows, "vec_id long, embedding array<double>"), reach=60).collect():
+    for x in nearest(Workspace(spark), spark.createDataFrame(rows, "vec_id long, embedding array<double>"), reach=60, range_rows=150).collect():
         found.setdefault(x.query_id, []).append((x.score, x.vec_id))
     assert set(found) == {0, 100, 200, 300, 400, 500, 1000}
     hits = 0

@@ -11,7 +11,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,7 +121,7 @@ def decoded(codes: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return (q.astype(np.float64) - 7.5) * head[:, :1], head[:, 1]
 
 
-def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7, reach: int = REACH) -> DataFrame:
+def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7, reach: int = REACH, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `queries` (over vec_id) marks, its k nearest found by Euclidean distance.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do rows without an id; vectors of
@@ -130,7 +129,8 @@ def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k
     each length. Equal vectors have one place on a curve, ask once, and stand there for their k+1 smallest ids, so a group of copies of any size is
     one row. A repeated id is listed once for each query. An empty table gives an empty result; other columns are not read.
 
-    In an ordering a query keeps the 4k nearest by 4-bit codes, so a tight knot of more vectors than that, whose distances are below the
+    A window may reach over any number of ranges of an ordering: places are exact, from counts of the ranges, and a query travels to each range that its
+    window touches. In a range it keeps the 4k nearest by 4-bit codes, so a tight knot of more vectors than that, whose distances are below the
     codes' error, is told apart only by the chance of several orderings."""
     spark = df.sparkSession
     points = work.put(hashed(df, id_col, vec_col).where("dim is not null"), "points")
@@ -158,54 +158,62 @@ def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k
                 for c in range(CURVES):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d)), pa.array(np.full(n, c)), pa.array(index[d].keys(x, c)), part["pid"].combine_chunks(), code, whole], names=["dim", "curve", "key", "pid", "code", "v"])
 
-    def search(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, candidate, squared distance by codes) of rows in an ordering's order."""
-        d, pid = rows["dim"][0].as_py(), rows["pid"].to_numpy()
-        asking = np.flatnonzero(rows["v"].combine_chunks().is_valid().to_numpy(zero_copy_only=False))
+    n_ranges = sum(CURVES * max(1, -(-n // range_rows)) for n in counts.values())
+    placed = single.mapInArrow(lean(place), "dim long, curve long, key long, pid long, code binary, v binary")
+    placed = placed.repartitionByRange(max(n_ranges, 1), "dim", "curve", "key", "pid").sortWithinPartitions("dim", "curve", "key", "pid")
+    laid = work.put(placed.select("dim", "curve", "pid", "code", "v", F.monotonically_increasing_id().alias("at")), "laid").withColumn("range", F.shiftright("at", 33))
+    ranges = laid.groupBy("dim", "curve", "range").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    start = F.sum("n").over(Window.partitionBy("dim", "curve").orderBy("range")) - F.col("n")  # a row for each range, of about range_rows rows
+    ranges = ranges.select("dim", "curve", "range", "first", start.alias("start")).orderBy("dim", "curve", "range").toArrow()
+    of: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+    names = list(zip(ranges["dim"].to_pylist(), ranges["curve"].to_pylist()))
+    for name in dict.fromkeys(names):
+        here = np.flatnonzero([x == name for x in names]) if len(names) < 4 else np.arange(names.index(name), len(names) - names[::-1].index(name))
+        of[name] = tuple(ranges[c].to_numpy()[here] for c in ("range", "first", "start"))
+    known = spark.sparkContext.broadcast(of)  # three numbers for each range
+
+    def travel(batches):
+        """Each query once for each range that its window touches, however many those are."""
+        for batch in batches:
+            dim, curve, at = (batch.column(i).to_numpy() for i in range(3))
+            for d, c in sorted(set(zip(dim.tolist(), curve.tolist()))):
+                number, first, begin = known.value[d, c]
+                own = np.flatnonzero((dim == d) & (curve == c))
+                r = np.searchsorted(number, at[own] >> 33)
+                spot = begin[r] + at[own] - first[r]
+                low, high = np.searchsorted(begin, spot - index[d].reach, "right") - 1, np.searchsorted(begin, spot + index[d].reach, "right") - 1
+                low = np.maximum(low, 0)
+                n = high - low + 1
+                row = np.repeat(np.arange(len(own)), n)
+                to = low[row] + np.arange(n.sum()) - (np.cumsum(n) - n)[row]
+                picked = batch.take(pa.array(own[row]))
+                yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), pa.array(number[to]), pa.array(spot[row]), picked.column(3), picked.column(4)], names=["dim", "curve", "range", "spot", "pid", "v"])
+
+    def search(rows: pa.Table, asking: pa.Table) -> pa.Table:
+        """(query, pid, far): of each query's window, the nearest of this range by codes."""
         found = []
-        if len(asking):
-            width, ask = index[d].reach, rows_of(rows.take(pa.array(asking)))
+        if rows.num_rows and asking.num_rows:
+            rows = rows.sort_by("at")
+            d, c, number = (rows[x][0].as_py() for x in ("dim", "curve", "range"))
+            own, _, begin = known.value[d, c]
+            start, n, width, pid = int(begin[np.searchsorted(own, number)]), rows.num_rows, index[d].reach, rows["pid"].to_numpy()
             x, square = decoded(rows_of(rows, "code", np.uint8), d)
-            for at, q in zip(asking.tolist(), ask):
-                a = max(0, at - width)
-                far = square[a : at + width + 1] - 2 * (x[a : at + width + 1] @ q) + q @ q
-                far[at - a] = np.inf
+            for spot, who, q in zip((asking["spot"].to_numpy() - start).tolist(), asking["pid"].to_pylist(), rows_of(asking)):
+                a, b = max(0, spot - width), min(n, spot + width + 1)
+                far = square[a:b] - 2 * (x[a:b] @ q) + q @ q
+                if a <= spot < b:
+                    far[spot - a] = np.inf
                 best = np.argpartition(far, most)[:most] if len(far) > most else np.arange(len(far))
-                best = best[best != at - a]
-                found.append((np.full(len(best), pid[at]), pid[a + best], far[best]))
-        return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-
-    names = ["query", "pid", "far", "edge", "side", "place", "dim", "code", "v"]
-    kinds = "query long, pid long, far double, edge long, side int, place long, dim long, code binary, v binary"
-
-    def pairs(found) -> pa.RecordBatch:
-        n = len(found[0])
-        return pa.RecordBatch.from_arrays([*map(pa.array, found), *(pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=names)
-
-    def within(batches):
-        """Candidates inside a range of an ordering, and the rows at its ends, which meet those of the ranges beside it."""
-        part = TaskContext.get().partitionId()
-        for rows in groups(batches, ["dim", "curve"]):
-            yield pairs(search(rows))
-            n, width, d, c = rows.num_rows, index[rows["dim"][0].as_py()].reach, rows["dim"][0].as_py(), rows["curve"][0].as_py()
-            for edge, side, at in ((part, 1, slice(0, width)), (part + 1, 0, slice(max(0, n - width), n))):
-                t = rows.slice(at.start, at.stop - at.start)
-                m = t.num_rows
-                key = np.full(m, (edge * CURVES + c))
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), t["pid"].combine_chunks(), pa.nulls(m, pa.float64()), pa.array(key), pa.array(np.full(m, side, np.int32)), pa.array(np.arange(m)), pa.array(np.full(m, d)), t["code"].combine_chunks(), t["v"].combine_chunks()], names=names)
-
-    def between(batches):
-        for rows in groups(batches, ["dim", "edge"]):
-            if len(np.unique(rows["side"].to_numpy())) == 2:
-                yield pairs(search(rows)).select(names[:3])
-
-    n_ranges = sum(CURVES * max(1, -(-n // RANGE_ROWS)) for n in counts.values())
-    placed = single.mapInArrow(lean(place), "dim long, curve long, key long, pid long, code binary, v binary")
-    placed = placed.repartitionByRange(max(n_ranges, 1), "dim", "curve", "key", "pid").sortWithinPartitions("dim", "curve", "key", "pid")
-    found = work.put(placed.mapInArrow(lean(within), kinds), "found")
-    edges = found.where("edge is not null").select("dim", "edge", "side", "place", "pid", "code", "v")
-    edges = edges.repartition(partitions(spark), "dim", "edge").sortWithinPartitions("dim", "edge", "side", "place")
-    near = found.where("query is not null").select("query", "pid", "far").unionByName(edges.mapInArrow(lean(between), "query long, pid long, far double"))
+                best = best[best != spot - a]
+                found.append((np.full(len(best), who), pid[a + best], far[best]))
+        out = tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table(list(map(pa.array, out)), names=["query", "pid", "far"])
+
+    sent = laid.where("v is not null").select("dim", "curve", "at", "pid", "v").mapInArrow(lean(travel), "dim long, curve long, range long, spot long, pid long, v binary")
+    keys = ["dim", "curve", "range"]
+    rows = laid.select(*keys, "at", "pid", "code")
+    asking = sent.select(*(F.col(x).alias(f"q_{x}") for x in keys), "spot", F.col("pid").alias("pid"), "v")
+    near = rows.groupBy(*keys).cogroup(asking.groupBy(*(f"q_{x}" for x in keys))).applyInArrow(search, "query long, pid long, far double")
     near = near.groupBy("query", "pid").agg(F.min("far").alias("far"))
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("far", "pid"))).where(F.col("n") <= most)
     near = near.select("query", "pid").unionByName(single.where("asks").select(F.col("pid").alias("query"), "pid"))

@@ -1,11 +1,12 @@
 """Keyed state, routing and ledgers of streams: any split of the input and any restart give what the whole table gives."""
 
+import base64
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from vigil.plans import streams
+from vigil.streaming import ledger
 from vigil.streaming import lifecycle as L
 
 DIR = "/root/testdata/sf0.001"
@@ -108,3 +109,115 @@ def test_what_the_watermark_has_not_passed_waits(spark, tmp_path):
 
 def test_empty_tables(spark):
     assert L.lifecycle_table(spark.createDataFrame([], SCHEMA), "incident").count() == 0
+
+
+def route_all(spark, base, **kwargs):
+    stream = spark.readStream.schema(streams.raw_records(spark, DIR).schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/raw")
+    q = stream.writeStream.foreachBatch(ledger.Router(base, **kwargs)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def offsets(spark, base, sink):
+    return sorted(r["offset"] for r in ledger.delivered(spark, base, sink, "offset long").collect())
+
+
+@pytest.fixture(scope="module")
+def raw(spark):
+    return streams.raw_records(spark, DIR).where("offset < 300").cache()
+
+
+@pytest.fixture
+def base(raw, tmp_path):
+    raw.repartitionByRange(3, "offset").write.parquet(f"file://{tmp_path}/raw")
+    return f"file://{tmp_path}"
+
+
+def judged(raw):
+    from vigil.operators.incidents import processed
+
+    rows = processed(raw).select("offset", "error").collect()
+    return sorted(r["offset"] for r in rows if not r.error), sorted(r["offset"] for r in rows if r.error)
+
+
+@pytest.mark.parametrize("where", ["before the good sink", "between the sinks", "before the ledger", "after the ledger"])
+def test_a_stop_anywhere_neither_loses_nor_repeats(spark, raw, base, where):
+    """The second batch dies once at one place; the next start repeats it from the checkpoint."""
+    left = [1]
+    good, dead = ledger.files(f"{base}/good"), ledger.files(f"{base}/dead")
+
+    def die(at, number):
+        if at == where and number == 1 and left:
+            left.pop()
+            raise RuntimeError(at)
+
+    def first(rows, number):
+        die("before the good sink", number)
+        good(rows, number)
+        die("between the sinks", number)
+
+    def second(rows, number):
+        dead(rows, number)
+        die("before the ledger", number)
+
+    class Dying(ledger.Router):
+        def __call__(self, batch, number):
+            super().__call__(batch, number)
+            die("after the ledger", number)
+
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/raw")
+    start = lambda: stream.writeStream.foreachBatch(Dying(base, good=first, dead=second)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    with pytest.raises(Exception, match=where):
+        start().awaitTermination()
+    some = len(offsets(spark, base, "good"))
+    assert some < len(judged(raw)[0])
+    start().awaitTermination()
+    assert (offsets(spark, base, "good"), offsets(spark, base, "dead")) == judged(raw)
+    entries = ledger.batches(spark, base).collect()
+    assert sorted(e.batch for e in entries) == [0, 1, 2] and sum(e.records for e in entries) == raw.count()
+
+
+def test_transient_failures_are_tried_again_and_others_are_not(spark, raw, base):
+    slept, calls = [], []
+    good = ledger.files(f"{base}/good")
+
+    def shaky(rows, number):
+        calls.append(number)
+        if number == 0 and calls.count(0) < 3:
+            raise ledger.Transient("busy")
+        if number == 1:
+            raise ledger.Transient("gone")
+        good(rows, number)
+
+    route_all(spark, base, good=shaky, sleep=slept.append)
+    assert slept == [0.5, 1.0, 0.5, 1.0] and calls == [0, 0, 0, 1, 1, 1, 2]
+    entries = {e.batch: e for e in ledger.batches(spark, base).collect()}
+    assert entries[0].attempts == 3 and entries[1].accepted == 0 and entries[1].dead == entries[1].records
+    letters = ledger.delivered(spark, base, "dead", "offset long, error string, attempts int, payload_base64 string").collect()
+    assert sorted([*offsets(spark, base, "good"), *(r["offset"] for r in letters)]) == sorted(r["offset"] for r in raw.collect())
+    failed = [r for r in letters if r.error == "processing_error"]
+    values = {r["offset"]: bytes(r.value) for r in raw.collect()}
+    assert failed and all(r.attempts == 3 and base64.b64decode(r.payload_base64) == values[r["offset"]] for r in failed)
+
+
+def test_attempts():
+    assert ledger.delays(0.25, 4) == [0.25, 0.5, 1.0] and ledger.delays(1, 1) == []
+    slept = []
+    with pytest.raises(ledger.Transient):
+        ledger.attempt(lambda: (_ for _ in ()).throw(ledger.Transient()), [1, 2], slept.append)
+    with pytest.raises(KeyError):
+        ledger.attempt(lambda: {}[0], [1, 2], slept.append)
+    assert slept == [1, 2] and ledger.attempt(lambda: None, [1, 2]) == 1
+
+
+def test_a_capture_is_judged_before_it_is_replayed(spark):
+    line = lambda s, i, v: (s, i, bytearray(v))
+    good = [line("traces", 1, b'{"resourceSpans":[]}'), line("logs", 2, b"{}"), line("logs", 1, b'{"resourceLogs":[{}]}'), line("metrics", 7, b"{}"), line("metrics", 8, b" \t ")]
+    schema = "signal string, line_number long, value binary"
+    got = ledger.replay(spark.createDataFrame(good, schema), "r", "s", "l", limit=3).orderBy("offset").collect()
+    assert [(r["offset"], r.headers["signal"], bytes(r.value)) for r in got] == [(0, "metrics", b"{}"), (1, "logs", b'{"resourceLogs":[{}]}'), (2, "logs", b"{}")]
+    assert got[0].headers["run_id"] == "r" and got[0].key == "r"
+    for bad, what in ((line("logs", 3, b"{"), "logs, line 3: invalid_json"), (line("metrics", 2, b"\xff"), "metrics, line 2: invalid_utf8"), (line("x", 1, b"{}"), "x, line 1: unsupported_signal"), (line("logs", 4, b'{"resourceLogs":{}}'), "logs, line 4: invalid_structure")):
+        with pytest.raises(ValueError, match=what):
+            ledger.replay(spark.createDataFrame([*good, bad], schema), "r", "s", "l")
+    with pytest.raises(ValueError, match="no lines of metrics, traces"):
+        ledger.replay(spark.createDataFrame(good[1:3], schema), "r", "s", "l")

@@ -341,9 +341,10 @@ def bootstrap_ci(spark, d):
     return answers.bootstrap(table(spark, d, "labels").select("doc_id", "quality"), "quality", resamples=10_000)
 
 
-@query()
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, value FROM events)
+SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w WHERE start + INTERVAL 2 hour <= (SELECT max(ts) FROM events) GROUP BY start, event_type""")
 def stream_tumbling(spark, d):
-    """Rows only: events as a file stream into hourly windows that a watermark of one hour closes, all available input at once."""
+    """Events as a file stream into hourly windows that a watermark of one hour closes, all available input at once: the windows that end an hour before the last event."""
     from pyspark.sql.types import StructType
 
     schema: StructType = table(spark, d, "events").schema
@@ -352,4 +353,4 @@ def stream_tumbling(spark, d):
     out = route.closed_windows(stream, "ts", ["event_type"], "value", 3600, "1 hour")
     q = out.writeStream.outputMode("append").format("parquet").option("path", f"{at}/windows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{at}/windows")
+    return spark.read.schema(out.schema).parquet(f"{at}/windows").withColumn("total", F.round("total", 4))

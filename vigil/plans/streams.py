@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.operators.incidents import ROOTS
 from vigil.plans.catalog import STATES, query
 from vigil.plans.operations import _LEGAL
 from vigil.sources.tables import folder, table
-from vigil.streaming import lifecycle
+from vigil.streaming import ledger, lifecycle
 
 _COMMANDS_SQL = f"""c AS (SELECT user_id AS incident, event_id AS seq, epoch_us(ts) AS at_us, event_type AS e, (props::JSON->>'k')::INT AS k, floor(value)::BIGINT AS v FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 commands AS (SELECT incident, at_us, seq, CASE e WHEN 'signup' THEN 'CREATE' WHEN 'click' THEN 'TRANSITION' WHEN 'purchase' THEN 'NOTE' ELSE 'UPDATE' END AS command,
@@ -73,3 +74,48 @@ def incident_stream(spark, d):
     out = lifecycle.lifecycle_stream(stream, "incident", "1 hour")
     run_available(out, f"{at}/outcomes", f"{at}/state")
     return spark.read.schema(out.schema).parquet(f"{at}/outcomes").select("incident", "seq", "outcome", "entries", "message", "status", "version", "resolved_us", "closed_us", "owner", "root_cause", "remediation")
+
+
+_RAW_SQL = """raw AS (SELECT event_id AS o, props, (props::JSON->>'k')::INT AS k, floor(value)::BIGINT AS v, 'svc-' || (user_id % 10) AS svc, ['metrics','logs','traces','profiles','metrics'][list_position(['click','view','error','signup','purchase'], event_type)] AS s FROM events WHERE event_type IS NOT NULL),
+shaped AS (SELECT *, CASE s WHEN 'metrics' THEN 'resourceMetrics' WHEN 'logs' THEN 'resourceLogs' ELSE 'resourceSpans' END AS root, k % 10 = 9 AS headless FROM raw),
+judged AS (SELECT *, CASE WHEN v % 7 = 3 THEN '{"' || root || '": [' WHEN v % 7 = 5 THEN '{"' || root || '": {}}' WHEN v % 7 = 6 THEN props ELSE '{"' || root || '":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"' || svc || '"}}]}}]}' END AS body,
+ CASE WHEN headless THEN 'missing_header' WHEN s = 'profiles' THEN 'unsupported_signal' WHEN v % 7 = 3 THEN 'invalid_json' WHEN v % 7 = 5 THEN 'invalid_structure' END AS error FROM shaped)"""
+
+
+def raw_records(spark, d) -> DataFrame:
+    """Events as raw records of one topic partition; type, value and properties decide signal, headers and body."""
+    k, v = F.get_json_object("props", "$.k").cast("int"), F.floor("value")
+    signals = F.create_map(*(F.lit(x) for kv in {"click": "metrics", "view": "logs", "error": "traces", "signup": "profiles", "purchase": "metrics"}.items() for x in kv))
+    s = F.element_at(signals, F.col("event_type"))
+    root = F.when(s == "metrics", "resourceMetrics").when(s == "logs", "resourceLogs").otherwise("resourceSpans")
+    whole = F.concat(F.lit('{"'), root, F.lit('":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"svc-'), (F.col("user_id") % 10).cast("string"), F.lit('"}}]}}]}'))
+    body = F.when(v % 7 == 3, F.concat(F.lit('{"'), root, F.lit('": ['))).when(v % 7 == 5, F.concat(F.lit('{"'), root, F.lit('": {}}'))).when(v % 7 == 6, F.col("props")).otherwise(whole)
+    headers = F.create_map(F.lit("event_type"), F.when(k % 10 == 9, "").otherwise("telemetry.raw"), F.lit("schema_version"), F.lit("1"), F.lit("signal"), s)
+    t = table(spark, d, "events").where("event_type IS NOT NULL")
+    return t.select(F.lit("raw").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"), headers.alias("headers"), body.cast("binary").alias("value"))
+
+
+@query(f"""WITH {_RAW_SQL} SELECT sha256('raw:0:' || o) AS event_id, s AS signal, CASE WHEN error IS NULL THEN 'good' ELSE 'dead' END AS sink, error, CASE WHEN error IS NULL AND v % 7 <> 6 THEN svc ELSE sha256('raw:0:' || o) END AS key, CASE WHEN error IS NOT NULL THEN base64(body::BLOB) END AS payload_base64 FROM judged""")
+def routed_stream(spark, d):
+    """Raw records as a file stream in micro-batches, each judged once and written to two sinks under a ledger; what both sinks hold of whole batches."""
+    raw, at = raw_records(spark, d), folder(spark, "routed")
+    raw.repartitionByRange(4, "offset").write.parquet(f"{at}/raw")
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/raw")
+    q = stream.writeStream.foreachBatch(ledger.Router(at)).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    own = "event_id string, signal string, key string"
+    good = ledger.delivered(spark, at, "good", own).select("event_id", "signal", F.lit("good").alias("sink"), F.lit(None).cast("string").alias("error"), "key", F.lit(None).cast("string").alias("payload_base64"))
+    return good.unionByName(ledger.delivered(spark, at, "dead", own + ", error string, payload_base64 string").select("event_id", "signal", F.lit("dead").alias("sink"), "error", "key", "payload_base64"))
+
+
+@query("""WITH c AS (SELECT CASE event_type WHEN 'click' THEN 'metrics' WHEN 'view' THEN 'logs' ELSE 'traces' END AS s, event_id, user_id FROM events WHERE event_type IN ('click', 'view', 'error')),
+r AS (SELECT *, row_number() OVER (ORDER BY list_position(['metrics','logs','traces'], s), event_id) AS i FROM c)
+SELECT i - 1 AS "offset", 'run-1' AS key, s AS signal, '{"' || CASE s WHEN 'metrics' THEN 'resourceMetrics' WHEN 'logs' THEN 'resourceLogs' ELSE 'resourceSpans' END || '":[],"line":' || event_id || '}' AS line FROM r WHERE i <= (SELECT count(*) * 4 // 5 FROM c)""")
+def capture_replay(spark, d):
+    """Events as lines of a capture of three signals, replayed up to four fifths of their number, in the order of signals and lines."""
+    signal = F.create_map(*map(F.lit, ("click", "metrics", "view", "logs", "error", "traces")))[F.col("event_type")]
+    root = F.create_map(*(F.lit(x) for kv in ROOTS.items() for x in kv))
+    e = table(spark, d, "events").where("event_type IN ('click', 'view', 'error')").select(signal.alias("signal"), F.col("event_id").alias("line_number"))
+    lines = e.withColumn("value", F.concat(F.lit('{"'), root[F.col("signal")], F.lit('":[],"line":'), F.col("line_number").cast("string"), F.lit("}")).cast("binary"))
+    out = ledger.replay(lines, "run-1", "scenario", "label", limit=lines.count() * 4 // 5)
+    return out.select("offset", "key", F.col("headers")["signal"].alias("signal"), F.col("value").cast("string").alias("line"))

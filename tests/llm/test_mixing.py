@@ -76,3 +76,17 @@ def test_small_sources_get_their_share(spark):
     for part in (df.where("doc_id < 99"), df):
         for r in mix(Workspace(spark), part).collect():
             assert abs(r.taken - r.target) <= 1 and r.taken <= 2 * r.size, r
+
+
+def test_many_equal_rows_are_dealt_to_many_shards(spark, monkeypatch):
+    """A third of all rows are equal, with a null id: the shards they fall into stay near the others' size, and reruns agree."""
+    from vigil.llm import mixing
+
+    largest = []
+    monkeypatch.setattr(mixing, "apportion", lambda votes, within, party, seats: (largest.append([r.votes for r in votes.select("votes").collect()]), apportion(votes, within, party, seats))[1])
+    rows = [(None, "copied words here and there", "s", 0, 0)] * 4000 + [(i, f"row {i} of the rest", "s", 0, 0) for i in range(8000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken = [sorted((r.doc_id or -1, r.taken) for r in mix(Workspace(spark), x, shard_words=2000, copies=100).collect()) for x in (df, df.repartition(5))]
+    shards = largest[1]
+    assert len(shards) > 20 and max(shards) < 2.5 * sum(shards) / len(shards)
+    assert taken[0] == taken[1] and len(taken[0]) == 12_000

@@ -151,8 +151,17 @@ def test_scores_equal_the_definition():
     assert np.allclose(C._scores(net, pa.array(texts)), [plain_scores(net, t) for t in texts], atol=1e-5)
 
 
-def test_training_reads_bounded_bytes(spark):
-    rows = [(i, ("good words here " if i % 2 else "zzq#9 ") * (20 if i else 200_000)) for i in range(60)] + [(1, "good words again " * 9)] * 50
-    labels = [(i, i % 2) for i in range(60)]
-    chunks, counts, found = C.training(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), most=30)
-    assert len(counts) == len(found) == 30 and counts.max() <= C.MOST_CHUNKS and len(chunks) == counts.sum()
+def test_training_takes_whole_texts_under_a_budget(spark):
+    """Every chunk of a chosen text is there; the budget of bytes decides how many texts are, and counts of rows bound them too."""
+    texts = {i: f"text {i} " * (1 + i * 37 % 900) for i in range(60)}
+    rows, labels = [*texts.items(), (1, texts[1])], [(i, i % 2) for i in texts] + [(None, 1), (70, None)]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    chunks, counts, found = C.training(d, l, most=30)
+    assert len(counts) == len(found) == 30 and len(chunks) == counts.sum()
+    whole = {tuple(c.tolist()) for t in texts.values() for c in C.chunks_of(*C._joined([t.encode()]))[0]}
+    assert {tuple(c.tolist()) for c in chunks} <= whole
+    sizes = [int((c != C.PAD).sum()) - (k > 1) * (k - 1) * C.OVERLAP for k, c in zip(counts.tolist(), np.split(chunks, np.cumsum(counts)[:-1]))]
+    assert sorted(sizes) and set(sizes) <= {len(t) for t in texts.values()}
+    _, fewer, _ = C.training(d, l, most=30, most_bytes=sum(sizes) // 2)
+    assert 0 < len(fewer) < 30
+    assert C.training(d, l, most_bytes=0)[2].tolist() == []

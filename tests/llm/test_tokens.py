@@ -130,6 +130,16 @@ def test_repeated_and_null_ids_have_records_each(spark):
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
 
 
+def test_many_equal_rows_go_to_many_files(spark):
+    df = spark.createDataFrame([(7, "the same text")] * 3000 + [(i, f"t {i}") for i in range(100)], "doc_id long, text string")
+    work = Workspace(spark)
+    got = token_records(work, df, Q.tokenizer("byte_bpe_50k.json")).collect()
+    places = sorted((r.start, r.n_tokens) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:]))
+    per_file = [r["count"] for r in spark.read.parquet(work.path("index")).groupBy("shard").count().collect()]
+    assert max(per_file) < 2 * 3100 / 4
+
+
 def test_narrow_ids_are_an_error(spark, tmp_path, docs):
     with pytest.raises(Exception, match="don't fit into 1 bytes"):
         write_records(docs, Q.tokenizer("byte_bpe_50k.json"), f"file://{tmp_path}", id_width=1).collect()

@@ -112,8 +112,8 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
             files.move(part, f"{at}/{file_name(shard)}")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("lot")).repartitionByRange(partitions(spark), "doc_id", "lot")
-    rows = rows.sortWithinPartitions("doc_id", "lot", "text").select("doc_id", "text")
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("lot"), F.monotonically_increasing_id().alias("row")).repartitionByRange(partitions(spark), "doc_id", "lot", "row")
+    rows = rows.sortWithinPartitions("doc_id", "lot", "text", "row").select("doc_id", "text")
     return rows.mapInArrow(lean(run), "shard long, record long, doc_id long, offset long, length long, n_tokens long")
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.ranks import placed
+
 from .common import WORD, Workspace
 
 #: Words of a block at most, and of a shard about. A block has at most the 16th part of the smallest target, so that each source has some.
 BLOCK_WORDS, SHARD_WORDS, LEAST_BLOCKS = 64, 2_000_000, 16
+#: Rows equal in id and text that are dealt together.
+COPIES = 500
 #: Weights of sources in code-point order, repeating; a null source comes last.
 WEIGHTS = (3, 1, 2)
 
@@ -55,7 +59,17 @@ def apportion(votes: DataFrame, within: list[str], party: list[str], seats: Colu
     return joined.drop("seats", "all_votes", "parties", "mark", "about", "sure", "rest")
 
 
-def mix(work: Workspace, docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 11, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+def _numbered(work: Workspace, rows: DataFrame, copies: int) -> DataFrame:
+    """Adds `copy`, which numbers equal rows from 0 where there are more than `copies` of them; 0 elsewhere. Such rows are found by counts and numbered by
+    ranges; which of them has which number makes no difference."""
+    many = work.put(rows.groupBy("lot").agg(F.count("*").alias("n")).where(F.col("n") > copies).select("lot"), "many")
+    if many.isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    hot = placed(rows.join(many, "lot", "left_semi"), ["doc_id", "size"], ["lot"], "copy").withColumn("copy", F.col("copy") - 1)
+    return work.put(hot.unionByName(rows.join(many, "lot", "left_anti").withColumn("copy", F.lit(0).cast("long"))), "numbered")
+
+
+def mix(work: Workspace, docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 11, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, keep: tuple[str, ...] = (), copies: int = COPIES) -> DataFrame:
     """(keep, doc_id, size, source_size, target, taken, epochs, cut_from, cut_to, cut_again): for every row the words that the mix takes.
 
     A source's documents are dealt into shards of about `shard_words` by a seeded hash, so that a hot source has many.
@@ -63,9 +77,9 @@ def mix(work: Workspace, docs: DataFrame, share: float = 1.5, most: float = 2.0,
     then each source's to its shards. A shard takes its blocks once for each whole multiple of its quota, and the rest as a run
     of blocks from a seeded one on, so few documents are cut: `epochs` copies of a document are whole, then words cut_from to cut_to
     (exclusive), and from 0 to cut_again where the run comes round. No document is taken above `most` = 2 times. Null and empty texts
-    have size 0 and are never taken; rows that are equal in id and text are dealt alike; an empty table gives an empty result."""
+    have size 0 and are never taken; rows that are equal in id and text are dealt in bunches of `copies`, so that many of them don't meet in a shard; an empty table gives an empty result."""
     rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("lot"))
-    rows = work.put(rows, "sizes")
+    rows = _numbered(work, work.put(rows, "sizes"), copies)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = work.put(targets(sizes, share, most, weights).withColumn("shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_words))), "targets")
     # quotas of sources, then of their shards
@@ -73,7 +87,7 @@ def mix(work: Workspace, docs: DataFrame, share: float = 1.5, most: float = 2.0,
     block_words = max(1, min(block_words, int(smallest / LEAST_BLOCKS)))
     by_source = apportion(aims.withColumn("votes", F.col("target")).withColumn("one", F.lit(1)), ["one"], ["source"], F.lit(round(total / block_words))).select("source", "quota")
     known = rows.join(aims, rows["source"].eqNullSafe(aims["source"])).select(rows["*"], "source_size", "target", "shards")
-    known = known.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "lot"), F.col("shards")))
+    known = known.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "lot", F.floor(F.col("copy") / copies)), F.col("shards")))
     shards = known.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     shards = shards.join(by_source, shards["source"].eqNullSafe(by_source["source"])).select(shards["*"], F.col("quota").alias("seats"))
     shards = apportion(shards.withColumn("votes", F.col("shard_size").cast("double")), ["source"], ["shard"], F.col("seats"))
@@ -85,7 +99,7 @@ def mix(work: Workspace, docs: DataFrame, share: float = 1.5, most: float = 2.0,
     shards = shards.withColumn("opens", F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("blocks")))
     edge = lambda b: F.expr(f"({b}) * shard_size div blocks")
     shards = work.put(shards.select("source", "shard", "epochs", edge("opens").alias("a"), edge("least(opens + run, blocks)").alias("b"), edge("greatest(opens + run - blocks, 0)").alias("c")), "quotas")
-    place = F.sum("size").over(Window.partitionBy("source", "shard").orderBy("lot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    place = F.sum("size").over(Window.partitionBy("source", "shard").orderBy("lot", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     placed = known.withColumn("at", place)
     out = placed.join(shards, placed["source"].eqNullSafe(shards["source"]) & (placed["shard"] == shards["shard"]), "left").select(placed["*"], "epochs", "a", "b", "c")
     within = lambda x: F.least(F.greatest(F.col(x) - F.col("at"), F.lit(0).cast("long")), F.col("size"))

@@ -16,9 +16,8 @@ from .common import by_bytes, byte_lengths, lean, ship_code
 
 #: Bytes of a chunk and of the stretch that neighbours share; bytes under a filter, step of filters, size of a byte's vector, filters.
 CHUNK, OVERLAP, WIDTH, STEP, BYTE_DIM, FILTERS = 512, 64, 8, 4, 8, 32
-#: Labelled documents that training reads at most (the least by hash of the id), chunks of each that it reads at most (spread evenly over
-#: the text), and in a training step: so 3000 * 32 * 512 bytes reach the driver at most. Scores read all chunks.
-TRAIN_DOCS, MOST_CHUNKS, TRAIN_CHUNKS, EPOCHS = 3000, 32, 4, 14
+#: Labelled documents that training takes at most, and their bytes in all: the first by hash of the id whose whole texts fit. Chunks of a document in a training step; passes.
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_CHUNKS, EPOCHS = 3000, 48 << 20, 4, 14
 PAD = 256
 #: Documents with this remainder of crc32(doc_id as text) mod 4 are held out.
 HELD_OUT = 2
@@ -122,33 +121,20 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT
 
 
-def _evenly(batches):
-    """(id, label, chunk lengths, chunks) of at most MOST_CHUNKS chunks of each text."""
-    for batch in batches:
-        size, data = [], []
-        for text in batch.column(2).to_pylist():
-            raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-            n = max(1, -(-(len(raw) - OVERLAP) // (CHUNK - OVERLAP)))
-            at = np.unique(np.linspace(0, n - 1, min(n, MOST_CHUNKS)).round().astype(int)) * (CHUNK - OVERLAP)
-            parts = [raw[a : a + CHUNK].tobytes() for a in at.tolist()]
-            size.append([len(p) for p in parts])
-            data.append(b"".join(parts))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(size, pa.list_(pa.int32())), pa.array(data, pa.binary())], names=["_id", "_label", "size", "data"])
-
-
-def training(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(chunks, chunks of each document, labels) of at most `most` rows with a label that aren't held out: a bounded sample, the least
-    by hash of the id. Rows without an id or a label don't count; of repeated ids each row counts. Only the sampled chunks leave the tasks."""
-    ship_code(docs.sparkSession)
+def training(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunks, chunks of each document, labels) of whole texts of labelled rows that aren't held out: a bounded sample, the first by hash of the
+    id, at most `most` rows of `most_bytes` in all. Rows without an id or a label don't count; of repeated ids each row counts."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_label", "text")
-    rows = rows.mapInArrow(_evenly, "_id long, _label int, size array<int>, data binary").orderBy(F.xxhash64("_id"), "_id", "_label", "data").limit(most).toArrow()
-    rows = rows.sort_by([("_id", "ascending"), ("_label", "ascending"), ("data", "ascending")])
-    size = np.array([n for x in rows["size"].to_pylist() for n in x], np.int64)
-    data, ends = np.frombuffer(b"".join(rows["data"].to_pylist()), np.uint8), np.cumsum(size)
-    chunks, _ = chunks_of(data, ends - size, ends)  # each is one
-    return chunks, np.array([len(x) for x in rows["size"].to_pylist()], np.int64), rows["_label"].to_numpy().astype(np.float64)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = rows.select("_id", "_label", F.xxhash64("_id").alias("_h"), F.xxhash64("text").alias("_t"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("_n"), "text")
+    order = ["_h", "_id", "_label", "_t"]
+    sizes = rows.select(*order, "_n").orderBy(*order).limit(most).toArrow()["_n"].to_numpy()
+    fit_in = int((np.cumsum(sizes.astype(np.int64)) <= most_bytes).sum())
+    rows = rows.orderBy(*order).limit(fit_in).select("_id", "_label", "text").toArrow()
+    rows = rows.sort_by([("_id", "ascending"), ("_label", "ascending"), ("text", "ascending")])
+    chunks, counts = chunks_of(*_joined([(x or "").encode("utf-8", "surrogatepass") for x in rows["text"].to_pylist()]))
+    return chunks, counts, rows["_label"].to_numpy().astype(np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Network:

@@ -55,12 +55,11 @@ def metadata_errors(head: Column, required: list[str], kinds: list[str], vocabul
 _HEADING = r"^(#{1,6})\s+(.+?)\s*$"
 
 
-def sections(docs: DataFrame, key: str, body: str = "body") -> DataFrame:
-    """(key, section, heading, text): the stretches between headings that hold text, with the headings above them joined by ' > '. A heading
-    of level n takes the place of the n-th open one and closes those behind it."""
+def _split(docs: DataFrame, key: str, body: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, _s): the sections of each document in order as an array of (heading, text), null for a null body."""
     lines = F.split(body, "\n")
     marks = F.filter(F.sequence(F.lit(1), F.size("_l")), lambda i: F.regexp_like(F.element_at("_l", i), F.lit(_HEADING)))
-    d = docs.select(key, lines.alias("_l")).withColumn("_m", F.when(F.size("_l") > 0, marks))
+    d = docs.select(key, *keep, lines.alias("_l")).withColumn("_m", F.when(F.size("_l") > 0, marks))
     level = lambda i: F.length(F.regexp_extract(F.element_at("_l", i), _HEADING, 1))
     name = lambda i: F.trim(F.regexp_extract(F.element_at("_l", i), _HEADING, 2))
     start = F.struct(F.expr(_NONE).alias("open"), F.expr(_NONE).alias("paths"))
@@ -73,7 +72,13 @@ def sections(docs: DataFrame, key: str, body: str = "body") -> DataFrame:
     d = d.withColumn("_m", F.concat(F.array(F.lit(0)), "_m", F.array(F.size("_l") + 1)))
     text = lambda j: F.array_join(F.slice("_l", F.element_at("_m", j) + 1, F.element_at("_m", j + 1) - F.element_at("_m", j) - 1), "\n")
     parts = F.transform(F.sequence(F.lit(1), F.size("_p")), lambda j: F.struct(F.element_at("_p", j).alias("heading"), F.regexp_replace(text(j), r"^\s+|\s+$", "").alias("text")))
-    s = d.select(key, F.posexplode(F.filter(parts, lambda x: x["text"] != "")).alias("section", "x"))
+    return d.select(key, *keep, F.when(F.col("_p").isNotNull(), F.filter(parts, lambda x: x["text"] != "")).alias("_s"))
+
+
+def sections(docs: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """(key, section, heading, text): the stretches between headings that hold text, with the headings above them joined by ' > '. A heading
+    of level n takes the place of the n-th open one and closes those behind it. A null body has none."""
+    s = _split(docs, key, body).select(key, F.posexplode_outer("_s").alias("section", "x")).where(F.col("x").isNotNull())  # outer: else the filter that is inferred splits each document again
     return s.select(key, "section", F.col("x.heading").alias("heading"), F.col("x.text").alias("text"))
 
 
@@ -87,16 +92,23 @@ def spelled(tokens: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(tokens, " "), r"\s+([,.;:!?%)\]])", "$1"))
 
 
-def section_chunks(parts: DataFrame, key: str, checksum: str, target: int, overlap: int, least: int = 8, version: int = 1) -> DataFrame:
+def section_chunks(docs: DataFrame, key: str, checksum: str, target: int, overlap: int, least: int = 8, version: int = 1, body: str = "body") -> DataFrame:
     """(key, chunk_index, heading, token_count, content, chunk_id): windows of `target` tokens of each section, stepping by target - overlap, until one
-    reaches its end; sections below `least` tokens give none. Chunks of a document are numbered through. `parts` has (key, checksum, section, heading, text)."""
-    t = parts.withColumn("_t", word_tokens(F.col("text"))).withColumn("_n", F.size("_t")).where(F.col("_n") >= least)
+    reaches its end; sections below `least` tokens give none. Chunks of a document are numbered through. `docs` has (key, checksum, body); a null body has no chunks.
+    Nothing is shuffled: a document's chunks are cut in its own row, and only they are exploded."""
     step = target - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col("_n") - target) / step).cast("int")))
-    c = t.select(key, checksum, "section", "heading", "_t", F.explode(starts).alias("_i"))
-    piece = F.slice("_t", F.col("_i") * step + 1, F.lit(target))
-    c = c.select(key, checksum, "section", "heading", "_i", F.size(piece).alias("token_count"), spelled(piece).alias("content")).where("content <> ''")
-    c = c.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy("section", "_i")) - 1)
+
+    def cut(section: Column) -> Column:
+        def windows(tokens: Column) -> Column:
+            last = F.greatest(F.lit(0), F.ceil((F.size(tokens) - target) / step).cast("int"))
+            piece = lambda i: F.slice(tokens, i * step + 1, F.lit(target))
+            return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(section["heading"].alias("heading"), F.size(piece(i)).alias("token_count"), spelled(piece(i)).alias("content")))
+
+        once = F.filter(F.array(word_tokens(section["text"])), lambda t: F.size(t) >= least)  # an array of one, so that tokens are found once
+        return F.flatten(F.transform(once, windows))
+
+    chunks = F.filter(F.flatten(F.transform("_s", cut)), lambda x: x["content"] != "")
+    c = _split(docs, key, body, (checksum,)).select(key, checksum, F.posexplode_outer(chunks).alias("chunk_index", "x")).where(F.col("x").isNotNull()).select(key, checksum, "chunk_index", "x.*")
     identity = F.concat_ws("\0", F.col(key).cast("string"), checksum, F.lit(str(version)), F.col("chunk_index").cast("string"), "heading", "content")
     return c.select(key, "chunk_index", "heading", "token_count", "content", F.sha2(identity, 256).alias("chunk_id"))
 

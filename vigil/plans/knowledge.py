@@ -40,14 +40,9 @@ def front_matter(spark, d):
 _SECTIONS_SQL = f"""{MARKDOWN_SQL}, se AS (SELECT doc_id, 0 AS section, 'Top > Deep' AS heading, line AS text FROM md WHERE line <> '' AND doc_id % 11 <> 0 UNION ALL SELECT doc_id, 1, 'Top > Side', trim(substr(line, 1, 300), ' ') FROM md WHERE line <> '' AND doc_id % 11 <> 0)"""
 
 
-def _sections(spark, d):
-    m = knowledge.front_matter(_markdown(spark, d)).where("error is null")
-    return knowledge.sections(m, "doc_id").join(m.select("doc_id", F.sha2("body", 256).alias("checksum")), "doc_id")
-
-
 @query(f"WITH {_SECTIONS_SQL} SELECT doc_id, section, heading, sha256(text) AS digest FROM se")
 def markdown_sections(spark, d):
-    return _sections(spark, d).select("doc_id", "section", "heading", F.sha2("text", 256).alias("digest"))
+    return knowledge.sections(knowledge.front_matter(_markdown(spark, d)), "doc_id").select("doc_id", "section", "heading", F.sha2("text", 256).alias("digest"))
 
 
 @query(rf"""WITH {_SECTIONS_SQL}, b AS (SELECT doc_id, sha256('# Top' || chr(10) || '### Deep' || chr(10) || line || chr(10) || '## Side' || chr(10) || regexp_replace(substr(line, 1, 300), '[ \t]+$', '') || chr(10)) AS checksum FROM md),
@@ -57,7 +52,8 @@ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section, i) - 1
 SELECT doc_id, chunk_index::INT AS chunk_index, heading, token_count::INT AS token_count, sha256(doc_id || chr(0) || checksum || chr(0) || '1' || chr(0) || chunk_index || chr(0) || heading || chr(0) || content) AS chunk_id FROM n JOIN b USING (doc_id)""")
 def section_chunks(spark, d):
     """Chunks of sections, with identities over document, checksum, place, heading and content."""
-    return knowledge.section_chunks(_sections(spark, d), "doc_id", "checksum", 64, 16).drop("content")
+    docs = knowledge.front_matter(_markdown(spark, d)).select("doc_id", "body", F.sha2("body", 256).alias("checksum"))
+    return knowledge.section_chunks(docs, "doc_id", "checksum", 64, 16).drop("content")
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, rank, 'E' || rank AS evidence_id FROM bm WHERE rank <= 5")

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vigil.llm import quality as C
 from vigil.llm.html_text import blocks, extract_text, main_text, tree
@@ -156,6 +157,7 @@ def test_training_takes_whole_texts_under_a_budget(spark):
     texts = {i: f"text {i} " * (1 + i * 37 % 900) for i in range(60)}
     rows, labels = [*texts.items(), (1, texts[1])], [(i, i % 2) for i in texts] + [(None, 1), (70, None)]
     d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    labels_left = len(C.training(d, l)[1])
     chunks, counts, found = C.training(d, l, most=30)
     assert len(counts) == len(found) == 30 and len(chunks) == counts.sum()
     whole = {tuple(c.tolist()) for t in texts.values() for c in C.chunks_of(*C._joined([t.encode()]))[0]}
@@ -165,3 +167,6 @@ def test_training_takes_whole_texts_under_a_budget(spark):
     _, fewer, _ = C.training(d, l, most=30, most_bytes=sum(sizes) // 2)
     assert 0 < len(fewer) < 30
     assert C.training(d, l, most_bytes=0)[2].tolist() == []
+    long = d.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.repeat("text", 1000)).otherwise(F.col("text")))  # passed over, the others stay
+    _, most_of_them, _ = C.training(long, l, most_bytes=1 << 20)
+    assert len(most_of_them) >= labels_left - 25

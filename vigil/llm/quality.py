@@ -16,7 +16,7 @@ from .common import by_bytes, byte_lengths, lean, ship_code
 
 #: Bytes of a chunk and of the stretch that neighbours share; bytes under a filter, step of filters, size of a byte's vector, filters.
 CHUNK, OVERLAP, WIDTH, STEP, BYTE_DIM, FILTERS = 512, 64, 8, 4, 8, 32
-#: Labelled documents that training takes at most, and their bytes in all: the first by hash of the id whose whole texts fit. Chunks of a document in a training step; passes.
+#: Labelled documents that training takes at most, and their bytes in all: whole texts by hash of the id, those left out that no longer fit. Chunks of a document in a training step; passes.
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_CHUNKS, EPOCHS = 3000, 48 << 20, 4, 14
 PAD = 256
 #: Documents with this remainder of crc32(doc_id as text) mod 4 are held out.
@@ -64,8 +64,9 @@ def chunks_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ends = np.cumsum([len(t) for t in texts])
-    return np.frombuffer(b"".join(texts), np.uint8), ends - np.array([len(t) for t in texts]), ends
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    return np.frombuffer(b"".join(texts), np.uint8), ends - sizes, ends
 
 
 def train(chunks: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> Network:
@@ -122,16 +123,20 @@ def held_out(doc_id) -> F.Column:
 
 
 def training(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(chunks, chunks of each document, labels) of whole texts of labelled rows that aren't held out: a bounded sample, the first by hash of the
-    id, at most `most` rows of `most_bytes` in all. Rows without an id or a label don't count; of repeated ids each row counts."""
+    """(chunks, chunks of each document, labels) of whole texts of labelled rows that aren't held out: a bounded sample, by hash of the id, at most `most` rows
+    of `most_bytes` in all. A text for which no room is left is passed over, so that one very long text doesn't end the sample. Rows without an id or a label
+    don't count; repeated rows count once, different texts of an id each."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_label"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
+    chosen = chosen.distinct().orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = rows.select("_id", "_label", F.xxhash64("_id").alias("_h"), F.xxhash64("text").alias("_t"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("_n"), "text")
-    order = ["_h", "_id", "_label", "_t"]
-    sizes = rows.select(*order, "_n").orderBy(*order).limit(most).toArrow()["_n"].to_numpy()
-    fit_in = int((np.cumsum(sizes.astype(np.int64)) <= most_bytes).sum())
-    rows = rows.orderBy(*order).limit(fit_in).select("_id", "_label", "text").toArrow()
+    rows = rows.select("_id", "_label", F.xxhash64("text").alias("_t"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("_n"), "text")
+    order, room, fits = ["_id", "_label", "_t"], most_bytes, []
+    for r in rows.select(*order, "_n").distinct().orderBy(F.xxhash64("_id"), *order).limit(most).collect():
+        if r["_n"] <= room:
+            fits.append(tuple(r[c] for c in order))
+            room -= r["_n"]
+    keys = docs.sparkSession.createDataFrame(fits, "_id long, _label int, _t long")
+    rows = rows.join(F.broadcast(keys), order, "left_semi").dropDuplicates(order).select("_id", "_label", "text").toArrow()
     rows = rows.sort_by([("_id", "ascending"), ("_label", "ascending"), ("text", "ascending")])
     chunks, counts = chunks_of(*_joined([(x or "").encode("utf-8", "surrogatepass") for x in rows["text"].to_pylist()]))
     return chunks, counts, rows["_label"].to_numpy().astype(np.float64)

@@ -44,21 +44,16 @@ def inference_request(features: list[str], windows: int = 1000) -> dict:
 _NOTES = {"$schema", "$id", "$comment", "title", "description", "default", "examples"}
 _KNOWN = {"type", "const", "enum", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "uniqueItems", "minProperties", "maxProperties"} | {
     "minLength", "maxLength", "pattern", "format", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"}
+_OF_OBJECT, _OF_ARRAY = {"object", "required", "properties", "additionalProperties", "minProperties", "maxProperties"}, {"array", "items", "minItems", "maxItems", "uniqueItems"}
 _STAMP = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)\z"
 
 
 def _kind(v: Column) -> Column:
-    k = F.regexp_extract(F.schema_of_variant(v), r"^\w+", 0)
+    k = F.substring_index(F.schema_of_variant(v), "<", 1)
     names = {"VOID": "null", "BOOLEAN": "boolean", "STRING": "string", "OBJECT": "object", "ARRAY": "array", "BIGINT": "long"}
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in names.items() for x in p)), k), F.lit("number"))
 
 
-def _place(name: str) -> str:
-    if "'" in name and '"' in name:
-        raise ValueError(f"a field name with both kinds of quotes: {name}")
-    return f'$["{name}"]' if "'" in name else f"$['{name}']"
-
-
 def _plain(value):
     """A constant as the JSON text that a variant of it has."""
     if isinstance(value, float) and value.is_integer():
@@ -96,12 +91,20 @@ def _errors(schema, v: Column, at: Column) -> Column:
     unknown = set(schema) - _KNOWN - _NOTES
     if unknown or schema.get("format", "date-time") != "date-time":
         raise ValueError(f"keywords that have no column: {sorted(unknown) or schema['format']}")
-    return _bind(F.struct(v.alias("v"), _kind(v).alias("k")), lambda s: _keywords(schema, s["v"], s["k"], at))
-
-
-def _keywords(schema: dict, v: Column, kind: Column, at: Column) -> Column:
+    types = schema.get("type", [])
+    asked = set(schema) | {types} if isinstance(types, str) else set(schema) | set(types)
+    opened = F.struct(
+        v.alias("v"), (F.try_variant_get(v, "$", "map<string,variant>") if asked & _OF_OBJECT else F.lit(None).cast("map<string,variant>")).alias("f"),
+        (F.try_variant_get(v, "$", "array<variant>") if asked & _OF_ARRAY else F.lit(None).cast("array<variant>")).alias("i"),
+    )
+    # containers are known by what they open to, since the type of a container's text would be found from all that lies in it
+    kind = lambda s: F.when(s["f"].isNotNull(), "object").when(s["i"].isNotNull(), "array").otherwise(_kind(s["v"]))
+    return _bind(opened, lambda s: _bind(kind(s), lambda k: _keywords(schema, s, k, at)))
+
+
+def _keywords(schema: dict, opened: Column, kind: Column, at: Column) -> Column:
+    v, fields, items = opened["v"], opened["f"], opened["i"]
     number, text = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
-    items, fields = F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$", "map<string,variant>")
     own: list[tuple[str, Column]] = []  # a keyword and whether the value breaks it; null where the keyword isn't about such values
     if "type" in schema:
         names = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
@@ -129,12 +132,12 @@ def _keywords(schema: dict, v: Column, kind: Column, at: Column) -> Column:
     of_object = {"minProperties": lambda b: F.size(fields) < b, "maxProperties": lambda b: F.size(fields) > b}
     for words, name in ((of_text, "string"), (of_list, "array"), (of_object, "object")):
         own += [(w, F.when(kind == name, f(schema[w]))) for w, f in words.items() if w in schema]
-    parts = [F.filter(F.array(*(F.when(bad, F.concat(at, F.lit(f": {w}"))) for w, bad in own)), lambda x: x.isNotNull())] if own else []
+    parts = [F.array_compact(F.array(*(F.when(bad, F.concat(at, F.lit(f": {w}"))) for w, bad in own)))] if own else []
     named = schema.get("properties", {})
-    child = lambda n: F.try_variant_get(v, _place(n), "variant")
+    child = lambda n: F.try_element_at(fields, F.lit(n))
     below = lambda n: F.concat(at, F.lit(f".{n}"))
     if schema.get("required"):
-        parts.append(F.when(kind == "object", F.filter(F.array(*(F.when(child(n).isNull(), F.concat(below(n), F.lit(": required"))) for n in schema["required"])), lambda x: x.isNotNull())))
+        parts.append(F.when(kind == "object", F.array_compact(F.array(*(F.when(child(n).isNull(), F.concat(below(n), F.lit(": required"))) for n in schema["required"])))))
     parts += [F.when((kind == "object") & child(n).isNotNull(), _errors(sub, child(n), below(n))) for n, sub in named.items() if sub not in ({}, True)]
     more = schema.get("additionalProperties", True)
     if more not in ({}, True):

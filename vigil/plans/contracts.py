@@ -103,14 +103,14 @@ def benchmark_structure(spark, d):
     return contracts.structure_checks(queries, qrels, {"incident_type": _TYPES, "split": _SPLITS}, ("split", "test", {"incident_type": {k: 16 for k in _TYPES}}))
 
 
-_QRELS_SQL = """c AS (SELECT 'part-' || p_partkey AS chunk_id, p_brand AS source_path, p_type AS heading_path, p_partkey AS chunk_index FROM part WHERE p_size > 25),
-g AS (SELECT l_suppkey AS query_id, p_brand AS source_path, p_type AS heading_path, CASE WHEN l_quantity > 40 THEN 2 ELSE 1 END AS grade FROM lineitem JOIN part ON p_partkey = l_partkey),
+_QRELS_SQL = """c AS (SELECT 'part-' || p_partkey AS chunk_id, p_brand || '/' || p_size // 2 AS source_path, p_type AS heading_path, p_partkey AS chunk_index FROM part WHERE p_retailprice > 905),
+g AS (SELECT l_suppkey AS query_id, p_brand || '/' || p_size // 2 AS source_path, p_type AS heading_path, CASE WHEN l_quantity > 40 THEN 2 ELSE 1 END AS grade FROM lineitem JOIN part ON p_partkey = l_partkey),
 h AS (SELECT g.*, m.chunk_id FROM g LEFT JOIN (SELECT source_path, heading_path, arg_max(chunk_id, chunk_index) AS chunk_id FROM c GROUP BY 1, 2) m USING (source_path, heading_path))"""
 
 
 def _resolved(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("source_path"), F.col("p_type").alias("heading_path"), "p_size")
-    chunks = p.where("p_size > 25").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("chunk_id"), "source_path", "heading_path", F.col("p_partkey").alias("chunk_index"))
+    p = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), F.floor(F.col("p_size") / 2).cast("string")).alias("source_path"), F.col("p_type").alias("heading_path"), "p_retailprice")
+    chunks = p.where("p_retailprice > 905").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("chunk_id"), "source_path", "heading_path", F.col("p_partkey").alias("chunk_index"))
     li = table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("query_id"), F.when(F.col("l_quantity") > 40, 2).otherwise(1).alias("grade"))
     qrels = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select("query_id", "source_path", "heading_path", "grade")
     return contracts.resolve_qrels(qrels, chunks, ["source_path", "heading_path"])

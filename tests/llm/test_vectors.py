@@ -131,3 +131,15 @@ def test_nearest_across_ranges_lengths_and_copies(spark):
             assert sorted(got) == want  # copies at distance 0, smallest ids first
         hits += len({i for _, i in got} & {i for _, i in want})
     assert hits >= 0.9 * 70
+
+
+def test_nearest_far_from_the_origin_and_in_knots(spark):
+    """Distances that are small beside the vectors themselves, or beside those between knots: codes of whole vectors can't tell them apart."""
+    r = np.random.default_rng(11)
+    n, dim = 3000, 32
+    knots = r.normal(size=(3, dim))[np.arange(n) % 3] + 1e-3 * r.normal(size=(n, dim))
+    for x in (r.normal(size=(n, dim)) + 100, knots, np.concatenate([1000 * r.normal(size=(n, 1)), r.normal(size=(n, dim - 1))], 1)):
+        rows = nearest(Workspace(spark), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+        far = {q: ((x - x[q]) ** 2).sum(axis=1) for q in range(0, n, 100)}
+        assert len(rows) == 10 * len(far)
+        assert sum(far[q.query_id][q.vec_id] <= np.partition(far[q.query_id], 10)[10] for q in rows) >= 0.9 * len(rows)

@@ -22,6 +22,8 @@ from .vectors import hashed, lengths, rows_of, sample
 DIMS, BITS, AIM, CURVES, REACH, RANGE_ROWS = 6, 8, 0.975, 24, 128, 50_000
 #: Vectors of the sample that stand for queries when orderings are reckoned, and orderings tried.
 TRIED, TRIALS = 200, 6
+#: Vectors of the sample beside which codes are taken; standard deviations by which a distance by codes may be off.
+ANCHORS, DOUBT = 4096, 2.0
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -103,22 +105,36 @@ class Curves:
         return reach
 
 
-def coded(x: np.ndarray) -> np.ndarray:
-    """Rows as bytes: a scale and the squared length as float64, then 4-bit numbers, two to a byte."""
-    top = np.abs(x).max(axis=1)
-    scale = np.where(top > 0, top, 1) / 7.5
-    q = np.clip(np.floor(x / scale[:, None]) + 8, 0, 15).astype(np.uint8)
-    if q.shape[1] % 2:
-        q = np.concatenate([q, np.full((len(q), 1), 8, np.uint8)], 1)
-    packed = q[:, ::2] | (q[:, 1::2] << 4)
-    return np.concatenate([np.stack([scale, np.einsum("ij,ij->i", x, x)], 1).view(np.uint8).reshape(len(x), 16), packed], 1)
+class Codes:
+    """Vectors as 4-bit numbers of what is left beside an anchor: the nearest of a bounded sample, the sample's mean among them. So neither a far
+    origin nor a tight knot that holds an anchor takes the codes' precision."""
 
+    def __init__(self, fitted: np.ndarray, dim: int):
+        self.dim = dim
+        self.center = fitted.mean(axis=0) if len(fitted) else np.zeros(dim)
+        self.anchors = np.concatenate([np.zeros((1, dim)), fitted[:ANCHORS].reshape(-1, dim) - self.center])
+        self.half = np.einsum("ij,ij->i", self.anchors, self.anchors) / 2
 
-def decoded(codes: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors about, squared lengths)."""
-    head = np.ascontiguousarray(codes[:, :16]).view(np.float64)
-    q = np.stack([codes[:, 16:] & 15, codes[:, 16:] >> 4], 2).reshape(len(codes), -1)[:, :dim]
-    return (q.astype(np.float64) - 7.5) * head[:, :1], head[:, 1]
+    def coded(self, x: np.ndarray) -> np.ndarray:
+        """Rows as bytes: a scale as float64, the error's length as float32, the anchor's number as int32, then 4-bit numbers, two to a byte."""
+        x = x - self.center
+        at = np.concatenate([np.argmin(self.half - x[i : i + 512] @ self.anchors.T, axis=1) for i in range(0, len(x), 512)]) if len(x) else np.zeros(0, np.int64)
+        rest = x - self.anchors[at]
+        top = np.abs(rest).max(axis=1)
+        scale = np.where(top > 0, top, 1) / 7.5
+        q = np.clip(np.floor(rest / scale[:, None]) + 8, 0, 15).astype(np.uint8)
+        off = rest - (q - 7.5) * scale[:, None]
+        error = np.sqrt(np.einsum("ij,ij->i", off, off)).astype(np.float32)
+        if q.shape[1] % 2:
+            q = np.concatenate([q, np.full((len(q), 1), 8, np.uint8)], 1)
+        heads = [np.ascontiguousarray(c).view(np.uint8).reshape(len(x), -1) for c in (scale, error, at.astype(np.int32))]
+        return np.concatenate([*heads, q[:, ::2] | (q[:, 1::2] << 4)], 1)
+
+    def decoded(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors about, less the center; lengths of their errors)."""
+        scale, error, at = (np.ascontiguousarray(codes[:, i:j]).view(kind)[:, 0] for i, j, kind in ((0, 8, np.float64), (8, 12, np.float32), (12, 16, np.int32)))
+        q = np.stack([codes[:, 16:] & 15, codes[:, 16:] >> 4], 2).reshape(len(codes), -1)[:, : self.dim]
+        return (q.astype(np.float64) - 7.5) * scale[:, None] + self.anchors[at], error.astype(np.float64)
 
 
 def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7, reach: int = REACH, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -130,8 +146,8 @@ def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k
     one row. A repeated id is listed once for each query. An empty table gives an empty result; other columns are not read.
 
     A window may reach over any number of ranges of an ordering: places are exact, from counts of the ranges, and a query travels to each range that its
-    window touches. In a range it keeps the 4k nearest by 4-bit codes, so a tight knot of more vectors than that, whose distances are below the
-    codes' error, is told apart only by the chance of several orderings."""
+    window touches. In a range it keeps the 4k nearest by 4-bit codes and every other vector that the codes' known error may hide among the k nearest, however many:
+    so a knot of vectors closer than that error is compared in full."""
     spark = df.sparkSession
     points = work.put(hashed(df, id_col, vec_col).where("dim is not null"), "points")
     asks = F.expr(queries.replace(id_col, "id"))
@@ -144,6 +160,7 @@ def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k
     counts = lengths(single)
     fitted = sample(single.withColumn("id", F.col("ids")[0]), counts)
     index = {d: Curves(fitted[d], d, n, k, seed, reach) for d, n in counts.items()}
+    codes = spark.sparkContext.broadcast({d: Codes(fitted[d], d) for d in counts})
     most = 4 * k
 
     def place(batches):
@@ -153,7 +170,7 @@ def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k
             for d in np.unique(dim).tolist():
                 part = t.filter(pa.array(dim == d))
                 x, n = rows_of(part), part.num_rows
-                code = pa.array([r.tobytes() for r in coded(x)], pa.binary())
+                code = pa.array([r.tobytes() for r in codes.value[d].coded(x)], pa.binary())
                 whole = pa.array([v if a else None for v, a in zip(part["v"].to_pylist(), part["asks"].to_pylist())], pa.binary())
                 for c in range(CURVES):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d)), pa.array(np.full(n, c)), pa.array(index[d].keys(x, c)), part["pid"].combine_chunks(), code, whole], names=["dim", "curve", "key", "pid", "code", "v"])
@@ -197,25 +214,33 @@ def nearest(work: Workspace, df: DataFrame, queries: str = "vec_id % 100 = 0", k
             d, c, number = (rows[x][0].as_py() for x in ("dim", "curve", "range"))
             own, _, begin = known.value[d, c]
             start, n, width, pid = int(begin[np.searchsorted(own, number)]), rows.num_rows, index[d].reach, rows["pid"].to_numpy()
-            x, square = decoded(rows_of(rows, "code", np.uint8), d)
+            x, error = codes.value[d].decoded(rows_of(rows, "code", np.uint8))
+            square, center, part = np.einsum("ij,ij->i", x, x), codes.value[d].center, min(1.0, DOUBT / math.sqrt(d))
             for spot, who, q in zip((asking["spot"].to_numpy() - start).tolist(), asking["pid"].to_pylist(), rows_of(asking)):
                 a, b = max(0, spot - width), min(n, spot + width + 1)
-                far = square[a:b] - 2 * (x[a:b] @ q) + q @ q
+                q, t = q - center, part * error[a:b]
+                far = square[a:b] - 2 * (x[a:b] @ q) + q @ q - error[a:b] ** 2
+                root = np.sqrt(t * t + np.maximum(far, 0))
+                low, high = (root - t) ** 2, (root + t) ** 2
                 if a <= spot < b:
-                    far[spot - a] = np.inf
-                best = np.argpartition(far, most)[:most] if len(far) > most else np.arange(len(far))
+                    far[spot - a] = low[spot - a] = high[spot - a] = np.inf
+                best = np.arange(len(far))
+                if len(far) > most:  # the nearest, and all that may be as near as the k nearest
+                    best = np.flatnonzero((far <= np.partition(far, most - 1)[most - 1]) | (low <= np.partition(high, k - 1)[k - 1]))
                 best = best[best != spot - a]
-                found.append((np.full(len(best), who), pid[a + best], far[best]))
-        out = tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table(list(map(pa.array, out)), names=["query", "pid", "far"])
+                found.append((np.full(len(best), who), pid[a + best], far[best], low[best], high[best]))
+        out = tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0)] * 3)
+        return pa.table(list(map(pa.array, out)), names=["query", "pid", "far", "low", "high"])
 
     sent = laid.where("v is not null").select("dim", "curve", "at", "pid", "v").mapInArrow(lean(travel), "dim long, curve long, range long, spot long, pid long, v binary")
     keys = ["dim", "curve", "range"]
     rows = laid.select(*keys, "at", "pid", "code")
     asking = sent.select(*(F.col(x).alias(f"q_{x}") for x in keys), "spot", F.col("pid").alias("pid"), "v")
-    near = rows.groupBy(*keys).cogroup(asking.groupBy(*(f"q_{x}" for x in keys))).applyInArrow(search, "query long, pid long, far double")
-    near = near.groupBy("query", "pid").agg(F.min("far").alias("far"))
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("far", "pid"))).where(F.col("n") <= most)
+    near = rows.groupBy(*keys).cogroup(asking.groupBy(*(f"q_{x}" for x in keys))).applyInArrow(search, "query long, pid long, far double, low double, high double")
+    near = near.groupBy("query", "pid").agg(*(F.min(c).alias(c) for c in ("far", "low", "high")))
+    by = Window.partitionBy("query")
+    near = near.withColumn("n", F.row_number().over(by.orderBy("far", "pid"))).withColumn("m", F.row_number().over(by.orderBy("high", "pid")))
+    near = near.withColumn("bound", F.max(F.when(F.col("m") <= k, F.col("high"))).over(by)).where((F.col("n") <= most) | (F.col("low") <= F.col("bound")))
     near = near.select("query", "pid").unionByName(single.where("asks").select(F.col("pid").alias("query"), "pid"))
     met = near.join(single.select("pid", "ids", "v"), "pid")
 

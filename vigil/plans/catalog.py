@@ -163,7 +163,7 @@ def tokenize_terms(spark, d):
 def _bm25(spark, d, k: int = 20):
     docs = table(spark, d, "documents").select("doc_id", terms(F.col("text")).alias("terms"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(terms(F.col("text"))).alias("term"))
-    return retrieval.top_k(retrieval.bm25(docs, asked), "query_id", "doc_id", k)
+    return retrieval.top_k(retrieval.bm25_best(docs, asked, k), "query_id", "doc_id", k)
 
 
 BM25_SQL = f"""t AS (SELECT doc_id, unnest({TERMS_SQL}) AS term FROM documents), po AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), le AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY doc_id),

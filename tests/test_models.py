@@ -13,3 +13,22 @@ def test_rows_with_missing_values_are_scored(spark):
 def test_numbers_of_the_reference():
     assert inspect.signature(models.isolation_forest).parameters["trees"].default == 300
     assert inspect.signature(answers.bootstrap).parameters["resamples"].default == 10_000
+
+
+def test_flat_trees_and_marked_draw(spark):
+    """Flat trees give what a walk down each gives; the rows of least hash are the same however they are found."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(0)
+    x = np.round(r.normal(size=(5000, 3)), 1)
+    trees = [models._grow(x[r.choice(5000, 64, replace=False)], r, 6) for _ in range(20)]
+
+    def walk(node, row, depth=0):
+        return depth + models.expected_depth(node[0]) if len(node) == 1 else walk(node[2 if row[node[0]] <= node[1] else 3], row, depth + 1)
+
+    assert np.allclose(models._depth_sums([models._flat(t) for t in trees], x), [sum(walk(t, row) for t in trees) for row in x], atol=1e-9)
+    assert models._depth_sums([models._flat((4,))], x[:2]).tolist() == [models.expected_depth(4)] * 2
+    ids, lot = spark.range(20_000), F.xxhash64(F.lit(3), "id")
+    for most in (100, 15_000, 30_000):
+        assert [y.id for y in models._least(ids, lot, ["id"], most).collect()] == [y.id for y in ids.orderBy(lot, "id").limit(most).collect()]

@@ -77,3 +77,20 @@ def test_null_groups_keep_their_baseline(table, rows):
         mad = 1.4826 * np.median(np.abs(x - np.median(x)))
         assert abs(got[k].scale - (mad or 1.0)) < 1e-9
         assert abs(parts[k].p95 - np.quantile(x, 0.95)) < 1e-6
+
+
+def test_a_few_large_groups_meet_their_quantiles_where_they_are(spark):
+    """A table of a few groups is sent to the rows, even where Spark wouldn't: rows of a group are never sorted together in a task."""
+    from vigil.operators import anomaly
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+        found = anomaly.quantiles(rows, ["g"], "v", (0.5,))
+        assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+        assert {r.g: (r.n, r.q0) for r in found.collect()} == {None: (334, 499.5), 1: (333, 499.0), 2: (333, 500.0)}
+        apart = {r.g: (r.n, r.center) for r in anomaly.robust_baseline(rows, ["g"], "v").collect()}
+        assert apart == {None: (334, 499.5), 1: (333, 499.0), 2: (333, 500.0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.operators.ranks import join_null_safe, placed, running
+from vigil.operators.ranks import by_group, join_null_safe, placed, running
 
 #: A quantile sketch's accuracy: a bracket around a quantile holds 0.06 % of a group's rows.
 ACCURACY = 10_000
@@ -24,7 +24,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, qs: tuple[float, ...])
     marks = F.array(*(F.lit(min(1.0, max(0.0, q + s * spread))) for q in qs for s in (-1, 1)))
     edges = named.groupBy(*(F.col(k).alias(f"_j{i}") for i, k in enumerate(keys))).agg(F.count("*").alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_e"))
     bracket = F.array(*(F.struct(F.lit(i).alias("_q"), ((F.col("_n") - 1) * F.lit(q)).alias("_at"), F.when(small, F.lit(float("-inf"))).otherwise(F.col("_e")[2 * i]).alias("_lo"), F.when(small, F.lit(float("inf"))).otherwise(F.col("_e")[2 * i + 1]).alias("_hi")) for i, q in enumerate(qs)))
-    edges = edges.select(*(f"_j{i}" for i in range(len(keys))), "_n", bracket.alias("_b"))
+    edges = by_group(edges.select(*(f"_j{i}" for i in range(len(keys))), "_n", bracket.alias("_b")), "edges")
     same = [F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)]
     # each distinct value, counted, once for each quantile whose bracket it doesn't exceed; values below a bracket as one
     met = (known.join(edges, same) if same else known.join(F.broadcast(edges))).select(*keys, "_n", "_v", "_c", F.explode("_b").alias("_x")).where(F.col("_v") <= F.col("_x._hi"))
@@ -42,7 +42,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, qs: tuple[float, ...])
 def robust_baseline(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, n, center, scale, informative): median, and 1.4826 MAD, else IQR / 1.349, else 1.0 and uninformative. Quantiles are exact and
     no task holds a group's values; the second pass joins each row to its center by the same keys, null ones included."""
-    a = quantiles(rows, by, value, (0.25, 0.5, 0.75))
+    a = by_group(quantiles(rows, by, value, (0.25, 0.5, 0.75)), "centers")
     centers = a.select(*by, F.col("q1").alias("_center"))
     apart = join_null_safe(rows, centers, by).select(*by, F.abs(F.col(value) - F.col("_center")).alias("_apart"))
     mad = quantiles(apart, by, "_apart", (0.5,)).select(*by, (F.col("q0") * 1.4826).alias("mad"))

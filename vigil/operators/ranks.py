@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 from vigil.sources.tables import written
 
 
+#: Rows of a table of groups up to which it is sent to all tasks.
+MOST_GROUPS = 200_000
+
+
+def by_group(groups: DataFrame, name: str) -> DataFrame:
+    """A table of one row a group, written, to be joined to the groups' rows: sent to all tasks unless it is large, so that a few large groups aren't each
+    sorted in one task. (Adaptive execution sends no table that fills but a few partitions.)"""
+    laid = written(groups, name)
+    return F.broadcast(laid) if laid.count() <= MOST_GROUPS else laid
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join by keys of the same names, of which a null meets a null; the left side's keys stay."""
     named = right.select(*(F.col(f"`{k}`").alias(f"_right_{i}") for i, k in enumerate(keys)), *(F.col(f"`{c}`") for c in right.columns if c not in keys))

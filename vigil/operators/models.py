@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.operators.anomaly import order_statistics
+from vigil.operators.forest import random_forest
 
 
 def medians(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -105,11 +106,11 @@ def isolation_forest(rows: DataFrame, key: list[str], columns: list[str], trees:
 
 
 def classify(rows: DataFrame, key: list[str], columns: list[str], label: str, kind: str = "logistic", held_out: str = "held_out", seed: int = 17) -> DataFrame:
-    """(key, label, held_out, probability, predicted): an MLlib classifier of `label` 0/1, trained on rows that aren't held out. Missing
-    values, NaN included, become the medians of those rows, so every row is scored; columns are standardized. Logistic regression has up to 2000 iterations and
-    the penalty 1 / rows; the forest 300 trees of depth 5, at least 2 rows in a leaf, and weights that balance the classes."""
+    """(key, label, held_out, probability, predicted): a classifier of `label` 0/1, trained on rows that aren't held out. Missing
+    values, NaN included, become the medians of those rows, so every row is scored. Logistic regression, MLlib's over standardized columns, has up to 2000 iterations and
+    the penalty 1 / rows; the forest 300 trees of depth 5 over 32 bins of each column, at least 2 rows in a leaf, and weights that balance the classes."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
@@ -119,11 +120,10 @@ def classify(rows: DataFrame, key: list[str], columns: list[str], label: str, ki
     learned = rows.where(~F.col(held_out))
     count = {r[0]: r[1] for r in learned.groupBy(label).agg(F.count("*")).collect()}
     n = sum(count.values())
-    if kind == "logistic":
-        last = LogisticRegression(featuresCol="x", labelCol=label, maxIter=2000, regParam=1 / max(n, 1), standardization=False)
-    else:
-        last = RandomForestClassifier(featuresCol="x", labelCol=label, weightCol="_weight", numTrees=300, maxDepth=5, minInstancesPerNode=2, seed=seed)
-    weight = F.element_at(F.create_map(*(F.lit(x) for k, c in count.items() for x in (float(k), n / (len(count) * c)))), F.col(label).cast("double"))
+    if kind == "forest":
+        scored = random_forest(learned, rows, columns, label, {float(k): n / (len(count) * c) for k, c in count.items()}, seed=seed)
+        return scored.select(*key, label, held_out, "probability", (F.col("probability") > 0.5).cast("int").alias("predicted"))
+    last = LogisticRegression(featuresCol="x", labelCol=label, maxIter=2000, regParam=1 / max(n, 1), standardization=False)
     steps = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="error"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), last])
-    scored = steps.fit(learned.withColumn("_weight", weight)).transform(rows)
+    scored = steps.fit(learned).transform(rows)
     return scored.select(*key, label, held_out, vector_to_array("probability")[1].alias("probability"), F.col("prediction").cast("int").alias("predicted"))

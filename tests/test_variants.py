@@ -57,3 +57,25 @@ def test_canonical_text_and_measures(spark):
     assert [r.c for r in rows.select("id", V.canonical_json(F.col("text")).alias("c")).orderBy("id").collect()] == [b, b, None]
     got = {(r.name, r.value) for r in V.scalar_measures(V.leaves(rows, "id", "text"), "id").where("id = 1").collect()}
     assert got == {("a", 1.5), ("b.0", 1.0), ("b.1.y", 1.0)}
+
+
+def test_leaves_are_one_stage_and_typed_as_variants(spark):
+    """No table is written on the way, whatever the depth; numbers and odd texts get the type and value that Spark's variants have."""
+    ints = ["0", "-0", "7", "-12", "999999999999999999", "9223372036854775807", "9223372036854775808", "-9223372036854775809", "1" + "0" * 37, "1" * 39, "1" * 400]
+    parts = ["1.0", "1.50", "-0.0", "0.10", "0.00000001", "-0.000000100", "100.0", "1e3", "1E-7", "-2.5e300", "1e999", "0." + "1" * 38, "0." + "1" * 39, "123456789012345678901234567890.123456789", "15e-1", "0.0000000"]
+    others = [r'"a\ud800b"', r'"😀"', '"é\\n"', "true", "false", "null", " [1] x", "1 2", "01", "1.", "nul", "﻿1", "{} {", '"open']
+    rows = spark.createDataFrame([*enumerate(ints + parts + others)], "id int, text string")
+    found = V.leaves(rows, "id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Scan parquet" not in plan and "MapInArrow" in plan
+    v = F.try_parse_json("text")
+    name = F.lower(F.regexp_extract(F.schema_of_variant(v), r"^\w+", 0))
+    kind = F.when(v.isNull(), "invalid").when(name == "void", "null").when(name == "bigint", "long").otherwise(name)
+    plain = rows.where("text <> ' [1] x' and text <> '{} {'")
+    want = {(r.id, r.t, r.w) for r in plain.select("id", kind.alias("t"), F.when(v.isNull(), F.col("text")).otherwise(v.cast("string")).alias("w")).collect()}
+    got = {(r.id, r.type, r.value) for r in found.collect()}
+    assert want <= got, want - got
+    whole = {r.id: r.ok for r in rows.select("id", v.isNotNull().alias("ok")).collect()}
+    assert all((t == "invalid") != whole[i] for i, t, _ in got) and len(got) == len(ints + parts + others)
+    deep = "[" * 900 + "5" + "]" * 900
+    assert [tuple(r) for r in V.leaves(spark.createDataFrame([(1, deep)], "id int, text string"), "id", "text").collect()] == [(1, "[0]" * 900, "long", "5")]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.sources.tables import folder
-
 _ANY = "stringValue boolValue intValue doubleValue bytesValue kvlistValue.values.key"
 _POINT = "startTimeUnixNano timeUnixNano flags"
 #: Fixed field names of OTLP messages: the fields of each place, below it. @ stands for a place with an AnyValue, * for one with attributes.
@@ -39,30 +40,86 @@ def otlp_paths() -> set[str]:
     return out
 
 
+def _whole(s: str) -> tuple[str, str]:
+    return ("long", "0" if s == "-0" else s) if len(s) <= 18 else ("number", s)
+
+
+def _part(s: str) -> tuple[str, str]:
+    if len(s) > 30 or "e" in s or "E" in s:
+        return "number", s
+    s = s.rstrip("0").rstrip(".")
+    return "decimal", "0" if s == "-0" else s
+
+
+#: Numbers become (type, text) as Spark's variants have them; long ones and those with an exponent stay as written, for Spark to say. What follows a whole value is left alone, as by try_parse_json.
+_DECODER = json.JSONDecoder(parse_int=_whole, parse_float=_part, strict=False)
+
+
+def _walk(value) -> list[tuple[str, str, str | None]]:
+    """(path, type, text) of each leaf, with type number for what Spark still has to tell apart."""
+    out, left = [], [("", value)]
+    while left:
+        path, x = left.pop()
+        if isinstance(x, dict):
+            if not x:
+                out.append((path, "object", None))
+            left += [(f"{path}.{k}" if path else k, y) for k, y in x.items()]
+        elif isinstance(x, list):
+            if not x:
+                out.append((path, "array", None))
+            left += [(f"{path}[{i}]", y) for i, y in enumerate(x)]
+        elif x is None:
+            out.append((path, "null", None))
+        elif isinstance(x, bool):
+            out.append((path, "boolean", "true" if x else "false"))
+        else:
+            out.append((path, *x) if isinstance(x, tuple) else (path, "string", x))
+    return out
+
+
+def _arrow_texts(texts: list[str | None]) -> pa.Array:
+    try:
+        return pa.array(texts, pa.string())
+    except UnicodeEncodeError:  # half of a surrogate pair becomes ?, as in Spark
+        return pa.array([t if t is None else t.encode("utf-8", "replace").decode() for t in texts], pa.string())
+
+
+def _opened(batches):
+    """Batches of (_key, text as bytes, valid) as batches of leaves, of some ten thousand each."""
+    names = ["_key", "path", "type", "value"]
+    for b in batches:
+        rows, found = [], []
+
+        def flush(b=b):
+            columns = list(zip(*found)) if found else [()] * 3
+            return pa.RecordBatch.from_arrays([b["_key"].take(pa.array(rows, pa.int32())), _arrow_texts(columns[0]), pa.array(columns[1], pa.string()), _arrow_texts(columns[2])], names=names)
+
+        for i, (raw, valid) in enumerate(zip(b["text"], b["valid"].to_pylist())):
+            text = raw.as_py().decode("utf-8", "replace")
+            own = _walk(_DECODER.raw_decode(text, len(text) - len(text.lstrip(" \t\n\r")))[0]) if valid else [("", "invalid", text)]
+            found += own
+            rows += [i] * len(own)
+            if len(rows) >= 20_000:
+                yield flush()
+                rows, found = [], []
+        yield flush()
+
+
 def leaves(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, path, type, value): a row for each leaf of each row's JSON text, whatever its depth. Paths are like a.b[0].c; types are string, long, double, decimal,
     boolean, null, and object or array for empty ones.
 
     A text that is no JSON, or repeats a field of an object, has one row of type invalid; a null text has none. Null and repeated keys stay as they are.
-    Containers are opened level by level, all of a level at once without a shuffle; each level is a written table, so lost executors cost their own tasks."""
-    spark, at, v = rows.sparkSession, folder(rows.sparkSession, "leaves"), F.col("v")
-    level = rows.select(F.col(key).alias("_key"), F.lit("").alias("path"), F.try_parse_json(text).alias("v"), F.col(text).alias("raw")).where(F.col("raw").isNotNull())
-    level = level.withColumn("raw", F.when(v.isNull(), F.col("raw")))
-    depth, leaf = 0, F.col("pos").isNull()
-    while True:
-        step = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
-        opened = level.lateralJoin(spark.tvf.variant_explode_outer(v.outer()))  # what holds nothing comes once, without a place
-        opened = opened.select("_key", F.when(leaf, F.col("path")).otherwise(step).alias("path"), F.when(leaf, v).otherwise(F.col("value")).alias("v"), F.when(leaf, F.col("raw")).alias("raw"), leaf.alias("leaf"))
-        opened.write.parquet(f"{at}/level={depth}")
-        level = spark.read.schema(opened.schema).parquet(f"{at}/level={depth}").where("not leaf").drop("leaf")
-        if level.isEmpty():
-            break
-        depth += 1
-    found = spark.read.schema(opened.schema).parquet(at).where("leaf")
-    name = F.lower(F.regexp_extract(F.schema_of_variant(v), r"^\w+", 0))
-    found = found.withColumn("type", F.when(v.isNull(), "invalid").when(name == "void", "null").when(name == "bigint", "long").otherwise(name))
-    value = F.when(F.col("type") == "invalid", F.col("raw")).when(~F.col("type").isin("object", "array"), v.cast("string"))
-    return found.select(F.col("_key").alias(key), "path", "type", value.alias("value"))
+    One narrow stage: Spark says whether a text is JSON and what type an unusual number has, tasks walk the texts, so nothing is written on the way."""
+    kind = dict(rows.select(F.col(key).alias("_key")).dtypes)["_key"]
+    given = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text is not null").select("_key", F.col("_text").cast("binary").alias("text"), F.try_parse_json("_text").isNotNull().alias("valid"))
+    found = given.mapInArrow(_opened, f"_key {kind}, path string, type string, value string")
+    number = F.when(F.col("type") == "number", F.try_parse_json("value"))
+    name = F.lower(F.regexp_extract(F.schema_of_variant(number), r"^\w+", 0))
+    return found.select(
+        F.col("_key").alias(key), "path", F.when(F.col("type") != "number", F.col("type")).when(name == "bigint", "long").otherwise(name).alias("type"),
+        F.when(F.col("type") == "number", number.cast("string")).otherwise(F.col("value")).alias("value"),
+    )
 
 
 def unknown_fields(found: DataFrame, key: str, allowed: set[str]) -> DataFrame:

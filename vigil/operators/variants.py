@@ -131,7 +131,8 @@ def unknown_fields(found: DataFrame, key: str, allowed: set[str]) -> DataFrame:
     empty = F.col("type").isin("object", "array")
     lists = {f"{p.removesuffix('.stringValue')}.{x}" for p in allowed if p.endswith(".stringValue") for x in ("arrayValue", "kvlistValue")}
     ok = own.isin(*sorted(allowed)) & ~empty | empty & (own.isin(*sorted(allowed | above | lists)) | (own == "") & (F.col("type") == "object"))
-    return found.groupBy(key).agg(F.array_sort(F.collect_set(F.when(~ok, plain))).alias("unknown"))
+    each = found.select(key, F.when(~ok, plain).alias("_plain")).distinct()  # most leaves of a key become one row before they travel
+    return each.groupBy(key).agg(F.array_sort(F.collect_list("_plain")).alias("unknown"))
 
 
 def canonical_json(text: Column) -> Column:

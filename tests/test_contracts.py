@@ -123,3 +123,20 @@ def test_structure_and_places(spark):
     grades, missing = C.resolve_qrels(asked, chunks, ["path", "heading"])
     assert [tuple(r) for r in grades.collect()] == [("a", "c2", 2)]
     assert sorted((r.query_id, r.path or "", r.heading) for r in missing.collect()) == [("a", "", "h"), ("b", "p", "no")]
+
+
+def test_numbers_as_written_and_deep_values(spark):
+    """Whole numbers of any size are integers, decimals that differ after the digits of a double differ, and a value may lie deep."""
+    unique, deep = {"items": {"type": "integer"}, "uniqueItems": True}, "[" * 900 + "]" * 900
+    cases = [({"type": "integer"}, "18446744073709551616", []), ({"type": "integer"}, "-1e19", []), ({"type": "integer"}, "1e999", ["$: type"]), ({"type": "integer", "maximum": 9}, " 10.0 x", ["$: maximum"]),
+             (unique, "[1, 1.0]", ["$: uniqueItems"]), ({"const": [1.5]}, "[1.50]", []), ({"const": [0.5]}, "[0.50000000000000000000001]", ["$: const"]), ({"enum": [[1], "x"]}, '"y"', ["$: enum"]), ({"const": [[]]}, deep, ["$: const"]),
+             ({"enum": ["a", {"b": None}]}, '{"b":null}', []), ({"maxLength": 1, "pattern": r"^\p{Lu}"}, '"\\u00c9"', []), ({"additionalProperties": False}, '{"b":1,"a":[]}', ["$.a: additionalProperties", "$.b: additionalProperties"])]
+    for schema, text, want in cases:
+        rows = spark.createDataFrame([(text,)], "t string").repartition(1)
+        assert rows.select(C.schema_errors(schema, rows["t"])).first()[0] == want, (schema, text[:40])
+
+
+def test_a_message_is_read_once_outside_functions_of_higher_order(spark):
+    rows = spark.createDataFrame([("{}",)], "t string")
+    plan = rows.select(C.schema_errors(C.QUERY_RECORD, rows["t"]).alias("e")).selectExpr("size(e)", "array_join(e, ',')")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("pythonUDF1") == 0 and "variantget" not in plan.lower().replace("_", "")

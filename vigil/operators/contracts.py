@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import json
+import sys
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.operators.variants import _arrow_texts
+
 _TEXT, _COUNT = {"type": "string", "minLength": 1}, {"type": "integer", "minimum": 0}
 _OPEN = {"type": ["string", "null"]}
 
@@ -44,7 +49,6 @@ def inference_request(features: list[str], windows: int = 1000) -> dict:
 _NOTES = {"$schema", "$id", "$comment", "title", "description", "default", "examples"}
 _KNOWN = {"type", "const", "enum", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "uniqueItems", "minProperties", "maxProperties"} | {
     "minLength", "maxLength", "pattern", "format", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"}
-_OF_OBJECT, _OF_ARRAY = {"object", "required", "properties", "additionalProperties", "minProperties", "maxProperties"}, {"array", "items", "minItems", "maxItems", "uniqueItems"}
 _STAMP = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)\z"
 
 
@@ -63,105 +67,187 @@ def _plain(value):
     return [_plain(x) for x in value] if isinstance(value, list) else value
 
 
-def _bind(value: Column, body) -> Column:
-    """body of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+class _Written(float):
+    """A number that remembers its text."""
+
+    def __new__(cls, text):
+        made = super().__new__(cls, text)
+        made.text = text
+        return made
+
+
+def _text(v) -> str:
+    """A value as JSON with its numbers as they were written."""
+    if type(v) is dict:
+        return "{" + ",".join(f"{json.dumps(k)}:{_text(x)}" for k, x in v.items()) + "}"
+    if type(v) is list:
+        return "[" + ",".join(map(_text, v)) + "]"
+    return v.text if type(v) is _Written else json.dumps(v)
+
+
+_TYPES = {"null": [type(None)], "boolean": [bool], "integer": [int], "number": [int, float, _Written], "string": [str], "array": [list], "object": [dict]}
+_WHOLE = [float, _Written]
+_BOUNDS = {
+    "number": {"minimum": lambda b: lambda x: x < b, "maximum": lambda b: lambda x: x > b, "exclusiveMinimum": lambda b: lambda x: x <= b, "exclusiveMaximum": lambda b: lambda x: x >= b},
+    "string": {"minLength": lambda b: lambda x: len(x) < b, "maxLength": lambda b: lambda x: len(x) > b}, "array": {"minItems": lambda b: lambda x: len(x) < b, "maxItems": lambda b: lambda x: len(x) > b},
+    "object": {"minProperties": lambda b: lambda x: len(x) < b, "maxProperties": lambda b: lambda x: len(x) > b},
+}
+
+
+def _differs(kind: type, values: list):
+    """Whether a value of this type is none of these; lists and objects are left to Spark."""
+    if kind is str:
+        texts = frozenset(x for x in values if isinstance(x, str))
+        return lambda v: v not in texts
+    plain = [x for x in values if x is not None and not isinstance(x, (str, dict, list)) and isinstance(x, bool) == (kind is bool)]
+    return (lambda v: v not in plain) if kind in (bool, int, float, _Written) else lambda v: kind is not type(None) or None not in values
 
 
-def _same(v: Column, kind: Column, value) -> Column:
-    if value is None:
-        return kind == "null"
-    if isinstance(value, bool):
-        return (kind == "boolean") & F.coalesce(F.try_variant_get(v, "$", "boolean") == value, F.lit(False))
-    if isinstance(value, int):
-        return F.when(kind == "long", F.try_variant_get(v, "$", "long") == value).otherwise((kind == "number") & (F.try_variant_get(v, "$", "double") == float(value)))
-    if isinstance(value, float):
-        return kind.isin("long", "number") & (F.try_variant_get(v, "$", "double") == value)
-    if isinstance(value, str):
-        return (kind == "string") & (F.try_variant_get(v, "$", "string") == value)
-    return F.to_json(v) == json.dumps(_plain(value), separators=(",", ":"), sort_keys=True, ensure_ascii=False)
+def _never(word: str):
+    return {t: [(f": {word}", lambda x: True)] for ts in _TYPES.values() for t in ts}, {}
 
 
-def _errors(schema, v: Column, at: Column) -> Column:
-    """The failures of a value that is there, as an array of texts."""
+def _check(schema, asks: list[tuple]):
+    """(own, deep) by a value's type: pairs of ": keyword" and what breaks it, and a function of (value, path, failures) for what takes more. None where nothing can break.
+    Failures are (text, question, value's text). One with a question is one only if Spark finds so: asks gets these questions, as (keyword, its value), in the schema's order."""
     if schema is True or schema == {}:
-        return F.array().cast("array<string>")
+        return None
     if schema is False:
-        return F.array(F.concat(at, F.lit(": never")))
+        return _never("never")
     unknown = set(schema) - _KNOWN - _NOTES
     if unknown or schema.get("format", "date-time") != "date-time":
         raise ValueError(f"keywords that have no column: {sorted(unknown) or schema['format']}")
-    types = schema.get("type", [])
-    asked = set(schema) | {types} if isinstance(types, str) else set(schema) | set(types)
-    opened = F.struct(
-        v.alias("v"), (F.try_variant_get(v, "$", "map<string,variant>") if asked & _OF_OBJECT else F.lit(None).cast("map<string,variant>")).alias("f"),
-        (F.try_variant_get(v, "$", "array<variant>") if asked & _OF_ARRAY else F.lit(None).cast("array<variant>")).alias("i"),
-    )
-    # containers are known by what they open to, since the type of a container's text would be found from all that lies in it
-    kind = lambda s: F.when(s["f"].isNotNull(), "object").when(s["i"].isNotNull(), "array").otherwise(_kind(s["v"]))
-    return _bind(opened, lambda s: _bind(kind(s), lambda k: _keywords(schema, s, k, at)))
-
-
-def _keywords(schema: dict, opened: Column, kind: Column, at: Column) -> Column:
-    v, fields, items = opened["v"], opened["f"], opened["i"]
-    number, text = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
-    own: list[tuple[str, Column]] = []  # a keyword and whether the value breaks it; null where the keyword isn't about such values
+    own, asked = {t: [] for ts in _TYPES.values() for t in ts}, {t: [] for t in (str, list, dict)}
     if "type" in schema:
         names = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
-        whole = (kind == "long") | (kind == "number") & (number == F.floor(number)) & (F.abs(number) < float("inf"))
-        fits = {"number": kind.isin("long", "number"), "integer": whole}
-        ok = F.lit(False)
-        for n in names:
-            ok = ok | fits.get(n, kind == n)
-        own.append(("type", ~F.coalesce(ok, F.lit(False))))
-    if "const" in schema:
-        own.append(("const", ~F.coalesce(_same(v, kind, schema["const"]), F.lit(False))))
-    if "enum" in schema:
-        ok = F.lit(False)
-        for x in schema["enum"]:
-            ok = ok | F.coalesce(_same(v, kind, x), F.lit(False))
-        own.append(("enum", ~ok))
-    for word, broken in (("minimum", lambda x, b: x < b), ("maximum", lambda x, b: x > b), ("exclusiveMinimum", lambda x, b: x <= b), ("exclusiveMaximum", lambda x, b: x >= b)):
+        for t in own.keys() - {t for n in names for t in _TYPES[n]}:
+            own[t].append((": type", (lambda x: not x.is_integer()) if t in _WHOLE and "integer" in names else lambda x: True))
+
+    def ask(kinds, word, value):
+        for t in kinds:
+            asked[t].append((f": {word}", len(asks)))
+        asks.append((word, value))
+
+    for word, values in (("const", [schema.get("const")]), ("enum", schema.get("enum"))):
         if word in schema:
-            b = F.lit(schema[word])
-            own.append((word, F.when(kind == "long", broken(F.try_variant_get(v, "$", "long"), b)).when(kind == "number", broken(number, b))))
-    of_text = {"minLength": lambda b: F.length(text) < b, "maxLength": lambda b: F.length(text) > b, "pattern": lambda b: ~F.rlike(text, F.lit(b)),
-               "format": lambda b: ~F.rlike(text, F.lit(_STAMP)) | F.try_to_timestamp(F.concat(F.substring(text, 1, 10), F.lit(" "), F.substring(text, 12, 8)), F.lit("yyyy-MM-dd HH:mm:ss")).isNull()}
-    alike = F.transform(items, lambda x: F.coalesce(F.when(_kind(x).isin("long", "number"), F.try_variant_get(x, "$", "double").cast("string")), F.to_json(x)))
-    of_list = {"minItems": lambda b: F.size(items) < b, "maxItems": lambda b: F.size(items) > b, "uniqueItems": lambda b: F.lit(b) & (F.size(F.array_distinct(alike)) < F.size(items))}
-    of_object = {"minProperties": lambda b: F.size(fields) < b, "maxProperties": lambda b: F.size(fields) > b}
-    for words, name in ((of_text, "string"), (of_list, "array"), (of_object, "object")):
-        own += [(w, F.when(kind == name, f(schema[w]))) for w, f in words.items() if w in schema]
-    parts = [F.array_compact(F.array(*(F.when(bad, F.concat(at, F.lit(f": {w}"))) for w, bad in own)))] if own else []
-    named = schema.get("properties", {})
-    child = lambda n: F.try_element_at(fields, F.lit(n))
-    below = lambda n: F.concat(at, F.lit(f".{n}"))
-    if schema.get("required"):
-        parts.append(F.when(kind == "object", F.array_compact(F.array(*(F.when(child(n).isNull(), F.concat(below(n), F.lit(": required"))) for n in schema["required"])))))
-    parts += [F.when((kind == "object") & child(n).isNotNull(), _errors(sub, child(n), below(n))) for n, sub in named.items() if sub not in ({}, True)]
+            deep = [x for x in values if isinstance(x, (dict, list))]
+            for t in own:
+                if not deep or t not in (dict, list):
+                    own[t].append((f": {word}", _differs(t, values)))
+            if deep:
+                ask((dict, list), word, deep)
+    for kind, words in _BOUNDS.items():
+        for word in words.keys() & schema.keys():
+            for t in _TYPES[kind]:
+                own[t].append((f": {word}", words[word](schema[word])))
+    for word in ("pattern", "format"):
+        if word in schema:
+            ask([str], word, schema[word])
+    if schema.get("uniqueItems"):
+        ask([list], "uniqueItems", True)
+    required, named = schema.get("required", []), {n: _check(sub, asks) for n, sub in schema.get("properties", {}).items()}
     more = schema.get("additionalProperties", True)
-    if more not in ({}, True):
-        others = F.map_entries(fields)
-        if named:
-            others = F.filter(others, lambda e: ~e["key"].isin(*named))
-        here = lambda e: F.concat(at, F.lit("."), e["key"])
-        listed = F.transform(others, lambda e: F.concat(here(e), F.lit(": additionalProperties"))) if more is False else F.flatten(F.transform(others, lambda e: _errors(more, e["value"], here(e))))
-        parts.append(F.when(kind == "object", listed))
-    if schema.get("items", True) not in ({}, True):
-        spot = lambda i: F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))
-        parts.append(F.when(kind == "array", F.flatten(F.transform(items, lambda x, i: _errors(schema["items"], x, spot(i))))))
-    none = F.array().cast("array<string>")
-    return F.concat(*(F.coalesce(p, none) for p in parts)) if parts else none
+    other = _never("additionalProperties") if more is False else _check(more, asks)
+    items = _check(schema.get("items", True), asks)
+
+    def ask_spark(v, at, out):
+        for word, number in asked[type(v)]:
+            out.append((at + word, number, v if type(v) is str else _text(v)))
+
+    def fields(v, at, out):
+        ask_spark(v, at, out)
+        for n in required:
+            if n not in v:
+                out.append((f"{at}.{n}: required", None, None))
+        for n, x in v.items():
+            if (below := named.get(n, other)) is not None:
+                own, deep = below
+                t = type(x)
+                for word, broken in own[t]:
+                    if broken(x):
+                        out.append((f"{at}.{n}{word}", None, None))
+                if t in deep:
+                    deep[t](x, f"{at}.{n}", out)
+
+    def places(v, at, out):
+        ask_spark(v, at, out)
+        if items is not None:
+            own, deep = items
+            for i, x in enumerate(v):
+                t = type(x)
+                for word, broken in own[t]:
+                    if broken(x):
+                        out.append((f"{at}[{i}]{word}", None, None))
+                if t in deep:
+                    deep[t](x, f"{at}[{i}]", out)
+
+    return own, {dict: fields, list: places} | ({str: ask_spark} if asked[str] else {})
+
+
+def _found(schema):
+    """The task's part: batches of texts, and whether each is JSON, as lists of (failure, question, text)."""
+    kind = pa.list_(pa.struct([("failure", pa.string()), ("question", pa.int32()), ("text", pa.string())]))
+
+    def found(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        asks: list[tuple] = []
+        rule = _check(schema, asks)
+        exact = {"parse_float": _Written} if any(w not in ("pattern", "format") for w, _ in asks) else {}
+        decoder = json.JSONDecoder(strict=False, **exact)
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))  # JSON may lie 1,000 deep
+        sys.set_int_max_str_digits(0)
+        for texts, valid in batches:
+            out, ends = [], [0]
+            for raw, ok in zip(texts.to_pylist(), valid.to_pylist()):
+                if ok:
+                    text = raw.decode("utf-8", "replace")
+                    value = decoder.raw_decode(text, len(text) - len(text.lstrip(" \t\n\r")))[0]
+                    if rule is not None:
+                        own, deep = rule
+                        out += ((f"${word}", None, None) for word, broken in own[type(value)] if broken(value))
+                        if type(value) in deep:
+                            deep[type(value)](value, "$", out)
+                else:
+                    out.append(("$: json", None, None))
+                ends.append(len(out))
+            failures, questions, values = zip(*out) if out else ((), (), ())
+            each = pa.StructArray.from_arrays([_arrow_texts(failures), pa.array(questions, pa.int32()), _arrow_texts(values)], fields=list(kind.value_type))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+
+    return found
+
+
+def _breaks(word: str, value, text: Column) -> Column:
+    """The answer to a question."""
+    if word == "pattern":
+        return ~F.rlike(text, F.lit(value))
+    if word == "format":
+        return ~F.rlike(text, F.lit(_STAMP)) | F.try_to_timestamp(F.concat(F.substring(text, 1, 10), F.lit(" "), F.substring(text, 12, 8)), F.lit("yyyy-MM-dd HH:mm:ss")).isNull()
+    v = F.try_parse_json(text)
+    if word == "uniqueItems":
+        items = F.try_variant_get(v, "$", "array<variant>")
+        alike = F.transform(items, lambda x: F.coalesce(F.when(_kind(x).isin("long", "number"), F.try_variant_get(x, "$", "double").cast("string")), F.to_json(x)))
+        return F.size(F.array_distinct(alike)) < F.size(items)
+    return ~F.to_json(v).isin(*(json.dumps(_plain(x), separators=(",", ":"), sort_keys=True, ensure_ascii=False) for x in value))
 
 
 def schema_errors(schema: dict, text: Column) -> Column:
     """All failures of a JSON text against a JSON Schema, as sorted texts like "$.source.offset: minimum"; empty for a valid one.
 
-    One column without a UDF: the schema is walked when the column is built. Keywords are those of _KNOWN and format date-time, which needs a real date and no leap
-    second; others raise an error here instead of passing unseen. Lengths count code points; a pattern is searched for, as Java reads it. 1 and 1.0 are equal;
-    inside lists and objects of const, enum and uniqueItems texts are compared instead. What is no JSON, null or repeats a field fails with "$: json"."""
-    found = F.transform(F.array(F.try_parse_json(text)), lambda v: F.when(v.isNull(), F.array(F.lit("$: json"))).otherwise(F.array_sort(_errors(schema, v, F.lit("$")))))
-    return found[0]
+    Spark says whether a text is JSON, tasks walk the texts on Arrow batches, and what depends on Java's texts, patterns and dates is asked of Spark again. Keywords are those
+    of _KNOWN and format date-time, which needs a real date and no leap second; others raise an error here instead of passing unseen. Lengths count code points; a pattern is
+    searched for, as Java reads it. 1 and 1.0 are equal, and whole numbers of any size are integers; inside lists and objects of const, enum and uniqueItems texts are
+    compared instead. What is no JSON, null or repeats a field fails with "$: json"."""
+    asks: list[tuple] = []
+    _check(schema, asks)
+    found = F.arrow_udf(_found(schema), "array<struct<failure: string, question: int, text: string>>")(text.cast("binary"), F.try_parse_json(text).isNotNull())
+
+    def stands(e):
+        answer = F.when(e["question"].isNull(), True)
+        for i, (word, value) in enumerate(asks):
+            answer = answer.when(e["question"] == i, _breaks(word, value, e["text"]))
+        return F.coalesce(answer, F.lit(False))
+
+    return F.sort_array((F.filter(found, stands) if asks else found)["failure"])
 
 
 def request_errors(features: list[str], text: Column, most: int = 1000) -> Column:

@@ -107,6 +107,38 @@ def test_what_the_watermark_has_not_passed_waits(spark, tmp_path):
     assert [(x[0], x[1], x[3]) for x in outcomes(spark, base)] == [(1, 1, "APPLIED"), (1, 2, "APPLIED"), (2, 3, "UNKNOWN_INCIDENT")]
 
 
+def test_incidents_of_one_group(spark, tmp_path):
+    """All incidents share one group's state, in more than one piece of text; one has no key; texts and numbers stay as they are, also beyond the years that pandas can hold."""
+    r, base, n = random.Random(3), f"file://{tmp_path}", [None] * 4
+    odd = ['a "b"\n\\', "\u2028 \U0001f600", "\t", "x\u0000y", None]
+    rows = [(r.choice([None, 1, 2, 2**60 + 1]), i * HOUR // 100 + 1, 2**60 + i, r.choice(["CREATE", "UPDATE", "UPDATE", "NOTE"]), None, r.choice([None, None, i % 90]), r.choice(odd), r.choice(odd), *n, r.choice(odd)) for i in range(3500)]
+    rows += [(1, 330 * 365 * 24 * HOUR, 7, "NOTE", *[None] * 9)]
+    L.with_keyed_state(spark)
+    feed(spark, f"{base}/in", [rows[:2600], [*rows[2600:], *far(331 * 365 * 24 * HOUR)]])
+    out = L.lifecycle_stream(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), "incident", "1 hour", groups=1)
+    streams.run_available(out, f"{base}/out", f"{base}/state")
+    plain = lambda table: sorted(map(tuple, table.collect()), key=lambda x: x[2])
+    got = plain(spark.read.schema(out.schema).parquet(f"{base}/out"))
+    assert got == plain(L.lifecycle_table(spark.createDataFrame(rows, SCHEMA), "incident")) and len(got) == 3501
+
+
+def test_many_files_of_a_slice(spark, tmp_path):
+    """Sixty files, each over all times: a slice has more files than three batches once took, and none of its commands comes too late."""
+    spark.read.parquet(f"{DIR}/events.parquet").repartition(60).write.parquet(f"{tmp_path}/events.parquet")
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.streaming.noDataMicroBatches.enabled")
+    before = [spark.conf.get(x) for x in sizes]
+    spark.conf.set(sizes[0], "1k")
+    try:
+        assert streams.commands(spark, str(tmp_path)).rdd.getNumPartitions() >= 60
+        got = streams.incident_stream(spark, str(tmp_path))
+        names = got.columns
+        got = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.set(sizes[0], before[0])
+    assert got == sorted(map(tuple, L.lifecycle_table(streams.commands(spark, DIR), "incident").select(*names).collect()))
+    assert len(got) == 1000 and spark.conf.get(sizes[1]) == before[1]
+
+
 def test_empty_tables(spark):
     assert L.lifecycle_table(spark.createDataFrame([], SCHEMA), "incident").count() == 0
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +35,23 @@ def commands(spark, d) -> DataFrame:
     )
 
 
-def write_slices(rows: DataFrame, at: str, place: str, slices: int, far: DataFrame) -> None:
-    """A table as files for a stream, by time; the last file holds what moves the watermark beyond everything. Equal slices of time, not of rows."""
-    low, high = rows.agg(F.min(at), F.max(at)).first()
-    if low is None:
-        low = high = 0
-    width = (high - low) // slices + 1
-    for i in range(slices):
-        rows.where(F.floor((F.col(at) - low) / width) == i).write.mode("append").parquet(place)
-    far.coalesce(1).write.mode("append").parquet(place)
+def run_slices(rows: DataFrame, at: str, place: str, bounds: tuple[int, int], slices: int, far: DataFrame, made: Callable[[DataFrame], DataFrame], outcomes: str, checkpoint: str) -> DataFrame:
+    """A table as files for a stream, by time; with the last come those that move the watermark beyond everything. Equal slices of time, not of rows. Each slice is taken up by a
+    run of its own once all its files are there, so it is one batch however many they are, and none of it can come after a watermark of later files. What `made` makes of the stream, as a table."""
+    spark, (low, high) = rows.sparkSession, bounds
+    width, empty_batches = (high - low) // slices + 1, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty_batches)
+    try:
+        for i in range(slices):
+            rows.where(F.floor((F.col(at) - low) / width) == i).write.mode("append").parquet(place)
+            if i == slices - 1:
+                far.coalesce(1).write.mode("append").parquet(place)
+            spark.conf.set(empty_batches, str(i == slices - 1).lower())  # what a slice makes due is done with the next one
+            out = made(spark.readStream.schema(rows.schema).parquet(place))
+            run_available(out, outcomes, checkpoint)
+    finally:
+        spark.conf.set(empty_batches, before)
+    return spark.read.schema(out.schema).parquet(outcomes)
 
 
 def run_available(out: DataFrame, place: str, checkpoint: str, mode: str = "append") -> None:
@@ -67,13 +77,12 @@ def incident_stream(spark, d):
     """Incidents as keyed state of a file stream of four slices and a last row that moves the watermark beyond them; the same as a recursive fold of the whole table."""
     lifecycle.with_keyed_state(spark)
     made, at = commands(spark, d), folder(spark, "incidents")
+    low, high, n = made.agg(F.coalesce(F.min("at_us"), F.lit(0)), F.coalesce(F.max("at_us"), F.lit(0)), F.count("*")).first()
     nothing = [F.lit(None).cast(kind).alias(c) for c, kind in made.dtypes if c not in ("incident", "at_us")]
-    far = made.agg((F.coalesce(F.max("at_us"), F.lit(0)) + 2 * 3_600_000_000).alias("at_us")).select(F.lit(None).cast("long").alias("incident"), "at_us", *nothing).select(*made.columns)
-    write_slices(made, "at_us", f"{at}/commands", 4, far)
-    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 16).parquet(f"{at}/commands")
-    out = lifecycle.lifecycle_stream(stream, "incident", "1 hour")
-    run_available(out, f"{at}/outcomes", f"{at}/state")
-    return spark.read.schema(out.schema).parquet(f"{at}/outcomes").select("incident", "seq", "outcome", "entries", "message", "status", "version", "resolved_us", "closed_us", "owner", "root_cause", "remediation")
+    far = spark.range(1).select(F.lit(None).cast("long").alias("incident"), F.lit(high + 2 * 3_600_000_000).alias("at_us"), *nothing).select(*made.columns)
+    live = lambda stream: lifecycle.lifecycle_stream(stream, "incident", "1 hour", groups=max(64, n // 4096))
+    out = run_slices(made, "at_us", f"{at}/commands", (low, high), 4, far, live, f"{at}/outcomes", f"{at}/state")
+    return out.select("incident", "seq", "outcome", "entries", "message", "status", "version", "resolved_us", "closed_us", "owner", "root_cause", "remediation")
 
 
 _RAW_SQL = """raw AS (SELECT event_id AS o, props, (props::JSON->>'k')::INT AS k, floor(value)::BIGINT AS v, 'svc-' || (user_id % 10) AS svc, ['metrics','logs','traces','profiles','metrics'][list_position(['click','view','error','signup','purchase'], event_type)] AS s FROM events WHERE event_type IS NOT NULL),

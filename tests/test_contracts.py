@@ -1,8 +1,11 @@
 import json
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vigil.operators import contracts as C
 
@@ -140,3 +143,61 @@ def test_a_message_is_read_once_outside_functions_of_higher_order(spark):
     rows = spark.createDataFrame([("{}",)], "t string")
     plan = rows.select(C.schema_errors(C.QUERY_RECORD, rows["t"]).alias("e")).selectExpr("size(e)", "array_join(e, ',')")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.count("pythonUDF1") == 0 and "variantget" not in plan.lower().replace("_", "")
+
+
+def request(windows):
+    return {"schema_version": "ml_inference_v1", "feature_schema_version": 1, "input_id": "i", "feature_names": ["a", "b"], "windows": windows}
+
+
+def window(i, start="2024-01-01T00:00:00Z", end="2024-01-01T00:00:10Z"):
+    return {"window_id": i, "service_name": "s", "window_start_utc": start, "window_end_utc": end, "values": [1.5, None]}
+
+
+def batch(messages, n):
+    text = json.dumps(request([window(f"w{i}") for i in range(n)])).encode()
+    return pa.array([text] * messages, pa.binary()), pa.array([True] * messages)
+
+
+def test_a_task_opens_a_part_of_its_batch():
+    """What a task holds doesn't grow with the bytes of a batch, and plain times leave no question for each window."""
+    peaks = []
+    for messages in (64, 320):  # of some 60 kB
+        given = batch(messages, 400)
+        tracemalloc.start()
+        answers = sum((list(map(len, part.to_pylist())) for part in C._found(C.inference_request(["a", "b"]))(iter([given]))), [])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert answers == [1] * messages  # the names
+    assert peaks[1] < 2 * peaks[0], peaks
+
+
+def test_parts_of_a_batch_keep_its_rows(monkeypatch):
+    monkeypatch.setattr(C, "_OPENED", 20)
+    texts = [None, b"1", b"2" * 50, b'"x"', b"3" * 12, b"4" * 8, b"", b"5" * 21]
+    parts = [x.to_pylist() for x, _ in C._slices(pa.array(texts, pa.binary()), pa.array([x is not None for x in texts]))]
+    assert sum(parts, []) == texts and all(len(x) == 1 or sum(len(t or b"") for t in x) <= 20 for x in parts) and len(parts) == 5
+    assert [(len(x), len(ok)) for x, ok in C._slices(pa.array([], pa.binary()), pa.array([], pa.bool_()))] == [(0, 0)]
+
+
+def test_date_times_are_those_that_spark_reads(spark):
+    r = random.Random(2)
+    texts = ["%04d-%02d-%02dT%02d:%02d:%02d%s" % (r.choice([0, 4, 100, 1582, 1900, 2000, 2023, 2024, 9999]), r.choice([0, 1, 2, 2, 4, 12, 13]), r.choice([0, 1, 28, 29, 30, 31, 32]), r.choice([0, 23, 24]), r.choice([0, 59, 60]), r.choice([0, 59, 60]), r.choice(["Z", "z", ".5Z", "+23:59", "+24:00", ""])) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "2024-02-29T00:00:00Z", "2024-01-01T00:00:00Z\n", "٢٠٢٤-01-01T00:00:00Z", "12024-01-01T00:00:00Z", "2024-01-01t00:00:00.Z"]], "t string")
+    form = F.rlike("t", F.lit(r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)\z"))
+    read = F.try_to_timestamp(F.concat(F.substring("t", 1, 10), F.lit(" "), F.substring("t", 12, 8)), F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull()
+    got = [(x.t, x.ok) for x in rows.select("t", (form & read).alias("ok")).collect()]
+    assert {ok for _, ok in got} == {True, False} and [x for x in got if C._real(x[0]) != x[1]] == []
+
+
+def test_windows_of_requests(spark):
+    """Ids and times are compared as Spark casts them."""
+    same, order = ["$.windows: window_id"], ["$.windows[0]: window_order"]
+    early, late = "2024-01-01T00:00:00Z", "2024-01-01T00:00:10Z"
+    cases = [([window("a"), window("b")], []), ([window("a"), window("a")], same), ([window("\ud800"), window("?")], same), ([window("a", late, early)], order), ([window("a", early, early)], order),
+             ([window("a", "2024-01-01T00:00:10.5Z", "2024-01-01T00:00:10.50Z")], order), ([window("a", "2024-01-01T00:00:10.5Z", "2024-01-01T00:00:10.500001Z")], []), ([window("a", "2024-01-01T00:00:00+00:00", "2024-01-01T00:00:00-00:00")], order),
+             ([window("a", "2024-01-01T00:00:00+02:00", "2023-12-31T23:00:00Z")], []), ([window("a", late, "2024-01-01T05:00:00+05:00")], order), ([window("a", late, "2023-02-29T00:00:00Z")], ["$.windows[0].window_end_utc: format"]),
+             ([window("a", late, "2024")], ["$.windows[0].window_end_utc: format", *order]), ([window("a", late, 2024)], ["$.windows[0].window_end_utc: type", *order])]
+    cases += [([window(1), window("1")], [*same, "$.windows[0].window_id: type"]), ([window(1.0), window(True)], ["$.windows[0].window_id: type", "$.windows[1].window_id: type"]), ([None, 3], [*same, "$.windows[0]: type", "$.windows[1]: type"]), ({}, ["$.windows: type"]), ([], ["$.windows: minItems"])]
+    rows = spark.createDataFrame([(i, json.dumps(request(w))) for i, (w, _) in enumerate(cases)] + [(len(cases), "{"), (len(cases) + 1, None), (len(cases) + 2, "[]")], "i int, t string")
+    got = [x.e for x in rows.select("i", C.request_errors(["a", "b"], rows["t"]).alias("e")).orderBy("i").collect()]
+    assert got == [want for _, want in cases] + [["$: json"], ["$: json"], ["$: type"]]

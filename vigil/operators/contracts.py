@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,11 @@ def inference_request(features: list[str], windows: int = 1000) -> dict:
 _NOTES = {"$schema", "$id", "$comment", "title", "description", "default", "examples"}
 _KNOWN = {"type", "const", "enum", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "uniqueItems", "minProperties", "maxProperties"} | {
     "minLength", "maxLength", "pattern", "format", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"}
-_STAMP = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)\z"
+_STAMP = re.compile(r"(\d{4})-(\d\d)-(\d\d)[Tt](\d\d):(\d\d):(\d\d)(?:\.\d+)?(?:[Zz]|[+-](?:[01]\d|2[0-3]):[0-5]\d)", re.ASCII).fullmatch
+_UTC = re.compile(r"[1-9]\d{3}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.(\d{1,6}))?Z", re.ASCII).fullmatch
+_DAYS = (0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+#: Bytes of messages that a task opens at a time; a larger message is opened alone.
+_OPENED = 1 << 22
 
 
 def _kind(v: Column) -> Column:
@@ -103,6 +109,16 @@ def _differs(kind: type, values: list):
     return (lambda v: v not in plain) if kind in (bool, int, float, _Written) else lambda v: kind is not type(None) or None not in values
 
 
+def _real(text: str) -> bool:
+    """Whether a text is a date-time with a real date, no leap second."""
+    if not (m := _STAMP(text)):
+        return False
+    year, month, day, hour, minute, second = map(int, m.groups())
+    if not 1 <= month <= 12 or hour > 23 or minute > 59 or second > 59:
+        return False
+    return 1 <= day <= _DAYS[month] + (month == 2 and year % 4 == 0 and (year % 100 != 0 or year % 400 == 0))
+
+
 def _never(word: str):
     return {t: [(f": {word}", lambda x: True)] for ts in _TYPES.values() for t in ts}, {}
 
@@ -140,9 +156,10 @@ def _check(schema, asks: list[tuple]):
         for word in words.keys() & schema.keys():
             for t in _TYPES[kind]:
                 own[t].append((f": {word}", words[word](schema[word])))
-    for word in ("pattern", "format"):
-        if word in schema:
-            ask([str], word, schema[word])
+    if "pattern" in schema:
+        ask([str], "pattern", schema["pattern"])
+    if "format" in schema:
+        own[str].append((": format", lambda x: not _real(x)))
     if schema.get("uniqueItems"):
         ask([list], "uniqueItems", True)
     required, named = schema.get("required", []), {n: _check(sub, asks) for n, sub in schema.get("properties", {}).items()}
@@ -184,28 +201,74 @@ def _check(schema, asks: list[tuple]):
     return own, {dict: fields, list: places} | ({str: ask_spark} if asked[str] else {})
 
 
-def _found(schema):
-    """The task's part: batches of texts, and whether each is JSON, as lists of (failure, question, text)."""
+def _windows(asks: list[tuple]):
+    """A function of (request, failures) for what its windows need beside the contract: ids that differ, and ends after starts. Failures and asks are as in _check."""
+    ids, order = len(asks), len(asks) + 1
+    asks += [("window_id", None), ("window_order", None)]
+
+    def moment(x):
+        """What sorts as the time does; None where Spark has to read it."""
+        m = _UTC(x) if type(x) is str else None
+        return x[:19] + (m[1] or "").ljust(6, "0") if m and _real(x) else None
+
+    def rules(v, out):
+        windows = v.get("windows") if type(v) is dict else None
+        if type(windows) is not list:
+            return
+        named = [w.get("window_id") if type(w) is dict else None for w in windows]
+        if not all(x is None or type(x) is str for x in named):
+            out.append(("$.windows: window_id", ids, _text(named)))
+        elif len({x if x is None else x.encode("utf-8", "replace") for x in named}) < len(named):  # half of a surrogate pair is ?, as in Spark
+            out.append(("$.windows: window_id", None, None))
+        for i, w in enumerate(windows):
+            start, end = (w.get("window_start_utc"), w.get("window_end_utc")) if type(w) is dict else (None, None)
+            if start is None or end is None:
+                continue
+            a, b = moment(start), moment(end)
+            if a is None or b is None:
+                out.append((f"$.windows[{i}]: window_order", order, _text([start, end])))
+            elif b <= a:
+                out.append((f"$.windows[{i}]: window_order", None, None))
+
+    return rules
+
+
+def _slices(texts: pa.Array, valid: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """A batch in parts of _OPENED bytes, or one text."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > start and size + (n or 0) > _OPENED:
+            yield texts.slice(start, i - start), valid.slice(start, i - start)
+            start, size = i, 0
+        size += n or 0
+    yield texts.slice(start), valid.slice(start)
+
+
+def _found(schema, more=None):
+    """The task's part: batches of texts, and whether each is JSON, as lists of (failure, question, text). What a message becomes in Python is many times its bytes, so only a
+    part of a batch is opened at a time. more: like _windows."""
     kind = pa.list_(pa.struct([("failure", pa.string()), ("question", pa.int32()), ("text", pa.string())]))
 
     def found(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         asks: list[tuple] = []
-        rule = _check(schema, asks)
-        exact = {"parse_float": _Written} if any(w not in ("pattern", "format") for w, _ in asks) else {}
+        rule, rules = _check(schema, asks), more(asks) if more else None
+        exact = {"parse_float": _Written} if any(w != "pattern" for w, _ in asks) else {}
         decoder = json.JSONDecoder(strict=False, **exact)
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))  # JSON may lie 1,000 deep
         sys.set_int_max_str_digits(0)
-        for texts, valid in batches:
+        for texts, valid in (part for batch in batches for part in _slices(*batch)):
             out, ends = [], [0]
-            for raw, ok in zip(texts.to_pylist(), valid.to_pylist()):
+            for raw, ok in zip(texts, valid.to_pylist()):
                 if ok:
-                    text = raw.decode("utf-8", "replace")
+                    text = raw.as_py().decode("utf-8", "replace")
                     value = decoder.raw_decode(text, len(text) - len(text.lstrip(" \t\n\r")))[0]
                     if rule is not None:
                         own, deep = rule
                         out += ((f"${word}", None, None) for word, broken in own[type(value)] if broken(value))
                         if type(value) in deep:
                             deep[type(value)](value, "$", out)
+                    if rules is not None:
+                        rules(value, out)
                 else:
                     out.append(("$: json", None, None))
                 ends.append(len(out))
@@ -220,9 +283,13 @@ def _breaks(word: str, value, text: Column) -> Column:
     """The answer to a question."""
     if word == "pattern":
         return ~F.rlike(text, F.lit(value))
-    if word == "format":
-        return ~F.rlike(text, F.lit(_STAMP)) | F.try_to_timestamp(F.concat(F.substring(text, 1, 10), F.lit(" "), F.substring(text, 12, 8)), F.lit("yyyy-MM-dd HH:mm:ss")).isNull()
     v = F.try_parse_json(text)
+    if word == "window_id":
+        ids = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.try_variant_get(x, "$", "string"))
+        return F.size(F.array_distinct(ids)) < F.size(ids)
+    if word == "window_order":
+        start, end = (F.try_to_timestamp(F.try_variant_get(v, f"$[{i}]", "string")) for i in (0, 1))
+        return end <= start
     if word == "uniqueItems":
         items = F.try_variant_get(v, "$", "array<variant>")
         alike = F.transform(items, lambda x: F.coalesce(F.when(_kind(x).isin("long", "number"), F.try_variant_get(x, "$", "double").cast("string")), F.to_json(x)))
@@ -230,16 +297,12 @@ def _breaks(word: str, value, text: Column) -> Column:
     return ~F.to_json(v).isin(*(json.dumps(_plain(x), separators=(",", ":"), sort_keys=True, ensure_ascii=False) for x in value))
 
 
-def schema_errors(schema: dict, text: Column) -> Column:
-    """All failures of a JSON text against a JSON Schema, as sorted texts like "$.source.offset: minimum"; empty for a valid one.
-
-    Spark says whether a text is JSON, tasks walk the texts on Arrow batches, and what depends on Java's texts, patterns and dates is asked of Spark again. Keywords are those
-    of _KNOWN and format date-time, which needs a real date and no leap second; others raise an error here instead of passing unseen. Lengths count code points; a pattern is
-    searched for, as Java reads it. 1 and 1.0 are equal, and whole numbers of any size are integers; inside lists and objects of const, enum and uniqueItems texts are
-    compared instead. What is no JSON, null or repeats a field fails with "$: json"."""
+def _errors(schema: dict, text: Column, more=None) -> Column:
     asks: list[tuple] = []
     _check(schema, asks)
-    found = F.arrow_udf(_found(schema), "array<struct<failure: string, question: int, text: string>>")(text.cast("binary"), F.try_parse_json(text).isNotNull())
+    if more:
+        more(asks)
+    found = F.arrow_udf(_found(schema, more), "array<struct<failure: string, question: int, text: string>>")(text.cast("binary"), F.try_parse_json(text).isNotNull())
 
     def stands(e):
         answer = F.when(e["question"].isNull(), True)
@@ -250,15 +313,20 @@ def schema_errors(schema: dict, text: Column) -> Column:
     return F.sort_array((F.filter(found, stands) if asks else found)["failure"])
 
 
+def schema_errors(schema: dict, text: Column) -> Column:
+    """All failures of a JSON text against a JSON Schema, as sorted texts like "$.source.offset: minimum"; empty for a valid one.
+
+    Spark says whether a text is JSON, tasks walk the texts on Arrow batches, and what depends on Java's texts and patterns is asked of Spark again. Keywords are those
+    of _KNOWN and format date-time, which needs a real date and no leap second; others raise an error here instead of passing unseen. Lengths count code points; a pattern is
+    searched for, as Java reads it. 1 and 1.0 are equal, and whole numbers of any size are integers; inside lists and objects of const, enum and uniqueItems texts are
+    compared instead. What is no JSON, null or repeats a field fails with "$: json"."""
+    return _errors(schema, text)
+
+
 def request_errors(features: list[str], text: Column, most: int = 1000) -> Column:
-    """Failures of a request to score windows: those of its contract, ids that repeat, and windows that end at or before their start."""
-    windows = F.try_variant_get(F.try_parse_json(text), "$.windows", "array<variant>")
-    ids = F.transform(windows, lambda w: F.try_variant_get(w, "$.window_id", "string"))
-    stamp = lambda w, f: F.try_to_timestamp(F.try_variant_get(w, f"$.{f}", "string"))
-    late = F.transform(windows, lambda w, i: F.when(stamp(w, "window_end_utc") <= stamp(w, "window_start_utc"), F.concat(F.lit("$.windows["), i.cast("string"), F.lit("]: window_order"))))
-    extra = F.array_append(late, F.when(F.size(F.array_distinct(ids)) < F.size(ids), F.lit("$.windows: window_id")))
-    none = F.array().cast("array<string>")
-    return F.array_sort(F.concat(schema_errors(inference_request(features, most), text), F.coalesce(F.filter(extra, lambda x: x.isNotNull()), none)))
+    """Failures of a request to score windows: those of its contract, ids that repeat, and windows that end at or before their start. Times that aren't plain UTC, and ids that
+    aren't texts, are compared as Spark casts them."""
+    return _errors(inference_request(features, most), text, _windows)
 
 
 def structure_checks(queries: DataFrame, qrels: DataFrame, by: dict[str, dict[str, int]], within: tuple[str, str, dict[str, dict[str, int]]] | None = None) -> DataFrame:

@@ -72,13 +72,17 @@ def outgoing_contract(spark, d):
 SELECT u.user_id, coalesce(string_agg(e, ',' ORDER BY e), '') AS errors FROM (SELECT DISTINCT user_id FROM w) u LEFT JOIN e ON e.user_id = u.user_id GROUP BY u.user_id""")
 def request_contract(spark, d):
     """A scoring request for each user with a window for each event: names in order, widths, finite values, unique ids and ends after starts. A request is one message, so its windows meet."""
-    q, v, t = F.lit, F.floor("value"), F.col("event_type")
-    values = F.when(t == "error", q("[1.5]")).when(t == "view", q('[1,"NaN"]')).otherwise(F.concat(q("["), F.col("value").cast("string"), q(",null]")))
-    end = F.when(v % 7 == 0, q("00:00:00")).otherwise("00:00:10")
-    window = F.concat(q('{"window_id":"w'), v.cast("string"), q('","service_name":"svc","window_start_utc":"2024-01-01T00:00:00Z","window_end_utc":"2024-01-01T'), end, q('Z","values":'), values, q("}"))
-    g = table(spark, d, "events").where("user_id IS NOT NULL").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", window.alias("_w")))).alias("_ws"), F.min(v).alias("_v"))
+    q, v = F.lit, F.floor("value")
+    g = table(spark, d, "events").where("user_id IS NOT NULL").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("_ws"), F.min(v).alias("_v"))
+
+    def window(x):
+        v, t = F.floor(x["value"]), x["event_type"]
+        values = F.when(t == "error", q("[1.5]")).when(t == "view", q('[1,"NaN"]')).otherwise(F.concat(q("["), x["value"].cast("string"), q(",null]")))
+        end = F.when(v % 7 == 0, q("00:00:00")).otherwise("00:00:10")
+        return F.concat(q('{"window_id":"w'), v.cast("string"), q('","service_name":"svc","window_start_utc":"2024-01-01T00:00:00Z","window_end_utc":"2024-01-01T'), end, q('Z","values":'), values, q("}"))
+
     names = F.when(F.col("_v") % 2 == 1, q('["b","a"]')).otherwise('["a","b"]')
-    text = F.concat(q('{"schema_version":"ml_inference_v1","feature_schema_version":1,"input_id":"'), F.col("user_id").cast("string"), q('","feature_names":'), names, q(',"windows":['), F.array_join(F.transform("_ws", lambda x: x["_w"]), ","), q("]}"))
+    text = F.concat(q('{"schema_version":"ml_inference_v1","feature_schema_version":1,"input_id":"'), F.col("user_id").cast("string"), q('","feature_names":'), names, q(',"windows":['), F.array_join(F.transform("_ws", window), ","), q("]}"))
     return g.select("user_id", F.array_join(contracts.request_errors(["a", "b"], text, 12), ",").alias("errors"))
 
 

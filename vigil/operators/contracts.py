@@ -319,7 +319,7 @@ def schema_errors(schema: dict, text: Column) -> Column:
     Spark says whether a text is JSON, tasks walk the texts on Arrow batches, and what depends on Java's texts and patterns is asked of Spark again. Keywords are those
     of _KNOWN and format date-time, which needs a real date and no leap second; others raise an error here instead of passing unseen. Lengths count code points; a pattern is
     searched for, as Java reads it. 1 and 1.0 are equal, and whole numbers of any size are integers; inside lists and objects of const, enum and uniqueItems texts are
-    compared instead. What is no JSON, null or repeats a field fails with "$: json"."""
+    compared instead. What is no JSON, null, repeats a field or is too long for Spark's variants (some 250 MB of text) fails with "$: json"."""
     return _errors(schema, text)
 
 
